@@ -11,7 +11,8 @@ so the documents are aggregated once, before the iterations.
 Rates become whole copies.  Every document gets the whole part; the rest of a cell's words goes, as one
 more copy each, to the documents that come first in the order of a hash, as far as their words reach.
 The cut is found by two rounds of 4096 hash ranges, so only the last range's few documents are ordered,
-and no cell is ever gathered.  A cell's words differ from its share by half a document's size at most.
+and no cell is ever gathered.  The document whose size comes closest to what is then still wanted of a
+cell goes along, so a cell's words differ from its share by less than one document's size.
 
 All of it is DataFrame operations.
 """
@@ -62,25 +63,25 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], most: float = 2.0,
     ``tolerance`` of their targets, relatively, or after ``rounds``.  Groups that contradict one another
     end at the best that the rounds reach.  Rates are held to ``most``.
     """
-    log_rate = cells.withColumn("eta", F.lit(0.0))
-    for turn in range(rounds):
-        worst = 0.0
+    state = cells.withColumns({"eta": F.lit(0.0), "off": F.lit(0.0)})
+    for _ in range(rounds):
+        state = state.withColumn("off", F.lit(0.0))
         for c, target in targets.items():
-            sums = log_rate.groupBy(F.col(c).alias("group")).agg(F.sum(F.col("size") * F.least(F.exp("eta"), F.lit(most))).alias("have"))
+            sums = state.groupBy(F.col(c).alias("group")).agg(F.sum(F.col("size") * F.least(F.exp("eta"), F.lit(float(most)))).alias("have"))
+            # the gradient of the dual is have - target, its second derivative have
+            live = (F.col("target") > 0) & (F.col("have") > 0)
+            ratio = (F.col("target") - F.col("have")) / F.col("have")
             step = target.alias("t").join(sums.alias("s"), F.col("t.group").eqNullSafe(F.col("s.group"))).select(
                 F.col("s.group").alias("group"),
-                # gradient of the dual over its second derivative, which are have - target and have
-                F.when(F.col("target") <= 0, F.lit(-800.0)).when(F.col("have") > 0, F.least(F.greatest((F.col("target") - F.col("have")) / F.col("have"), F.lit(-2.0)), F.lit(2.0))).otherwise(0.0).alias("step"),
-                F.when((F.col("target") > 0) & (F.col("have") > 0), F.abs(F.col("target") - F.col("have")) / F.col("target")).otherwise(0.0).alias("off"),
+                F.when(live, F.least(F.greatest(ratio, F.lit(-2.0)), F.lit(2.0))).when(F.col("target") <= 0, F.lit(-800.0)).otherwise(0.0).alias("step"),
+                F.when(live, F.abs(F.col("target") - F.col("have")) / F.col("target")).otherwise(0.0).alias("gap"),
             )
-            step = written(step, "mix-step")
-            worst = max(worst, step.agg(F.max("off")).first()[0] or 0.0)
-            log_rate = log_rate.alias("l").join(step.alias("p"), F.col(f"l.{c}").eqNullSafe(F.col("p.group")), "left").select("l.*", "step")
-            log_rate = log_rate.withColumn("eta", F.greatest(F.col("eta") + F.coalesce("step", F.lit(0.0)), F.lit(-800.0))).drop("step")
-        log_rate = written(log_rate, "mix-rates")
-        if worst <= tolerance:
+            state = state.alias("l").join(step.alias("p"), F.col(f"l.{c}").eqNullSafe(F.col("p.group")), "left").select("l.*", "step", "gap")
+            state = state.withColumns({"eta": F.greatest(F.col("eta") + F.coalesce("step", F.lit(0.0)), F.lit(-800.0)), "off": F.greatest("off", F.coalesce("gap", F.lit(0.0)))}).drop("step", "gap")
+        state = written(state, "mix-rates")
+        if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-    return log_rate.withColumn("rate", F.when(F.col("eta") <= -700, 0.0).otherwise(F.least(F.exp("eta"), F.lit(float(most))))).drop("eta")
+    return state.withColumn("rate", F.when(F.col("eta") <= -700, 0.0).otherwise(F.least(F.exp("eta"), F.lit(float(most))))).drop("eta", "off")
 
 
 def _cut(rows: DataFrame, by: list[str], digit: str) -> DataFrame:
@@ -110,11 +111,16 @@ def round_copies(rows: DataFrame, cells: DataFrame) -> DataFrame:
     at_cut = F.coalesce((F.col("d1") == F.col("cut1")) & (F.col("d2") == F.col("cut2")) & (F.col("size") > 0), F.lit(False))
     sure = F.coalesce((F.col("d1") < F.col("cut1")) | (F.col("d1") == F.col("cut1")) & (F.col("d2") < F.col("cut2")), F.lit(False))
     upto = F.sum("size").over(Window.partitionBy("cell").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    # the document that the cut runs through comes along if more than half of it is wanted
-    few = rows.where(at_cut).withColumn("extra", (upto - F.col("size") / 2 < F.col("left2")).cast("long"))
+    few = rows.where(at_cut).withColumn("extra", (upto <= F.col("left2")).cast("long"))
     rest = rows.where(~at_cut).withColumn("extra", (sure & (F.col("wanted") > 0)).cast("long"))
-    out = few.unionByName(rest).withColumn("copies", (F.col("whole") + F.col("extra")).cast("long"))
-    return out.drop("whole", "wanted", "d1", "d2", "cut1", "cut2", "left1", "left2", "extra")
+    made = written(few.unionByName(rest).drop("d1", "d2", "cut1", "cut2", "left1", "left2"), "mix-made")
+    # what is still wanted then is less than one document: the one that comes closest to it goes along
+    gap = made.where("wanted > 0").groupBy("cell").agg((F.first("wanted") - F.sum(F.col("extra") * F.col("size"))).alias("gap"))
+    off = F.abs(F.col("size") - F.col("gap"))
+    best = made.where("wanted > 0 and extra = 0 and size > 0").join(gap, "cell").where(off < F.abs("gap")).groupBy("cell").agg(F.min(F.struct(off.alias("off"), "key")).alias("best"))
+    best = best.select(F.col("cell").alias("best_cell"), F.col("best.key").alias("best_key"), F.lit(1).alias("more"))
+    made = made.join(best, (F.col("cell") == F.col("best_cell")) & (F.col("key") == F.col("best_key")), "left")
+    return made.withColumn("copies", (F.col("whole") + F.col("extra") + F.coalesce("more", F.lit(0))).cast("long")).drop("whole", "wanted", "extra", "best_cell", "best_key", "more")
 
 
 def decide(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total_share: float = 1.5, most: float = 2.0, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
