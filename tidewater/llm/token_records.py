@@ -16,9 +16,14 @@ repeated attempts are never named in the index and ``clean`` deletes them.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +57,130 @@ def unframe(record: bytes) -> np.ndarray:
     return np.frombuffer(payload, f"<u{payload[0]}", offset=1)
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+#: Letters that case and composition leave as letters, then signs other than the apostrophe.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]*)([!-&(-/:-@\[-`{-~]*)")
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+class Pool:
+    """Strings numbered as they come up, and the ids of each, end to end in one array."""
+
+    def __init__(self):
+        self.index: dict = defaultdict(count().__next__)
+        self.known = self.used = 0
+        self.sizes, self.begin, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def fresh(self) -> list:
+        return list(islice(self.index, self.known, None))
+
+    def keep(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the next ``len(sizes)`` strings."""
+        while self.known + len(sizes) > len(self.sizes):
+            self.sizes, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.begin))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        own = slice(self.known, self.known + len(sizes))
+        self.sizes[own], self.begin[own] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.known, self.used = self.known + len(sizes), self.used + len(ids)
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes, and the ids of all the strings numbered ``at``."""
+        sizes = self.sizes[at]
+        return sizes, self.flat[np.repeat(self.begin[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
+class Encoder:
+    """Ids of whole texts, as the tokenizer gives them without special tokens.
+
+    A vocabulary with an end-of-word suffix never joins words across white space, so a text's ids are
+    those of its words in turn; then each distinct word is encoded once and kept, and a word of letters
+    and then signs is put together from its two pieces.  Words and pieces that are kept are bounded by
+    ``most``; beyond it the words are forgotten and met anew.  Other vocabularies encode text by text.
+    """
+
+    def __init__(self, tokenizer: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_str(tokenizer)
+        self.model, self.most = Tokenizer.from_str(tokenizer), most
+        suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix")
+        self.by_word, self.words, self.pieces = bool(suffix), Pool(), Pool()
+        if suffix:
+            vocab = self.model.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self) -> None:
+        """Encode the new pieces: each ends with the one token that has the suffix, so many go as one text."""
+        fresh = self.pieces.fresh()
+        for at in range(0, len(fresh), 512):
+            part = fresh[at : at + 512]
+            ids = self._batch([" ".join(part)])[0]
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != sum(map(bool, part)):  # not so with this vocabulary: one by one
+                found = self._batch(part)
+                self.pieces.keep(np.array([len(x) for x in found], np.int64), np.concatenate(found))
+                continue
+            sizes = np.zeros(len(part), np.int64)
+            sizes[[bool(x) for x in part]] = np.diff(stops, prepend=0)
+            self.pieces.keep(sizes, ids)
+
+    def _learn(self) -> None:
+        """Encode the words that came up since the last call."""
+        fresh = [x.decode() for x in self.words.fresh()]
+        if not fresh:
+            return
+        shapes = list(map(PLAIN.fullmatch, fresh))
+        index = self.pieces.index
+        pairs = np.array([(index[x[1]], index[x[2]]) if x else (-1, -1) for x in shapes], np.int64)
+        self._learn_pieces()
+        other = np.flatnonzero(pairs[:, 0] < 0)
+        rest = self._batch([fresh[i] for i in other])
+        sizes = np.where(pairs < 0, 0, self.pieces.sizes[np.maximum(pairs, 0)]).sum(1)
+        sizes[other] = [len(x) for x in rest]
+        out = np.empty(sizes.sum(), np.uint32)
+        plain = np.ones(len(fresh), bool)
+        plain[other] = False
+        from_plain = np.repeat(plain, sizes)
+        out[from_plain] = self.pieces.ids(pairs[plain].ravel())[1]
+        if rest:
+            out[~from_plain] = np.concatenate(rest)
+        self.words.keep(sizes, out)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return self._batch(texts)
+        if self.words.known > self.most:
+            self.words = Pool()
+        if self.pieces.known > self.most:
+            self.pieces = Pool()
+        words = [x.encode().split() for x in texts]
+        n = np.array([len(x) for x in words], np.int64)
+        at = np.fromiter(map(self.words.index.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        self._learn()
+        sizes, ids = self.words.ids(at)
+        stops = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n)]
+        return np.split(ids, stops[:-1])
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(tokenizer: str) -> Encoder:
+    """One encoder for a worker process, which keeps its words from task to task."""
+    key = zlib.crc32(tokenizer.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(tokenizer)
+    return _ENCODERS[key]
+
+
+def _writer(folder: str, tokenizer, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encode = _encoder(tokenizer.value)
         fs, base = pa.fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"part-{shard:06d}-{uuid.uuid4().hex}.records"
@@ -69,12 +190,11 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 if stream is None:
                     stream = fs.open_output_stream(f"{base}/{name}")
                 sizes, counts = [], []
-                for encoded in model.encode_batch([x or "" for x in batch.column("text").to_pylist()], add_special_tokens=False):
-                    ids = np.array([*encoded.ids, end_id], np.uint32)
-                    record = frame(ids)
+                for ids in encode([x or "" for x in batch.column("text").to_pylist()]):
+                    record = frame(np.append(ids, np.uint32(end_id)))
                     stream.write(record)
                     sizes.append(len(record))
-                    counts.append(len(ids))
+                    counts.append(len(ids) + 1)
                 n, sizes, counts = len(sizes), np.array(sizes, np.int64), np.array(counts, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, shard, np.int32)), pa.array([name] * n), pa.array(np.arange(seq, seq + n)), pa.array(offset + np.cumsum(sizes) - sizes), pa.array(sizes), batch.column("doc_id"), pa.array(counts), pa.array(before + np.cumsum(counts) - counts)],
@@ -105,7 +225,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     tie = F.xxhash64("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
-    rows.mapInArrow(_writer(f"{path}/data", tokenizer, end_id), INDEX).write.parquet(f"{path}/index")
+    rows.mapInArrow(_writer(f"{path}/data", spark.sparkContext.broadcast(tokenizer), end_id), INDEX).write.parquet(f"{path}/index")
     release(spark)
 
 
