@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import stars
-from .shared import slices, written
+from .shared import discard, slices, written
 from .words import Words, mix, windows
 
 BUCKETS = 20  # bits of the table of n-gram frequencies
@@ -177,26 +177,29 @@ class Join:
     def __init__(self, rows: DataFrame, size: int, percent: int):
         self.rows, self.size, self.percent, self.spark = rows, size, percent, rows.sparkSession
         self.level = self.spark.sparkContext.broadcast(frequency_levels(rows, size))
-        self.members = written(rows.mapInArrow(_prefixes(size, percent, self.level), "id long, c long, n long, prefix array<long>"), "join-members")
+        prefixes = written(rows.mapInArrow(_prefixes(size, percent, self.level), "id long, c long, n long, prefix array<long>"), "join-prefixes")
+        self.members = written(prefixes.select("id", "c", "n"), "join-members")
         self.classes = self.members.where("n > 0").groupBy("c").agg(F.min(F.coalesce("id", F.lit(NONE))).alias("rep"))
+        self.shared = written(self._shared(prefixes.where("n > 0")), "join-shared")
+        discard(prefixes)
 
-    def shared(self) -> DataFrame:
+    def _shared(self, prefixes: DataFrame) -> DataFrame:
         """(token, c, n, i): the classes of each n-gram that stands in the prefixes of two classes or more."""
-        rows = self.members.where("n > 0").select("c", "n", F.posexplode("prefix").alias("i", "token"))
+        rows = prefixes.select("c", "n", F.posexplode("prefix").alias("i", "token"))
         tokens = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("token").alias("t"))
         return rows.join(tokens, F.col("token") == F.col("t")).groupBy("token", "c").agg(F.min("n").alias("n"), F.min("i").cast("long").alias("i"))
 
-    def star_pairs(self, shared: DataFrame) -> DataFrame:
+    def star_pairs(self) -> DataFrame:
         """Each n-gram's classes with that one of them which has the least before the n-gram."""
-        hub = shared.groupBy("token").agg(F.min(F.struct("i", (-F.col("n")).alias("m"), "c")).alias("hub")).select(F.col("token").alias("t"), F.col("hub.i").alias("i_h"), (-F.col("hub.m")).alias("n_h"), F.col("hub.c").alias("h"))
+        hub = self.shared.groupBy("token").agg(F.min(F.struct("i", (-F.col("n")).alias("m"), "c")).alias("hub")).select(F.col("token").alias("t"), F.col("hub.i").alias("i_h"), (-F.col("hub.m")).alias("n_h"), F.col("hub.c").alias("h"))
         need = F.ceil(F.lit(self.percent) * (F.col("n") + F.col("n_h")) / F.lit(100.0 + self.percent) - F.lit(1e-9))
-        rows = shared.join(hub, F.col("token") == F.col("t")).where((F.col("c") != F.col("h")) & (F.col("n") - F.col("i") >= need) & (F.col("n_h") - F.col("i_h") >= need))
+        rows = self.shared.join(hub, F.col("token") == F.col("t")).where((F.col("c") != F.col("h")) & (F.col("n") - F.col("i") >= need) & (F.col("n_h") - F.col("i_h") >= need))
         low = F.col("c") < F.col("h")
         return rows.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b"), F.when(low, F.col("n")).otherwise(F.col("n_h")).alias("n_a"), F.when(low, F.col("n_h")).otherwise(F.col("n")).alias("n_b")).distinct()
 
-    def cross_pairs(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
+    def cross_pairs(self, roots: DataFrame) -> DataFrame:
         """Pairs of classes of one n-gram that are still in different components, each pair once."""
-        rows = shared.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("c") == F.col("node"), "left").select("token", "c", "n", "i", F.coalesce("root", "c").alias("comp"))
+        rows = self.shared.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("c") == F.col("node"), "left").select("token", "c", "n", "i", F.coalesce("root", "c").alias("comp"))
         live = rows.groupBy("token").agg(F.count("*").alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("token").alias("t"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
         rows = rows.join(live, F.col("token") == F.col("t")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -231,7 +234,9 @@ class Join:
                 most = F.col("overlap") + F.least(F.col("n_a") - F.col("first_a"), F.col("n_b") - F.col("first_b"))
                 open_pairs = written(rest.where((100 + self.percent) * most >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"), "join-open")
         total = parts.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")).join(open_pairs, ["a", "b"])
-        return written(total.where((100 + self.percent) * F.col("overlap") >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "join-links")
+        found = written(total.where((100 + self.percent) * F.col("overlap") >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "join-links")
+        discard(segments, pairs)
+        return found
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,10 +249,10 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     join = Join(rows, size, percent)
-    shared = written(join.shared(), "join-shared")
-    first = join.links(join.star_pairs(shared))
+    first = join.links(join.star_pairs())
     roots = stars(first)
-    second = join.links(join.cross_pairs(shared, roots))
+    second = join.links(join.cross_pairs(roots))
+    discard(join.shared)
     roots = stars(roots.unionByName(second))
     members = join.members.select("id", "c", "n").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("c") == F.col("node"), "left")
     members = written(members.select("id", "n", F.coalesce("root", "c").alias("comp")), "join-found")

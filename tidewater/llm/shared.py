@@ -46,11 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    del df
+    out.__dict__["scratch"] = path
     release(spark)
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing will read again."""
+    for df in tables:
+        delete(df.sparkSession, df.__dict__["scratch"])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more."""
     gc.collect()
