@@ -260,3 +260,17 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     linked = members.where("n > 0").join(least, F.col("comp") == F.col("label")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     alone = members.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest id; sets without n-grams all stay.
+
+    A row without an id is known by a negative hash of its text meanwhile.  Of rows with one id, one stays.
+    """
+    known = F.coalesce(F.col(id_col).cast("long"), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 1).bitwiseOR(F.lit(NONE)))
+    rows = docs.withColumn("__id", known)
+    found = components(rows.select("__id", text_col), size, percent, "__id", text_col)
+    stay = found.where("component_id = __id").groupBy(F.col("__id").alias("__stay")).agg(F.count("*").alias("__alike"))
+    kept = rows.join(stay, F.col("__id") == F.col("__stay"))
+    once = kept.where("__alike = 1").select(*docs.columns)
+    return once.unionByName(kept.where("__alike > 1").dropDuplicates(["__id"]).select(*docs.columns))

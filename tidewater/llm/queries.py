@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, jaccard_join, mixing, one_bit_search, quality, token_records, url_filter
+from . import decontamination, jaccard_join, license_scan, mixing, one_bit_search, quality, secret_scan, token_records, url_filter
 from .shared import scratch_path
 from .substring_dedup import remove_repeats
 
@@ -23,6 +23,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
 
@@ -62,6 +70,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_license_scan": op3_license_scan,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_records": op5_token_records,
     "op6_source_mixing": op6_source_mixing,
