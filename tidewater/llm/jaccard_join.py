@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .components import stars
 from .shared import discard, slices, written
 from .words import Words, mix, windows
 
-BUCKETS = 20  # bits of the table of n-gram frequencies
+BUCKETS = 22  # bits of the table of n-gram frequencies
+CHUNKS = 64  # that it is added up in
 FRAGMENTS = 3  # two halves of the rare n-grams, and the frequent ones
 BLOCK = 512
 NONE = -(2**63)
@@ -60,31 +62,54 @@ def _class(own: np.ndarray) -> int:
 
 
 def _frequencies(size: int):
-    """Buckets of n-grams that come up far more often in this task than buckets do on average."""
+    """How many of this task's sets have an n-gram in each bucket, in chunks; counts stop at 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKETS, np.int64)
+        counts, task = np.zeros(1 << BUCKETS, np.int32), TaskContext.get().partitionId()
         for batch in slices(batches):
-            for own in _sets(batch.column("text"), size, None):
-                np.add.at(counts, (own >> np.uint64(64 - BUCKETS)).astype(np.int64), 1)
-        heavy = np.flatnonzero(counts >= max(4, 3 * counts.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(counts[heavy]), pa.array(np.full(len(heavy), int(counts.sum())))], ["bucket", "n", "total"])
+            own = _sets(batch.column("text"), size, None)
+            if own:
+                bucket = (np.concatenate(own) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+                counts += np.bincount(bucket, minlength=1 << BUCKETS).astype(np.int32)
+        if counts.any():
+            packed = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, -1)
+            for chunk in range(CHUNKS):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([task % 64], pa.int32()), pa.array([packed[chunk].astype("<u4").tobytes()])], ["chunk", "share", "counts"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of each (chunk, share); rows come sorted by them."""
+    key, total = None, None
+    for batch in batches:
+        for chunk, share, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "share", "counts")), strict=True):
+            if key != (chunk, share):
+                if key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()])], ["chunk", "share", "counts"])
+                key, total = (chunk, share), np.zeros((1 << BUCKETS) // CHUNKS, np.uint32)
+            total = total + np.frombuffer(counts, np.uint32)
+    if key is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()])], ["chunk", "share", "counts"])
+
+
 def frequency_levels(rows: DataFrame, size: int) -> np.ndarray:
     """A level from 0 (rare) to 7 for each bucket of n-grams; 2 ** BUCKETS entries, whatever the corpus.
 
     Any fixed order gives the same links; this one keeps the frequent n-grams out of the prefixes.
     """
-    found = rows.select("text").mapInArrow(_frequencies(size), "bucket long, n long, total long")
-    sums = found.groupBy("bucket").agg(F.sum("n").alias("n")).where("n >= 16").toArrow()
-    n, bucket = sums["n"].to_numpy(), sums["bucket"].to_numpy()
-    level = np.zeros(1 << BUCKETS, np.uint64)
-    if len(n):
-        level[bucket] = np.clip(np.floor(np.log2(n / 8)) // 2, 1, 7).astype(np.uint64)
-    return level
+    schema, n = "chunk int, share int, counts binary", int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.select("text").mapInArrow(_frequencies(size), schema)
+    for by in (["chunk", "share"], ["chunk"]):
+        found = found.repartition(min(n, CHUNKS), *by).sortWithinPartitions("chunk", "share").mapInArrow(_added, schema)
+        found = found.withColumn("share", F.lit(0)) if by == ["chunk", "share"] else found
+    counts = np.zeros((CHUNKS, (1 << BUCKETS) // CHUNKS), np.int64)
+    for r in found.select("chunk", "counts").collect():  # CHUNKS rows
+        counts[r["chunk"]] += np.frombuffer(r["counts"], np.uint32)
+    counts = counts.ravel()
+    usual = counts.mean()
+    over = np.maximum(counts - usual - 3 * np.sqrt(usual), 0)  # what a bucket has beyond its share of rare n-grams
+    return np.where(over >= 3, np.clip(np.floor(np.log2(np.maximum(over, 1)) / 2) + 1, 1, 7), 0).astype(np.uint64)
 
 
 def _prefixes(size: int, percent: int, level):
