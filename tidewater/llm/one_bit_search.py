@@ -5,12 +5,13 @@ bit a dimension, packed; with it go the distance from the centre and f, the inne
 vector with its own code.  <code, query> / f estimates the inner product of vector and query, with an error of
 about sqrt((1 - f^2) / (f^2 (D - 1))); a multiple of it gives each candidate a lower and an upper bound
 of its distance.  A candidate whose lower bound is above the k-th smallest upper bound is out.  The rest is
-reranked by exact distances of the original vectors.
+reranked by exact distances of the original vectors, in the same step.
 
 Equal vectors share one code.  Of equal vectors only the k + 1 with the smallest ids can be among a query's k
 nearest (ties go to smaller ids; one may be the query itself), so a crowd of copies costs one comparison.
 
-Queries and codes meet in blocks of bounded size, each pair of blocks in one task's step.
+Queries and vectors with their codes meet in blocks of bounded size, each pair of blocks in one step of a task,
+which keeps a query's k + 1 best of the block.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import written
 
-QUERY_BLOCK, CODE_BLOCK, SAMPLE = 512, 16384, 4096
+QUERY_BLOCK, CODE_BLOCK, STEP, SAMPLE = 4096, 8192, 128, 4096
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -59,21 +60,33 @@ def _codes(centre: np.ndarray, turn: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                bits, f, norm = encode(np.stack(rows["vector"]), centre, turn)
-                yield pd.DataFrame({"cid": rows["cid"], "code": [x.tobytes() for x in bits], "f": f, "norm": norm, "block": rows["block"]})
+                bits, f, norm = encode(np.stack(rows["vector"]).astype(np.float64), centre, turn)
+                yield pd.DataFrame({"cid": rows["cid"], "vector": rows["vector"], "code": [x.tobytes() for x in bits], "f": f, "norm": norm, "block": rows["block"]})
 
     return run
 
 
-def _shortlist(centre: np.ndarray, turn: np.ndarray, k: int, errors: float):
+def _nearest(centre: np.ndarray, turn: np.ndarray, k: int, errors: float):
+    """The k nearest codes of one block to each query of one block, by exact distances of those that the bounds leave."""
+
     def run(key, codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(codes) or not len(queries):
-            return pd.DataFrame({"qid": [], "cid": [], "low": [], "high": []}).astype({"qid": "int64", "cid": "int64"})
-        bits = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
-        low, high = bounds(bits, codes["f"].to_numpy(), codes["norm"].to_numpy(), np.stack(queries["vector"]), centre, turn, errors)
-        limit = np.partition(high, min(k, high.shape[1]) - 1, axis=1)[:, min(k, high.shape[1]) - 1]
-        at, of = np.nonzero(low <= limit[:, None])
-        return pd.DataFrame({"qid": queries["qid"].to_numpy()[at], "cid": codes["cid"].to_numpy()[of], "low": low[at, of], "high": high[at, of]})
+        out = {"qid": [], "cid": [], "score": []}
+        if len(codes) and len(queries):
+            bits = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
+            f, norm, cid = (codes[c].to_numpy() for c in ("f", "norm", "cid"))
+            vectors, asked, qid = np.stack(codes["vector"]), np.stack(queries["vector"]).astype(np.float64), queries["qid"].to_numpy()
+            n = min(k, len(cid))
+            for at in range(0, len(asked), STEP):
+                low, high = bounds(bits, f, norm, asked[at : at + STEP], centre, turn, errors)
+                limit = np.partition(high, n - 1, axis=1)[:, n - 1]
+                for i in range(len(low)):
+                    open_ = np.flatnonzero(low[i] <= limit[i])
+                    score = np.sqrt(((vectors[open_].astype(np.float64) - asked[at + i]) ** 2).sum(1))
+                    best = np.lexsort((cid[open_], score))[:k]
+                    out["qid"].append(np.full(len(best), qid[at + i]))
+                    out["cid"].append(cid[open_][best])
+                    out["score"].append(score[best])
+        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()}).astype({"qid": "int64", "cid": "int64", "score": "float64"})
 
     return run
 
@@ -85,7 +98,7 @@ def usable(vector: str, dim: int):
     return F.coalesce((F.size(v) == dim) & good & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, errors: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, errors: float = 1.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of ``vectors`` to each of ``queries``, without the query itself.
 
     ``score`` is the Euclidean distance in double precision; ties go to smaller ids.  ``errors`` is the multiple of
@@ -97,9 +110,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, errors: float =
     spark = vectors.sparkSession
     lengths = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("dim")).count().where("dim > 0").orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = lengths[0]["dim"] if lengths else 1
+    element = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    kind = f"array<{element}>"
 
     def clean(df: DataFrame) -> DataFrame:
-        return df.where(usable(vector_col, dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
+        known = df.withColumn(vector_col, F.col(vector_col).cast(kind))
+        return known.where(usable(vector_col, dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x + F.lit(0.0).cast(element)).alias("vector"))
 
     rows = clean(vectors)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
@@ -112,22 +128,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, errors: float =
     asked = written(clean(queries).select("id", "vector").distinct(), "ann-queries")
     asked_classes = written(asked.groupBy("vector").agg(F.min("id").alias("qid")), "ann-asked")
     n_codes, n_asked = classes.count(), asked_classes.count()
-    code_blocks, query_blocks = -(-n_codes // CODE_BLOCK) or 1, -(-n_asked // QUERY_BLOCK) or 1
-    code_blocks = max(code_blocks, min(64, -(-n_codes // 1024) or 1))
+    code_blocks, query_blocks = max(1, -(-n_codes // CODE_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("cid"), F.lit(code_blocks)).cast("int").alias("block")
-    codes = written(classes.select("cid", "vector", block).mapInPandas(_codes(centre, turn), "cid long, code binary, f double, norm double, block int"), "ann-codes")
+    codes = classes.select("cid", "vector", block).mapInPandas(_codes(centre, turn), f"cid long, vector {kind}, code binary, f double, norm double, block int")
     codes = codes.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     own = asked_classes.withColumn("q_block", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
-    near = codes.groupBy("block", "q_block").cogroup(own.groupBy("block", "q_block")).applyInPandas(_shortlist(centre, turn, k + 1, errors), "qid long, cid long, low double, high double")
-    near = written(near, "ann-near")
-    # the (k + 1)-th smallest upper bound over all blocks
-    limit = near.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("high", "cid"))).where(F.col("place") <= k + 1).groupBy("qid").agg(F.max("high").alias("limit"))
-    kept = near.join(limit, "qid").where("low <= limit").select("qid", "cid")
-    pairs = kept.join(asked_classes.select("qid", F.col("vector").alias("q")), "qid").join(classes.select("cid", "ids", F.col("vector").alias("v")), "cid")
-    score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = pairs.select("qid", F.explode("ids").alias("vec_id"), score.alias("score"))
-    first = pairs.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("score", "vec_id"))).where(F.col("place") <= k + 1).drop("place")
+    near = codes.groupBy("block", "q_block").cogroup(own.groupBy("block", "q_block")).applyInPandas(_nearest(centre, turn, k + 1, errors), "qid long, cid long, score double")
+    # (k + 1) of each block are left; of all blocks, the first again, with the ids of equal vectors
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("score", "cid"))).where(F.col("place") <= k + 1).drop("place")
+    ids = first.join(classes.select("cid", "ids"), "cid").select("qid", F.explode("ids").alias("vec_id"), "score")
     each = asked.join(asked_classes, "vector").select(F.col("id").alias("query_id"), "qid")
-    found = each.join(first, "qid").where("query_id <> vec_id")
+    found = each.join(written(ids, "ann-near"), "qid").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
