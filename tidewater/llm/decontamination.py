@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import slices
+from .shared import slices, small_batches
 from .substring_dedup import _leftmost_minimum
 from .words import Words, mix
 
@@ -148,6 +148,7 @@ class Items:
 def _blocks(benchmark: DataFrame, similarity: float, recall: float, least: int, id_col: str, text_col: str, block_bytes: int):
     """Broadcasts of the items, about ``block_bytes`` of text in each."""
     spark = benchmark.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))

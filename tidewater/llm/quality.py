@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import slices
+from .shared import slices, small_batches
 from .words import Words, mix
 
 BITS = 16  # of a hashed feature; words and each n-gram length have a region of their own
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     Rows weigh as much as their label does among all labels given.  Labels other than 0 and 1 and null ids
     take no part; an id with both labels counts as 0; without any label the model knows nothing and scores 0.5.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picks = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows // 2) for y in (0, 1)]
@@ -147,6 +147,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     equal scores.  A column named ``score`` that is there already is replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # fixed size: (1 + len(NGRAMS)) << BITS floats
     docs = docs.drop("score")
     renamed = docs if text_col == "text" else docs.drop("text").withColumnRenamed(text_col, "text")

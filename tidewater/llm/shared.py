@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -68,6 +68,20 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand texts to Python workers in batches of at most ``rows``, so that long texts don't add up in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def sample_by_hash(df: DataFrame, column: str, n: int) -> DataFrame:
+    """About the ``n`` rows with the smallest hashes of ``column``; the hashes alone are ordered, and equal values go together."""
+    key = F.xxhash64(column)
+    last = df.select(key.alias("key")).distinct().orderBy("key").limit(n).agg(F.max("key")).first()[0]
+    return df.where(key <= F.lit(last)) if last is not None else df.limit(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece holds about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:

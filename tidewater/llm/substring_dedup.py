@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import slices, written
+from .shared import slices, small_batches, written
 from .words import Words, mix, windows
 
 _LOW = np.int64((1 << 31) - 1)
@@ -168,6 +168,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
     copies of each other: all their windows repeat, so texts of ``length`` words or more lose every
     word.  Null ids pass through.  An empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("c1"), F.xxhash64(F.lit("tidewater"), text).alias("c2"))
     classes = base.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min(F.coalesce(F.col("id"), F.lit(-(2**63)))).alias("rep"))

@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shared import release, slices
+from .shared import release, slices, small_batches
 
 INDEX = "shard int, file string, seq long, offset long, length long, doc_id long, n_tokens long, before long"
 
@@ -98,7 +98,7 @@ class Encoder:
     ``most``; beyond it the words are forgotten and met anew.  Other vocabularies encode text by text.
     """
 
-    def __init__(self, tokenizer: str, most: int = 700_000):
+    def __init__(self, tokenizer: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_str(tokenizer), most
@@ -216,6 +216,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     rows each give a record.  An empty table gives an index without rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer_file, encoding="utf-8") as f:
         tokenizer = f.read()
     jvm = spark.sparkContext._jvm
