@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rates below 0.5 go."""
     model = quality.fit(docs, _table(spark, sf_dir, "labels").where(~quality.held_out()))
-    return quality.score(docs, model).where("score >= 0.5").select(*docs.columns)
+    return quality.keep(docs, model)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,12 +66,14 @@ class Model:
 
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, dim: int = 16, epochs: int = 12, rate: float = 0.5, batch: int = 32, seed: int = 1) -> Model:
     """Stochastic gradient descent on mini-batches; Adagrad scales the steps of vectors seen rarely."""
+    if not docs:
+        return Model(np.zeros((1 + len(NGRAMS)) << BITS, np.float32), 0.0)
     rng = np.random.RandomState(seed)
     size = (1 + len(NGRAMS)) << BITS
     vectors = ((rng.rand(size, dim) - 0.5) / dim).astype(np.float32)
     top, bias = ((rng.rand(dim, 2) - 0.5) / dim).astype(np.float32), np.zeros(2, np.float32)
     seen, seen_top, seen_bias = np.full(size, 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    for _ in range(epochs if docs else 0):
+    for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
@@ -124,18 +126,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     return train(own, y.astype(np.int64), share * len(y) if len(y) else share)
 
 
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    n, total = np.zeros(len(texts)), np.zeros(len(texts))
+    for ids, first in _features(Words(texts)):
+        sums = np.concatenate([[0.0], np.cumsum(model.table[ids], dtype=np.float64)])
+        total += sums[first[1:]] - sums[first[:-1]]
+        n += np.diff(first)
+    odds = model.bias + total / np.maximum(n, 1)
+    return np.round(1 / (1 + np.exp(-np.clip(odds, -500, 500))), 9)
+
+
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bias = model.value.table, model.value.bias
         for batch in slices(batches):
-            n, total = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for ids, first in _features(Words(batch.column("text"))):
-                sums = np.concatenate([[0.0], np.cumsum(table[ids], dtype=np.float64)])
-                total += sums[first[1:]] - sums[first[:-1]]
-                n += np.diff(first)
-            odds = bias + total / np.maximum(n, 1)
-            score = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 9))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(model.value, batch.column("text")))], [*batch.schema.names, "score"])
 
     return run
 
@@ -156,6 +160,20 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return out if text_col == "text" else out.withColumnRenamed("text", text_col)
 
 
+def _keeper(model, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(_scores(model.value, batch.column("text")) >= threshold))
+
+    return run
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (with a column ``text``) that score ``threshold`` or more, with all their columns."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether crc32 of the id as text leaves the remainder 1 when divided by 3; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
