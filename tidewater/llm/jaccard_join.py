@@ -282,7 +282,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     roots = stars(roots.unionByName(second))
     members = join.members.select("id", "c", "n").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("c") == F.col("node"), "left")
     members = written(members.select("id", "n", F.coalesce("root", "c").alias("comp")), "join-found")
-    least = members.where("n > 0").groupBy(F.col("comp").alias("label")).agg(F.min("id").alias("component_id"))
+    # written, so that the join that follows deals both sides anew and large components can be split
+    least = written(members.where("n > 0").groupBy(F.col("comp").alias("label")).agg(F.min("id").alias("component_id")), "join-least")
     linked = members.where("n > 0").join(least, F.col("comp") == F.col("label")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     alone = members.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(alone)
