@@ -188,6 +188,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
         joined = going.join(places, (F.col("c1") == F.col("p1")) & (F.col("c2").bitwiseAND(int(_LOW)) == F.col("c2low")), "left")
         state = written(joined.select("c1", "c2", "copies", "text", "runs", "places").mapInArrow(_narrow(length, level), _STATE), f"repeats-level{k}")
         settled = settled.unionByName(state.where("text is null").drop("text", "runs"))
-    # repeated rows give their class more than one representative row
-    settled = settled.groupBy("c1", "c2").agg(*(F.first(c).alias(c) for c in ("n_words", "n_removed", "kept_sha256", "removed")))
+    # repeated rows give their class more than one representative row; written, so that the join that follows
+    # deals both sides anew and a text with many copies can be split
+    settled = written(settled.groupBy("c1", "c2").agg(*(F.first(c).alias(c) for c in ("n_words", "n_removed", "kept_sha256", "removed"))), "repeats-settled")
     return base.select("id", "c1", "c2").join(settled, ["c1", "c2"]).select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "removed")
