@@ -23,8 +23,8 @@ def _as_map(attributes: Column, ints: bool) -> Column:
 def spans(traces: DataFrame, column: str = "trace") -> DataFrame:
     """(trace_id, start_ns, end_ns, code, span_attrs, resource_attrs) of trace documents as JSON."""
     rows = traces.select(F.explode(F.from_json(F.col(column), TRACE)["batches"]).alias("b"))
-    rows = rows.select(_as_map(F.col("b.resource.attributes"), False).alias("resource_attrs"), F.explode(F.coalesce("b.scopeSpans", "b.instrumentationLibrarySpans")).alias("s")).select("resource_attrs", F.explode("s.spans").alias("s"))
-    return rows.select(F.coalesce("s.traceId", F.lit("")).alias("trace_id"), F.coalesce(F.col("s.startTimeUnixNano").cast("long"), F.lit(0)).alias("start_ns"), F.coalesce(F.col("s.endTimeUnixNano").cast("long"), F.lit(0)).alias("end_ns"), F.coalesce("s.status.code", F.lit(0)).alias("code"), _as_map(F.col("s.attributes"), True).alias("span_attrs"), "resource_attrs")
+    rows = rows.select(F.col("b.resource.attributes").alias("r"), F.explode(F.coalesce("b.scopeSpans", "b.instrumentationLibrarySpans")).alias("s")).select("r", F.explode("s.spans").alias("s"))
+    return rows.select(F.coalesce("s.traceId", F.lit("")).alias("trace_id"), F.coalesce(F.col("s.startTimeUnixNano").cast("long"), F.lit(0)).alias("start_ns"), F.coalesce(F.col("s.endTimeUnixNano").cast("long"), F.lit(0)).alias("end_ns"), F.coalesce("s.status.code", F.lit(0)).alias("code"), _as_map(F.col("s.attributes"), True).alias("span_attrs"), _as_map(F.col("r"), False).alias("resource_attrs"))
 
 
 def service(span: Column, resource: Column, known: list[str]) -> Column:
