@@ -48,7 +48,7 @@ def _sets(texts: pa.Array, size: int, level: np.ndarray | None) -> list[np.ndarr
         else:
             own = mix(windows(words.hashes[a : a + n[i]], int(n[i])) + np.uint64(int(n[i]))) if n[i] else hashes[:0]
         if level is not None:
-            own = level[(own >> np.uint64(64 - BUCKETS)).astype(np.int64)] << np.uint64(60) | own >> np.uint64(4)
+            own = level[(own >> np.uint64(64 - BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(60) | own >> np.uint64(4)
         out.append(np.unique(own))
     return out
 
@@ -103,13 +103,14 @@ def frequency_levels(rows: DataFrame, size: int) -> np.ndarray:
     for by in (["chunk", "share"], ["chunk"]):
         found = found.repartition(min(n, CHUNKS), *by).sortWithinPartitions("chunk", "share").mapInArrow(_added, schema)
         found = found.withColumn("share", F.lit(0)) if by == ["chunk", "share"] else found
-    counts = np.zeros((CHUNKS, (1 << BUCKETS) // CHUNKS), np.int64)
-    for r in found.select("chunk", "counts").collect():  # CHUNKS rows
+    counts = np.zeros((CHUNKS, (1 << BUCKETS) // CHUNKS), np.uint32)
+    for r in found.select("chunk", "counts").toLocalIterator():  # CHUNKS rows
         counts[r["chunk"]] += np.frombuffer(r["counts"], np.uint32)
-    counts = counts.ravel()
-    usual = counts.mean()
-    over = np.maximum(counts - usual - 3 * np.sqrt(usual), 0)  # what a bucket has beyond its share of rare n-grams
-    return np.where(over >= 3, np.clip(np.floor(np.log2(np.maximum(over, 1)) / 2) + 1, 1, 7), 0).astype(np.uint64)
+    usual, levels = counts.mean(), np.zeros(counts.shape, np.uint8)
+    for own, out in zip(counts, levels, strict=True):
+        over = np.maximum(own - usual - 3 * np.sqrt(usual), 0)  # what a bucket has beyond its share of rare n-grams
+        out[:] = np.where(over >= 3, np.clip(np.floor(np.log2(np.maximum(over, 1)) / 2) + 1, 1, 7), 0)
+    return levels.ravel()
 
 
 def _prefixes(size: int, percent: int, level):

@@ -63,6 +63,8 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], most: float = 2.0,
     ``tolerance`` of their targets, relatively, or after ``rounds``.  Groups that contradict one another
     end at the best that the rounds reach.  Rates are held to ``most``.
     """
+    if len(targets) == 1 and cells.groupBy(*targets).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _balance_alone(cells, *next(iter(targets.items())), most, rounds)
     state = cells.withColumns({"eta": F.lit(0.0), "off": F.lit(0.0)})
     for _ in range(rounds):
         state = state.withColumn("off", F.lit(0.0))
@@ -84,6 +86,19 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], most: float = 2.0,
     return state.withColumn("rate", F.when(F.col("eta") <= -700, 0.0).otherwise(F.least(F.exp("eta"), F.lit(float(most))))).drop("eta", "off")
 
 
+def _balance_alone(cells: DataFrame, column: str, target: DataFrame, most: float, rounds: int) -> DataFrame:
+    """The same steps for one grouping with a cell for each group: the dual falls apart, so each cell takes all its steps in one go."""
+    rows = cells.alias("l").join(target.alias("t"), F.col(f"l.{column}").eqNullSafe(F.col("t.group"))).select("l.*", "target")
+
+    def step(eta, _):
+        have = F.col("size") * F.exp(eta)
+        return eta + F.least(F.greatest((F.col("target") - have) / have, F.lit(-2.0)), F.lit(2.0))
+
+    eta = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), step)
+    rate = F.when(F.col("target") <= 0, 0.0).when(F.col("size") > 0, F.least(F.exp(eta), F.lit(float(most)))).otherwise(1.0)
+    return written(rows.withColumn("rate", rate).drop("target"), "mix-rates")
+
+
 def _cut(rows: DataFrame, by: list[str], digit: str) -> DataFrame:
     """The hash range of each cell in which its words reach ``wanted``, and what is wanted of it.
 

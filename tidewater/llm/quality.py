@@ -100,7 +100,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
     return Model((vectors @ (top[:, 1] - top[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 6000, max_features: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 4000, max_features: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on a bounded sample of ``labels`` (id, 0/1): ``max_rows`` in all, half for each label, and
     ``max_features`` distinct features in sum, in the order of a hash of the id.
 
@@ -123,7 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     total = max(1, sum(totals.values()))
     share = np.array([totals.get(int(k), 0) / total / have[int(k)] for k in y], np.float32)
-    return train(own, y.astype(np.int64), share * len(y) if len(y) else share)
+    model = train(own, y.astype(np.int64), share * len(y) if len(y) else share)
+    del own, found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
