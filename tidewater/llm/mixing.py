@@ -11,8 +11,8 @@ so the documents are aggregated once, before the iterations.
 Rates become whole copies.  Every document gets the whole part; the rest of a cell's words goes, as one
 more copy each, to the documents that come first in the order of a hash, as far as their words reach.
 The cut is found by two rounds of 4096 hash ranges, so only the last range's few documents are ordered,
-and no cell is ever gathered.  The document whose size comes closest to what is then still wanted of a
-cell goes along, so a cell's words differ from its share by less than one document's size.
+and no cell is ever gathered.  Then, three times, the document whose size comes closest to what is still amiss
+in a cell is put in or taken out, so a cell's words differ from its share by far less than one document's size.
 
 All of it is DataFrame operations.
 """
@@ -25,6 +25,7 @@ from .shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGIT = 4096
+FITS = 3  # corrections of a cell by one document
 
 
 def word_count(text: Column) -> Column:
@@ -129,13 +130,20 @@ def round_copies(rows: DataFrame, cells: DataFrame) -> DataFrame:
     few = rows.where(at_cut).withColumn("extra", (upto <= F.col("left2")).cast("long"))
     rest = rows.where(~at_cut).withColumn("extra", (sure & (F.col("wanted") > 0)).cast("long"))
     made = written(few.unionByName(rest).drop("d1", "d2", "cut1", "cut2", "left1", "left2"), "mix-made")
-    # what is still wanted then is less than one document: the one that comes closest to it goes along
+    for _ in range(FITS):
+        made = written(_closer(made), "mix-made")
+    return made.withColumn("copies", (F.col("whole") + F.col("extra")).cast("long")).drop("whole", "wanted", "extra")
+
+
+def _closer(made: DataFrame) -> DataFrame:
+    """``made`` with at most one document of each cell put in, or taken out, whose size comes closest to what is amiss."""
     gap = made.where("wanted > 0").groupBy("cell").agg((F.first("wanted") - F.sum(F.col("extra") * F.col("size"))).alias("gap"))
-    off = F.abs(F.col("size") - F.col("gap"))
-    best = made.where("wanted > 0 and extra = 0 and size > 0").join(gap, "cell").where(off < F.abs("gap")).groupBy("cell").agg(F.min(F.struct(off.alias("off"), "key")).alias("best"))
-    best = best.select(F.col("cell").alias("best_cell"), F.col("best.key").alias("best_key"), F.lit(1).alias("more"))
-    made = made.join(best, (F.col("cell") == F.col("best_cell")) & (F.col("key") == F.col("best_key")), "left")
-    return made.withColumn("copies", (F.col("whole") + F.col("extra") + F.coalesce("more", F.lit(0))).cast("long")).drop("whole", "wanted", "extra", "best_cell", "best_key", "more")
+    off = F.abs(F.col("size") - F.abs("gap"))
+    fits = (off < F.abs("gap")) & ((F.col("gap") > 0) == (F.col("extra") == 0)) & (F.col("size") > 0)
+    best = made.where("wanted > 0").join(gap, "cell").where(fits).groupBy("cell").agg(F.min(F.struct(off.alias("off"), "key")).alias("best"))
+    best = best.select(F.col("cell").alias("best_cell"), F.col("best.key").alias("best_key"), F.lit(1).cast("long").alias("turn"))
+    out = made.join(best, (F.col("cell") == F.col("best_cell")) & (F.col("key") == F.col("best_key")), "left")
+    return out.withColumn("extra", F.when(F.col("turn") == 1, 1 - F.col("extra")).otherwise(F.col("extra"))).drop("best_cell", "best_key", "turn")
 
 
 def decide(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total_share: float = 1.5, most: float = 2.0, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -146,7 +154,7 @@ def decide(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total_
     agree.  An empty table gives an empty result.  Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.sha2(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col), F.lit("")), F.xxhash64(text).cast("string")), 256)
+    key = F.sha2(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col), F.lit("")), F.sha2(text, 256)), 256)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
     rows = written(rows, "mix-rows")
     sizes = written(rows.groupBy("source").agg(F.sum("size").alias("size")).withColumnRenamed("source", "group"), "mix-sizes")
@@ -165,7 +173,7 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     them have together, which makes no difference.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.sha2(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col), F.lit("")), F.xxhash64(text).cast("string")), 256)
+    key = F.sha2(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col), F.lit("")), F.sha2(text, 256)), 256)
     made = decide(docs, source_col=source_col, text_col=text_col, id_col=id_col, **how)
     # alike rows together: their copies are dealt to one of them
     made = made.groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__sum"), F.count("*").alias("__alike"))

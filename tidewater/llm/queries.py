@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, jaccard_join, license_scan, mixing, one_bit_search, quality, secret_scan, token_records, url_filter
+from . import decontamination, jaccard_join, license_scan, mixing, one_bit_search, quality, secret_scan, sql, token_records, url_filter
 from .shared import scratch_path
 from .substring_dedup import remove_repeats
 
@@ -81,4 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_source_mixing": sql.MIX,
+    "op8_substring_dedup": sql.REPEATS,
+    "op10_ngram_jaccard_join": sql.COMPONENTS,
+}

@@ -37,7 +37,17 @@ p AS (
   SELECT d.*, source_size, target, floor(rate + 1e-9) AS whole, (rate - floor(rate + 1e-9)) * source_size AS wanted,
     sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, (size > 0 AND wanted > 1e-6 AND upto <= wanted)::INT AS extra FROM p),
-g AS (SELECT *, wanted - sum(extra * size) OVER (PARTITION BY source) AS gap FROM e),
-b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN wanted > 1e-6 AND extra = 0 AND size > 0 AND abs(size - gap) < abs(gap) THEN 0 ELSE 1 END, abs(size - gap), key) = 1 AND wanted > 1e-6 AND extra = 0 AND size > 0 AND abs(size - gap) < abs(gap) AS best FROM g)
-SELECT doc_id, size, source_size, round(target, 6) AS target, ((whole + extra + best::INT) * size)::BIGINT AS taken, (whole + extra + best::INT)::BIGINT AS copies FROM b"""
+e0 AS (SELECT *, (size > 0 AND wanted > 1e-6 AND upto <= wanted)::INT AS extra FROM p),
+{fits}
+SELECT doc_id, size, source_size, target, ((whole + extra) * size)::BIGINT AS taken, (whole + extra)::BIGINT AS copies FROM e3"""
+
+
+def _fit(n: int) -> str:
+    """The n-th correction: the document that comes closest to what is amiss is put in or taken out."""
+    amiss = f"g{n} AS (SELECT *, wanted - sum(extra * size) OVER (PARTITION BY source) AS gap FROM e{n - 1})"
+    fits = f"f{n} AS (SELECT *, wanted > 1e-6 AND size > 0 AND abs(size - abs(gap)) < abs(gap) AND (gap > 0) = (extra = 0) AS fits FROM g{n})"
+    best = f"r{n} AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(size - abs(gap)), key) = 1 AS best FROM f{n})"
+    return f"{amiss},\n{fits},\n{best},\ne{n} AS (SELECT * EXCLUDE (gap, fits, best) REPLACE (CASE WHEN best THEN 1 - extra ELSE extra END AS extra) FROM r{n})"
+
+
+MIX = MIX.format(fits=",\n".join(map(_fit, (1, 2, 3))))
