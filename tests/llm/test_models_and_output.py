@@ -320,3 +320,22 @@ def test_pipeline(spark, sf_dir):
     last = corpus_pipeline.STAGES[-1][1](spark, current, sf_dir)
     assert last.count() == sizes[-1]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+# queries that SQL can express
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "labels", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    cursor = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    rows = sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=str)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == rows
