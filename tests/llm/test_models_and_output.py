@@ -297,6 +297,32 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "BSD": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:",
+    "MIT": "Permission is hereby granted, free of\ncharge, to any person obtaining a copy\nof this software and associated\ndocumentation files (the Software), to deal",
+}
+
+
+def test_wrapped_and_short_licences(spark):
+    rng = random.Random(9)
+    prose = lambda: " ".join(rng.choice(["river", "stone", "walks", "under", "green", "sky", "often"]) for _ in range(25))
+    rows = [(i, "\n".join([prose(), text, prose()]), "s") for i, text in enumerate(WRAPPED.values())]
+    rows += [(10, "All content CC BY-SA 4.0", "s"), (11, "Distributed under GPLv3", "s"), (12, WRAPPED["MIT"].replace("free of\n", "free of\n\n"), "s")] + [(100 + i, prose(), "s") for i in range(100)]
+    sure = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in license_scan.scan(docs_of(spark, rows)).collect() if r["confirmed"])
+    assert [x for x in sure if x[0] < 12] == [*((i, 1, family) for i, family in enumerate(WRAPPED)), (10, 0, "CC-BY-SA"), (11, 0, "GPL-3.0")]
+    assert all(i <= 12 for i, _, _ in sure)
+
+
+def test_licence_gate_is_complete(spark):
+    """Without the words of the gate no template has so many word pairs left that it could confirm."""
+    for _, template in license_scan.TEMPLATES:
+        words = template.split()
+        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+        rows = spark.createDataFrame([(x,) for x in pairs], "x string")
+        assert rows.where(~F.col("x").rlike(license_scan.GATE)).count() < 0.6 * len(pairs), template
+
+
 # pipeline
 
 

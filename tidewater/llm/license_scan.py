@@ -1,14 +1,13 @@
 """Licence scanning with a trained paragraph classifier, in DataFrame operations alone.
 
-A paragraph is a line of a text.  Words and word pairs, hashed into a sparse vector, go through a
-multinomial logistic regression over licence families and one class for everything else.  Families are
-accepted above a cut that is calibrated on paragraphs of the corpus itself, so that few of them pass.  The
-family's templates then confirm the prediction: enough of one template's word pairs must stand in the
-paragraph.
+A paragraph is a line of a text, or a run of consecutive lines if a notice goes over several.  Words and word
+pairs, hashed into a sparse vector, go through a multinomial logistic regression over licence families and one
+class for everything else.  Families are accepted above a cut that is calibrated on lines of the corpus's sample, so that few of them pass.  The family's templates then confirm the
+prediction: enough of one template's word pairs must stand in the paragraph.
 
 The regression is trained on notices made from the templates, on phrases that merely mention licences, and
 on a bounded sample of the corpus.  Paragraphs without any of the words that licence notices can't do
-without are left out before the classifier, by one pattern over the text.
+without are left out before the classifier, by one pattern: without its words no template has enough pairs left.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, StringIndexer, Tokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .shared import sample_by_hash, written
 
@@ -32,6 +31,7 @@ TEMPLATES = (
     ("GPL-2.0", "licensed under the gnu general public license version 2"),
     ("GPL-3.0", "licensed under the gnu general public license version 3"),
     ("GPL-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("GPL-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2"),
     ("LGPL", "licensed under the gnu lesser general public license"),
     ("AGPL", "licensed under the gnu affero general public license"),
     ("BSD", "licensed under the bsd 3 clause license"),
@@ -47,6 +47,16 @@ TEMPLATES = (
     ("CC-BY-SA", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("CC-BY-NC", "licensed under cc by nc 4 0"),
     ("CC-BY-NC", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("MIT", "distributed under mit"),
+    ("Apache-2.0", "distributed under apache 2 0"),
+    ("GPL-2.0", "distributed under gplv2"),
+    ("GPL-2.0", "distributed under the gpl version 2"),
+    ("GPL-3.0", "distributed under gplv3"),
+    ("GPL-3.0", "distributed under the gpl version 3"),
+    ("LGPL", "distributed under the lgpl"),
+    ("AGPL", "distributed under the agpl"),
+    ("BSD", "distributed under bsd"),
+    ("MPL-2.0", "distributed under mpl 2 0"),
 )
 #: What notices begin and end with.
 OPENINGS = ("", "this work is", "this file is", "this software is", "the code of this project is", "copyright 2020 the authors", "all content is", "spdx license identifier")
@@ -57,7 +67,23 @@ MENTIONS = (
     "a license plate from ohio", "the licensing board met", "ask permission before you copy", "artistic licence in film", "the fishing license expired", "without permission nobody may leave",
     "redistribution of income", "the public domain of knowledge", "copyright infringement cases rose",
 )
-GATE = r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|public domain|unencumbered|\bgnu\b|cc0"
+#: No notice is longer, in words.
+LONGEST = max(len(x.split()) for _, x in TEMPLATES)
+_GAP, _BEGIN, _END = r"[^\p{L}\p{N}]+", r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Words of lines that speak of licences.
+SPEAKS = (
+    r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|unencumbered|cc0|apache|mozilla"
+    rf"|public{_GAP}domain|creative{_GAP}commons|(?:under|the){_GAP}mit{_END}"
+    rf"|{_BEGIN}(?:gnu|bsd|mpl|isc|[al]?gpl(?:v?[0-9])?|cc{_GAP}by){_END}"
+)
+#: Word pairs of long templates; without these and the words above less than 0.6 of any template's pairs are left.
+PHRASES = (
+    "hereby", "granted free", "person obtaining", "obtaining a", "associated documentation", "documentation files", "file except", "except in", "in compliance", "compliance with", "may obtain",
+    "free software", "or modify", "modify it", "general public", "software foundation", "foundation either", "either version", "and binary", "binary forms", "forms with", "without modification",
+    "modification are", "are permitted", "permitted provided", "following conditions", "code form", "form is", "is subject", "use copy", "copy modify", "any purpose", "without fee", "fee is", "free and",
+    "software released", "extent possible", "possible under", "law the", "has waived", "waived all", "related rights", "under cc", "commons attribution", "attribution sharealike", "attribution noncommercial", "distributed under",
+)
+GATE = SPEAKS + "|" + "|".join(x.replace(" ", _GAP) for x in PHRASES)
 
 
 def _words(text: Column) -> Column:
@@ -73,9 +99,31 @@ def paragraphs(docs: DataFrame, gate: str | None = GATE, id_col: str = "doc_id",
     """(id, paragraph, words): the lines of each whole text, lower-cased words joined by spaces, that pass the gate."""
     rows = docs.where(F.col(text_col).rlike(gate)) if gate else docs
     lines = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line")))
-    if gate:
-        lines = F.filter(lines, lambda x: x["line"].rlike(gate))
-    return rows.select(F.col(id_col).alias("id"), F.inline(lines)).select("id", "paragraph", _words(F.col("line")).alias("words")).where("words <> ''")
+    found = rows.select(F.col(id_col).alias("id"), F.inline(lines)).select("id", "paragraph", _words(F.col("line")).alias("words")).where("words <> ''")
+    return found.where(F.col("words").rlike(gate)) if gate else found
+
+
+def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, id, paragraph, lines, words): lines, and runs of consecutive lines, that pass the gate.
+
+    A run ends before a line without words, and takes LONGEST words behind its first line at most, so a notice that
+    begins anywhere in a line is whole in a run from that line.  ``key`` tells the rows of ``docs`` apart.
+    """
+    rows = docs.where(F.col(text_col).rlike(GATE)).select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.transform(F.split(F.col(text_col), "\n"), _words).alias("all"))
+    starts = F.transform("all", lambda x, i: F.struct(i.alias("paragraph"), x.alias("first"), F.slice("all", i + 2, LONGEST).alias("ahead")))
+    lines = rows.select("key", "id", F.inline(starts)).where("first <> ''")
+    blank = F.array_position("ahead", "").cast("int")
+    lines = lines.withColumn("ahead", F.when(blank > 0, F.slice("ahead", 1, blank - 1)).otherwise(F.col("ahead")))
+    # word by word up to LONGEST, so that the last line may be cut
+    size = lambda x: F.size(F.split(x, " "))
+    before = F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda j: F.aggregate(F.slice("ahead", 1, j - 1), F.lit(0), lambda n, x: n + size(x)))
+    used = F.size(F.filter(before, lambda n: n < LONGEST))
+    more = lambda j: F.array_join(F.slice(F.split(F.array_join(F.slice("ahead", 1, j), " "), " "), 1, LONGEST), " ")
+    lines = lines.withColumn("used", F.when(F.size("ahead") > 0, used).otherwise(0))
+    # one pattern over the longest run first
+    lines = lines.where(F.concat_ws(" ", "first", more(F.col("used"))).rlike(GATE))
+    tries = F.transform(F.sequence(F.lit(0), F.col("used")), lambda j: F.struct((j + 1).alias("lines"), F.when(j == 0, F.col("first")).otherwise(F.concat_ws(" ", "first", more(j))).alias("words")))
+    return lines.select("key", "id", "paragraph", F.inline(tries)).where(F.col("words").rlike(GATE))
 
 
 def examples(spark: SparkSession) -> DataFrame:
@@ -86,14 +134,14 @@ def examples(spark: SparkSession) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample_rows: int = 2000, features: int = 1 << 13, text_col: str = "text", id_col: str = "doc_id") -> tuple[PipelineModel, float]:
-    """The trained pipeline and the calibrated cut, from the templates and the paragraphs of ``sample_rows`` documents.
+    """The trained pipeline and the cut, from the templates and the lines of ``sample_rows`` documents that don't pass the gate.
 
-    The documents are picked by a hash of their texts.  Half of their paragraphs teach the class for everything else,
-    the other half set the cut: 99 in 100 of them must stay below it.
+    The documents are picked by a hash of their texts.
     """
     spark = docs.sparkSession
-    sample = sample_by_hash(docs.where(F.col(text_col).isNotNull() & ~F.col(text_col).rlike(GATE)), text_col, sample_rows)
-    lines = written(paragraphs(sample.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), None, "id", "text").select(F.lit(OTHER).alias("family"), "words"), "licence-sample")
+    sample = sample_by_hash(docs.where(F.col(text_col).isNotNull()), text_col, sample_rows)
+    lines = paragraphs(sample.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), None, "id", "text").where(~F.col("words").rlike(GATE))
+    lines = written(lines.select(F.lit(OTHER).alias("family"), "words"), "licence-sample")
     half = F.pmod(F.xxhash64("words"), F.lit(2))
     # bounded by the fixed templates and sample_rows documents; one partition, so that a training step is one task
     teach = written(examples(spark).unionByName(lines.where(half == 0)).coalesce(1), "licence-teach")
@@ -121,21 +169,47 @@ def predict(rows: DataFrame, model: PipelineModel) -> DataFrame:
     return found.withColumn("best", F.array_max(pairs)).select(*kept, F.col("best.family").alias("family"), F.col("best.probability").alias("probability"))
 
 
+def _chosen(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, paragraph, lines, family, probability, similarity, confirmed, speaks, ...) with each notice once.
+
+    Runs, and lines that have just phrases of notices, count if confirmed.  Of runs that overlap and are of one family, or one inside the other, the most similar
+    stays, then the shortest.  Lines stay unless they are part of a run that tells more.
+    """
+    near = Window.partitionBy("key").orderBy("paragraph").rangeBetween(-LONGEST, LONGEST)
+    one = F.struct(F.col("similarity").alias("s"), (-F.col("lines")).alias("l"), F.col("probability").alias("p"), (-F.col("paragraph")).alias("b"), "paragraph", (F.col("paragraph") + F.col("lines") - 1).alias("last"), "family")
+    rows = rows.where(((F.col("lines") == 1) & F.col("speaks")) | F.col("confirmed")).withColumn("one", one)
+
+    def overlap(x):
+        return (x["paragraph"] <= F.col("one.last")) & (x["last"] >= F.col("paragraph"))
+
+    def nested(x):
+        inside = (x["paragraph"] >= F.col("paragraph")) & (x["last"] <= F.col("one.last"))
+        return inside | ((x["paragraph"] <= F.col("paragraph")) & (x["last"] >= F.col("one.last")))
+
+    # rows of one start: the best of each family is enough to beat others
+    best = F.collect_set(F.when(F.col("confirmed"), F.col("one"))).over(near)
+    beaten = F.exists("best", lambda x: (x > F.col("one")) & overlap(x) & ((x["family"] == F.col("family")) | (nested(x) & (F.col("lines") > 1))))
+    rows = rows.withColumn("best", best).where(~(F.col("confirmed") & beaten)).drop("best")
+    kept = F.collect_set(F.when(F.col("confirmed") & (F.col("lines") > 1), F.col("one"))).over(near)
+    return rows.withColumn("kept", kept).where(F.col("confirmed") | ~F.exists("kept", overlap)).drop("kept", "one")
+
+
 def scan(docs: DataFrame, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed): every paragraph that speaks of licences.
 
-    ``family`` is ``unknown`` below the calibrated cut.  ``similarity`` is the largest share of word pairs of one of the
+    A notice over several lines is one paragraph, named by its first line.  ``family`` is ``unknown`` below the calibrated cut.  ``similarity`` is the largest share of word pairs of one of the
     family's templates that the paragraph has; ``confirmed`` says whether it reaches ``confirm``.  Paragraphs count
     from 0.  Null and empty texts have none, null ids pass through, repeated rows repeat theirs, an empty
     table gives an empty result, and other columns are ignored.
     """
     spark = docs.sparkSession
     model, cut = fit(docs, text_col=text_col, id_col=id_col, **how)
-    found = predict(paragraphs(docs, id_col=id_col, text_col=text_col), model)
+    found = predict(written(runs(docs, id_col, text_col), "licence-runs"), model)
     templates = spark.createDataFrame(list(TEMPLATES), "family string, template string").select("family", _pairs(F.col("template")).alias("pairs"))
     own = templates.groupBy(F.col("family").alias("t_family")).agg(F.collect_list("pairs").alias("templates"))
     rows = found.withColumn("pairs", _pairs(F.col("words"))).join(F.broadcast(own), F.col("family") == F.col("t_family"))  # own: the fixed list above
     similarity = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
-    rows = rows.withColumn("similarity", F.round(similarity, 6))
+    rows = written(rows.select("key", "id", "paragraph", "lines", "family", "probability", F.round(similarity, 6).alias("similarity"), F.col("words").rlike(SPEAKS).alias("speaks")), "licence-scored")
     sure = F.col("probability") >= cut
-    return rows.select(F.col("id").alias(id_col), "paragraph", F.when(sure, F.col("family")).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"), "similarity", (sure & (F.col("similarity") >= confirm)).alias("confirmed"))
+    rows = _chosen(rows.withColumn("confirmed", sure & (F.col("similarity") >= confirm)))
+    return rows.select(F.col("id").alias(id_col), "paragraph", F.when(sure, F.col("family")).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"), "similarity", "confirmed")
