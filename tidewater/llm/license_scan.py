@@ -2,7 +2,8 @@
 
 A paragraph is a line of a text, or a run of consecutive lines if a notice goes over several.  Words and word
 pairs, hashed into a sparse vector, go through a multinomial logistic regression over licence families and one
-class for everything else.  Families are accepted above a cut that is calibrated on lines of the corpus's sample, so that few of them pass.  The family's templates then confirm the
+class for everything else.  Families are accepted above a cut that is calibrated on all lines of the corpus that
+are scored and that no template fits, so that few of them pass.  The family's templates then confirm the
 prediction: enough of one template's word pairs must stand in the paragraph.
 
 The regression is trained on notices made from the templates, on phrases that merely mention licences, and
@@ -133,8 +134,8 @@ def examples(spark: SparkSession) -> DataFrame:
     return both.select("family", F.trim(F.concat_ws(" ", F.when(F.col("opening") != "", F.col("opening")), "template", F.when(F.col("closing") != "", F.col("closing")))).alias("words"))
 
 
-def fit(docs: DataFrame, sample_rows: int = 2000, features: int = 1 << 13, text_col: str = "text", id_col: str = "doc_id") -> tuple[PipelineModel, float]:
-    """The trained pipeline and the cut, from the templates and the lines of ``sample_rows`` documents that don't pass the gate.
+def fit(docs: DataFrame, sample_rows: int = 2000, features: int = 1 << 13, text_col: str = "text", id_col: str = "doc_id") -> PipelineModel:
+    """The trained pipeline, from the templates and the lines of ``sample_rows`` documents that don't pass the gate.
 
     The documents are picked by a hash of their texts.
     """
@@ -142,9 +143,8 @@ def fit(docs: DataFrame, sample_rows: int = 2000, features: int = 1 << 13, text_
     sample = sample_by_hash(docs.where(F.col(text_col).isNotNull()), text_col, sample_rows)
     lines = paragraphs(sample.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), None, "id", "text").where(~F.col("words").rlike(GATE))
     lines = written(lines.select(F.lit(OTHER).alias("family"), "words"), "licence-sample")
-    half = F.pmod(F.xxhash64("words"), F.lit(2))
     # bounded by the fixed templates and sample_rows documents; one partition, so that a training step is one task
-    teach = written(examples(spark).unionByName(lines.where(half == 0)).coalesce(1), "licence-teach")
+    teach = written(examples(spark).unionByName(lines).coalesce(1), "licence-teach")
     stages = [
         SQLTransformer(statement="SELECT *, words AS line FROM __THIS__"),
         Tokenizer(inputCol="line", outputCol="unigrams"),
@@ -156,9 +156,7 @@ def fit(docs: DataFrame, sample_rows: int = 2000, features: int = 1 << 13, text_
     fitted = Pipeline(stages=[*stages, names, LogisticRegression(featuresCol="counts", labelCol="label", regParam=0.002, maxIter=60, family="multinomial")]).fit(teach)
     model = PipelineModel([*fitted.stages[:-2], fitted.stages[-1]])
     model.names = names.labels
-    known = predict(lines.where(half == 1), model)
-    cut = known.agg(F.percentile_approx("probability", 0.99, 10000)).first()[0]
-    return model, max(0.5, cut or 0.0)
+    return model
 
 
 def predict(rows: DataFrame, model: PipelineModel) -> DataFrame:
@@ -169,6 +167,15 @@ def predict(rows: DataFrame, model: PipelineModel) -> DataFrame:
     return found.withColumn("best", F.array_max(pairs)).select(*kept, F.col("best.family").alias("family"), F.col("best.probability").alias("probability"))
 
 
+def calibrate(scored: DataFrame, confirm: float) -> float:
+    """The cut: 99 in 100 of the scored lines that no template fits, by themselves or as part of a run, stay below it."""
+    fits = F.col("similarity") >= confirm
+    lines = scored.where((F.col("lines") == 1) & ~fits).select("key", "paragraph", "probability")
+    covered = scored.where(fits).select("key", F.explode(F.sequence(F.col("paragraph"), F.col("paragraph") + F.col("lines") - 1)).alias("paragraph")).distinct()
+    cut = lines.join(covered, ["key", "paragraph"], "left_anti").agg(F.percentile_approx("probability", 0.99, 10000)).first()[0]
+    return max(0.5, cut or 0.0)
+
+
 def _chosen(rows: DataFrame) -> DataFrame:
     """``rows`` (key, paragraph, lines, family, probability, similarity, confirmed, speaks, ...) with each notice once.
 
@@ -203,13 +210,13 @@ def scan(docs: DataFrame, confirm: float = 0.6, id_col: str = "doc_id", text_col
     table gives an empty result, and other columns are ignored.
     """
     spark = docs.sparkSession
-    model, cut = fit(docs, text_col=text_col, id_col=id_col, **how)
+    model = fit(docs, text_col=text_col, id_col=id_col, **how)
     found = predict(written(runs(docs, id_col, text_col), "licence-runs"), model)
     templates = spark.createDataFrame(list(TEMPLATES), "family string, template string").select("family", _pairs(F.col("template")).alias("pairs"))
     own = templates.groupBy(F.col("family").alias("t_family")).agg(F.collect_list("pairs").alias("templates"))
     rows = found.withColumn("pairs", _pairs(F.col("words"))).join(F.broadcast(own), F.col("family") == F.col("t_family"))  # own: the fixed list above
     similarity = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
     rows = written(rows.select("key", "id", "paragraph", "lines", "family", "probability", F.round(similarity, 6).alias("similarity"), F.col("words").rlike(SPEAKS).alias("speaks")), "licence-scored")
-    sure = F.col("probability") >= cut
+    sure = F.col("probability") >= calibrate(rows, confirm)
     rows = _chosen(rows.withColumn("confirmed", sure & (F.col("similarity") >= confirm)))
     return rows.select(F.col("id").alias(id_col), "paragraph", F.when(sure, F.col("family")).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"), "similarity", "confirmed")
