@@ -323,6 +323,13 @@ def test_licence_gate_is_complete(spark):
         assert rows.where(~F.col("x").rlike(license_scan.GATE)).count() < 0.6 * len(pairs), template
 
 
+def test_licence_sample_takes_a_text_once(spark):
+    from tidewater.llm.shared import sample_by_hash
+
+    docs = docs_of(spark, [(i, "one text" if i % 2 else f"text {i}", "s") for i in range(100)])
+    assert sample_by_hash(docs, "text", 100).count() == 51
+
+
 def test_licence_cut_covers_all_scored_lines(spark):
     rows = [(i, 0, 1, i / 1000, 0.1) for i in range(1000)] + [(2000, 0, 1, 0.9999, 1.0)] * 500 + [(3000, 0, 1, 0.9999, 0.3), (3000, 0, 2, 0.9999, 0.9)] * 100
     scored = spark.createDataFrame(rows, "key long, paragraph int, lines int, probability double, similarity double")

@@ -134,16 +134,16 @@ def examples(spark: SparkSession) -> DataFrame:
     return both.select("family", F.trim(F.concat_ws(" ", F.when(F.col("opening") != "", F.col("opening")), "template", F.when(F.col("closing") != "", F.col("closing")))).alias("words"))
 
 
-def fit(docs: DataFrame, sample_rows: int = 2000, features: int = 1 << 13, text_col: str = "text", id_col: str = "doc_id") -> PipelineModel:
+def fit(docs: DataFrame, sample_rows: int = 2000, features: int = 1 << 13, text_col: str = "text", id_col: str = "doc_id", sample_lines: int = 20_000) -> PipelineModel:
     """The trained pipeline, from the templates and the lines of ``sample_rows`` documents that don't pass the gate.
 
-    The documents are picked by a hash of their texts.
+    The documents are picked by a hash of their texts, each text once, and of their lines ``sample_lines`` at most, by a hash.
     """
     spark = docs.sparkSession
     sample = sample_by_hash(docs.where(F.col(text_col).isNotNull()), text_col, sample_rows)
     lines = paragraphs(sample.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), None, "id", "text").where(~F.col("words").rlike(GATE))
-    lines = written(lines.select(F.lit(OTHER).alias("family"), "words"), "licence-sample")
-    # bounded by the fixed templates and sample_rows documents; one partition, so that a training step is one task
+    lines = written(lines.select(F.lit(OTHER).alias("family"), "words").distinct().orderBy(F.xxhash64("words")).limit(sample_lines), "licence-sample")
+    # bounded by the fixed templates and sample_lines lines; one partition, so that a training step is one task
     teach = written(examples(spark).unionByName(lines).coalesce(1), "licence-teach")
     stages = [
         SQLTransformer(statement="SELECT *, words AS line FROM __THIS__"),

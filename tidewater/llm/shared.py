@@ -76,10 +76,11 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def sample_by_hash(df: DataFrame, column: str, n: int) -> DataFrame:
-    """About the ``n`` rows with the smallest hashes of ``column``; the hashes alone are ordered, and equal values go together."""
+    """The ``n`` values of ``column`` with the smallest hashes, each once; the hashes alone are ordered."""
     key = F.xxhash64(column)
     last = df.select(key.alias("key")).distinct().orderBy("key").limit(n).agg(F.max("key")).first()[0]
-    return df.where(key <= F.lit(last)) if last is not None else df.limit(0)
+    few = df.where(key <= F.lit(last)) if last is not None else df.limit(0)
+    return few.groupBy(key.alias("key")).agg(F.any_value(column).alias(column)).select(column)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
