@@ -279,6 +279,15 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.where("doc_id = 1")).where("secret = 1 and score is null").count() == 1
 
 
+def test_ordinary_words_come_from_all_texts(spark):
+    rows = [(i, f"alpha beta {'xyz' if i < 2 else ''} {i}", "s") for i in range(4500)]
+    known = secret_scan.learn_ordinary(docs_of(spark, rows), words=3)
+    assert known.pieces == {b"alpha", b"beta", b"xyz"}
+    a = 4500.0  # "al" and "lp" each once in a text; 256 cells of a row begin at one
+    assert np.isclose(np.exp(known.log[ord("l"), ord("p")]), (a + 1) / (a + 256))
+    assert np.isclose(np.exp(known.log[ord("x"), ord("y")]), 3 / 258)
+
+
 # licences
 
 

@@ -5,7 +5,7 @@ character classes and entropy, how likely its character transitions are in ordin
 words of the corpus cover, the path of its document, and the words around it.  A random forest trained on labelled
 findings then separates secrets from identifiers, numbers and long words.
 
-What ordinary words look like is learned from a bounded sample of words; every text is scanned whole.
+What ordinary words look like is counted over the words of all texts; every text is scanned whole.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import sample_by_hash, slices, small_batches, written
+from .shared import slices, small_batches, written
 
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{12,}=*")
 #: Words that stand before secrets, words that stand around samples, and path pieces of samples.
@@ -33,13 +33,12 @@ FEATURES = ("length", "digits", "uppers", "lowers", "signs", "entropy", "transit
 class Ordinary:
     """Character transitions and frequent words of a corpus; both of fixed size."""
 
-    def __init__(self, words: list[tuple[str, int]]):
+    def __init__(self, words: list[str], cells: list[tuple[int, int, int]]):
         counts = np.ones((256, 256))
-        for word, n in words:
-            b = np.frombuffer(word.encode(), np.uint8)
-            np.add.at(counts, (b[:-1], b[1:]), n)
+        for a, b, n in cells:
+            counts[a, b] += n
         self.log = np.log(counts / counts.sum(1, keepdims=True))
-        self.pieces = {w.lower().encode() for w, _ in words if len(w) >= 3}
+        self.pieces = {w.lower().encode() for w in words if len(w) >= 3}
 
     def transitions(self, token: bytes) -> float:
         b = np.frombuffer(token, np.uint8)
@@ -58,11 +57,23 @@ class Ordinary:
         return covered / max(1, len(low))
 
 
-def learn_ordinary(docs: DataFrame, words: int = 4000, sample_rows: int = 4000, text_col: str = "text") -> Ordinary:
-    """The most frequent ``words`` words of ``sample_rows`` documents, picked by a hash of their texts."""
-    sample = sample_by_hash(docs.where(F.col(text_col).isNotNull()), text_col, sample_rows)
-    found = sample.select(F.explode(F.split(text_col, r"[^\p{L}]+")).alias("word")).where("length(word) between 2 and 11").groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).collect()
-    return Ordinary([(r["word"], r["count"]) for r in found])
+def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cells = np.zeros((256, 256), np.int64)
+    for batch in batches:
+        for word, n in zip(batch.column("word").to_pylist(), batch.column("count").to_pylist(), strict=True):
+            b = np.frombuffer(word.encode(), np.uint8)
+            np.add.at(cells, (b[:-1], b[1:]), n)
+    a, b = np.nonzero(cells)
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(cells[a, b])], ["a", "b", "n"])
+
+
+def learn_ordinary(docs: DataFrame, words: int = 4000, text_col: str = "text") -> Ordinary:
+    """The most frequent ``words`` words and the character transitions of all words, over all texts."""
+    found = docs.select(F.explode(F.split(text_col, r"[^\p{L}]+")).alias("word")).where("length(word) between 2 and 11").groupBy("word").count()
+    found = written(found, "secret-words")
+    top = found.orderBy(F.desc("count"), "word").limit(words).collect()
+    cells = found.mapInArrow(_transitions, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # 65,536 at most
+    return Ordinary([r["word"] for r in top], [tuple(r) for r in cells])
 
 
 def describe(before: bytes, token: bytes, after: bytes, path: str, known: Ordinary) -> list[float]:
