@@ -112,6 +112,36 @@ def test_two_groupings_meet_both_targets(spark):
     assert abs(a["x"] / a["y"] - b["x"] / b["y"]) < 1e-6  # exponentially tilted: the rates are products
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Of rows alike, as many as needed have one more copy; names that clash come through whole."""
+    rng = random.Random(12)
+    base = [(i, " ".join(["w"] * rng.randint(20, 60)), "hot") for i in range(12)]
+    rows = [r for r in base for _ in range(rng.randint(20, 200))] + [(100 + i, " ".join(["v"] * rng.randint(1, 50)), "b") for i in range(300)] + [(None, None, None), (7, "", "hot")]
+    docs = spark.createDataFrame([(*r, "x", n, "k", n) for n, r in enumerate(rows)], "doc_id long, text string, source string, __id string, __key int, cell string, size int").repartition(6)
+    got = mixing.decide(docs).collect()
+    assert len(got) == len(rows)
+    for name, first in (("hot", 0), ("b", 100)):
+        own = [r for r in got if r["doc_id"] is not None and (r["doc_id"] < 100) == (first == 0)]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 20, name  # the sizes of 12 documents leave a few words
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    rows_out = out.collect()
+    assert len(rows_out) == sum(r["copies"] for r in got)
+    assert all((r["text"], r["__id"], r["cell"]) == (rows[r["__key"]][1], "x", "k") and r["__key"] == r["size"] for r in rows_out)
+    most = {}
+    for r in rows_out:
+        most[r["__key"]] = most.get(r["__key"], 0) + 1
+    assert max(most.values()) <= 2
+    assert sum(len((r["text"] or "").split()) for r in rows_out) == sum(r["taken"] for r in got)
+
+
+def test_targets_out_of_reach(spark):
+    cells = spark.createDataFrame([("a", 10.0), ("b", 30.0)], "s string, size double")
+    with pytest.raises(ValueError):
+        mixing.balance(cells, {"s": spark.createDataFrame([("a", 50.0), ("b", 10.0)], "group string, target double")})
+
+
 # token records
 
 
@@ -198,9 +228,22 @@ def test_search(spark):
     assert one_bit_search.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_search_with_repeated_ids(spark):
+    """Rows that repeat the query's own id don't use up its places; repeated rows are candidates each."""
+    rng = np.random.RandomState(9)
+    vector = lambda: [float(x) for x in rng.standard_normal(8)]
+    same = vector()
+    rows = [(0, same)] * 30 + [(5, same), (6, same)] + [(7, same)] * 3 + [(10 + i, vector()) for i in range(50)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in one_bit_search.search(vectors, vectors.where("vec_id = 0"), k=10).collect())
+    assert got[:5] == [(1, 5, 0.0), (2, 6, 0.0), (3, 7, 0.0), (4, 7, 0.0), (5, 7, 0.0)] and [r for r, _, _ in got] == list(range(1, 11))
+    assert all(i >= 10 for _, i, _ in got[5:])
+
+
 def test_blocks_of_the_search(spark, monkeypatch):
     monkeypatch.setattr(one_bit_search, "CODE_BLOCK", 40)
     monkeypatch.setattr(one_bit_search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(one_bit_search, "QUERY_BLOCKS", 2)
     rng = np.random.RandomState(5)
     rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .components import stars
-from .shared import discard, slices, small_batches, written
+from .shared import discard, own_jobs, slices, written
 from .words import Words, mix, windows
 
 BUCKETS = 22  # bits of the table of n-gram frequencies
@@ -273,7 +273,6 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     Rows with equal sets, repeated rows included, link.  A null id stands for no smallest id: such a row
     gets the component of the rows it links with, else null.  An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     join = Join(rows, size, percent)
     first = join.links(join.star_pairs())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -40,14 +40,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def held(spark: SparkSession, **settings: str):
+    """Session settings (dots as ``__``) that hold inside the block alone."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def own_jobs(spark: SparkSession, rows: int = 500):
+    """Settings of the operators' own jobs: shuffle files go when a job ends, and Python workers
+    get texts in batches of at most ``rows``, so that long texts don't add up in memory.
+    """
+    most = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    rows = min(rows, most) if most > 0 else rows
+    return held(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with own_jobs(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["scratch"] = path
-    release(spark)
     return out
 
 
@@ -57,24 +80,11 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df.__dict__["scratch"])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand texts to Python workers in batches of at most ``rows``, so that long texts don't add up in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def sample_by_hash(df: DataFrame, column: str, n: int) -> DataFrame:
     """The ``n`` values of ``column`` with the smallest hashes, each once; the hashes alone are ordered."""
     key = F.xxhash64(column)
