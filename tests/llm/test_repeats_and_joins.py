@@ -135,13 +135,30 @@ def test_blocks_of_a_crowded_ngram(spark, monkeypatch):
 
 
 def test_keep_one(spark):
-    texts = corpus(4)
-    docs = rows_of(spark, texts)
+    texts = corpus(4) + [(9, "two unlike documents share one id here a"), (9, "nothing in common with that other one b"), (None, None), (None, ""), (None, " ".join(["la"] * 30)), (None, " ".join(["la"] * 30))]
+    texts += [(3, "the same words stand in rows three and five"), (5, "the same words stand in rows three and five"), (5, "the same words stand in rows three and five"), (5, "another text of row five it is")]
+    docs = spark.createDataFrame([(i, t, n, "x", "y", 1) for n, (i, t) in enumerate(texts)], "doc_id long, text string, id long, text_key string, wordless string, c int").repartition(5)
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
-    by_hand = [i for i, _, c in groups_by_hand([(i if i is not None else -1, t) for i, t in texts]) if i == c]
-    found = [r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()]
-    assert sorted(found) == sorted(set(by_hand))
+    found = [r["id"] for r in kept.collect()]
+    assert len(found) == len(set(found))
+    groups = groups_by_hand([(n, t) for n, (_, t) in enumerate(texts)])
+    want: dict = {}
+    for n, size, c in groups:
+        want.setdefault(c if size else ("alone", n), []).append(n)
+    for members in want.values():
+        stays = [n for n in found if n in members]
+        ids = [texts[n][0] for n in members if texts[n][0] is not None]
+        assert len(stays) == 1 and texts[stays[0]][0] == (min(ids) if ids else None)
+
+
+def test_many_rows_without_ids(spark):
+    """Rows without ids meet their own class alone, and a text by the hundreds is compared once."""
+    rng = random.Random(6)
+    base = [rng.choice("abcdefghijkl") * 3 + str(k) for k in range(60)]
+    texts = [(None, " ".join(base))] * 300 + [(None, " ".join(base[:-2] + [f"x{i}"])) for i in range(20)] + [(None, " ".join(rng.sample(base, 30))) for _ in range(30)] + [(7, " ".join(base))] * 40
+    found = [tuple(r) for r in jaccard_join.components(rows_of(spark, texts)).collect()]
+    assert sort(found) == sort(groups_by_hand(texts))
 
 
 def test_stars(spark):

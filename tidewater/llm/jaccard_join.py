@@ -10,16 +10,18 @@ Pairs to count come from the order, too.  Similar sets share an n-gram among the
 n - ceil(t * n) + 1 of each; and of the first one they share, all that stands before it in either set is
 lost to the overlap.  Equal sets form one class and stand for each other.  Links are wanted for
 components, so an n-gram's classes are first compared with one of them alone, the one with the least
-to lose; only pairs that are then still in different components are looked at one by one, an n-gram's
-classes in blocks of bounded size.  No link between different components is left out, while copies by the
-thousand cost one comparison each.
+to lose; only classes that are then still in different components are looked at pair by pair.  For that they
+are cut into bands of sizes that can be similar at all, a class that has lost too much for the smallest of its
+band is out, and the rest is dealt in blocks of bounded size.  No link between different components
+is left out, while copies by the thousand cost one comparison each.
 
-N-grams are 60-bit hashes (48 bits of them in segments); equal hashes of different n-grams in one pair
-are as likely as 1e-8 for sets of a thousand.
+Classes are told apart by 128 bits of their sets, n-grams by 60-bit hashes (48 bits of them in segments);
+equal hashes of different n-grams in one pair are as likely as 1e-8 for sets of a thousand.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,9 @@ from .shared import discard, own_jobs, slices, written
 from .words import Words, mix, windows
 
 BUCKETS = 22  # bits of the table of n-gram frequencies
-CHUNKS = 64  # that it is added up in
+CHUNKS, SHARES = 64, 8  # that it is added up in
 FRAGMENTS = 3  # two halves of the rare n-grams, and the frequent ones
 BLOCK = 512
-NONE = -(2**63)
 
 
 def _sets(texts: pa.Array, size: int, level: np.ndarray | None) -> list[np.ndarray]:
@@ -53,12 +54,11 @@ def _sets(texts: pa.Array, size: int, level: np.ndarray | None) -> list[np.ndarr
     return out
 
 
-def _class(own: np.ndarray) -> int:
-    """63 bits that stand for the set."""
-    if not len(own):
-        return 0
-    place = mix(np.arange(len(own), dtype=np.uint64) + np.uint64(1))
-    return int(mix(np.array([(mix(own) * (place | np.uint64(1))).sum(dtype=np.uint64) ^ np.uint64(len(own))], np.uint64))[0] >> np.uint64(1))
+def _class(own: np.ndarray) -> bytes:
+    """128 bits that stand for the set."""
+    place = mix(np.arange(len(own), dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
+    sums = [(mix(own ^ salt) * place).sum(dtype=np.uint64) ^ np.uint64(len(own)) for salt in (np.uint64(0), np.uint64(0x9E3779B97F4A7C15))]
+    return mix(np.array(sums, np.uint64)).tobytes()
 
 
 def _frequencies(size: int):
@@ -74,7 +74,7 @@ def _frequencies(size: int):
         if counts.any():
             packed = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, -1)
             for chunk in range(CHUNKS):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([task % 64], pa.int32()), pa.array([packed[chunk].astype("<u4").tobytes()])], ["chunk", "share", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([task % SHARES], pa.int32()), pa.array([packed[chunk].tobytes()])], ["chunk", "share", "counts"])
 
     return run
 
@@ -88,7 +88,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()])], ["chunk", "share", "counts"])
                 key, total = (chunk, share), np.zeros((1 << BUCKETS) // CHUNKS, np.uint32)
-            total = total + np.frombuffer(counts, np.uint32)
+            total += np.frombuffer(counts, np.uint8 if len(counts) == len(total) else np.uint32)
     if key is not None:
         yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()])], ["chunk", "share", "counts"])
 
@@ -104,8 +104,9 @@ def frequency_levels(rows: DataFrame, size: int) -> np.ndarray:
         found = found.repartition(min(n, CHUNKS), *by).sortWithinPartitions("chunk", "share").mapInArrow(_added, schema)
         found = found.withColumn("share", F.lit(0)) if by == ["chunk", "share"] else found
     counts = np.zeros((CHUNKS, (1 << BUCKETS) // CHUNKS), np.uint32)
-    for r in found.select("chunk", "counts").toLocalIterator():  # CHUNKS rows
-        counts[r["chunk"]] += np.frombuffer(r["counts"], np.uint32)
+    with own_jobs(rows.sparkSession):
+        for r in found.select("chunk", "counts").collect():  # CHUNKS rows of fixed size
+            counts[r["chunk"]] += np.frombuffer(r["counts"], np.uint32)
     usual, levels = counts.mean(), np.zeros(counts.shape, np.uint8)
     for own, out in zip(counts, levels, strict=True):
         over = np.maximum(own - usual - 3 * np.sqrt(usual), 0)  # what a bucket has beyond its share of rare n-grams
@@ -118,19 +119,19 @@ def _prefixes(size: int, percent: int, level):
         for batch in slices(batches):
             sets = _sets(batch.column("text"), size, level.value)
             prefix = [own[: len(own) - -(-percent * len(own) // 100) + 1].view(np.int64) for own in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_class(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "c", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array([_class(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "text_key", "h", "n", "prefix"])
 
     return run
 
 
 def _segments(size: int, level):
-    """(c, part, grams, length) of the rows whose set is the one that is asked for."""
+    """(c, part, grams, length) of the rows whose set is that of the class asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for own, want in zip(_sets(batch.column("text"), size, level.value), batch.column("want").to_pylist(), strict=True):
-                if _class(own) == want:
+            for own, want, h in zip(_sets(batch.column("text"), size, level.value), batch.column("want").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                if _class(own) == h:
                     cut = np.searchsorted(own, np.array([1 << 59, 1 << 60], np.uint64))
                     for part, x in enumerate(np.split(own, cut)):
                         out.append((want, part, np.ascontiguousarray(((x << np.uint64(4)) | (x >> np.uint64(60))).view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes(), len(x)))
@@ -158,12 +159,13 @@ def _needed(n_a, n_b, percent: int):
 
 
 def _cross_pairs(percent: int):
-    """Pairs of rows of one (token, block, block) that can reach the threshold and are in different components.
+    """Pairs of rows of one (token, band, block, block) that can reach the threshold and are in different components.
 
     Rows come sorted by the key; groups are bounded by BLOCK, and the last one of a batch waits for the next.
     """
+    by = ("token", "band", "lo", "hi")
 
-    def pairs(key: np.ndarray, c, n, i, comp, side) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(key: np.ndarray, c, n, i, comp, side, visits) -> np.ndarray:
         found, at = [], np.arange(len(c))
         for step in range(1, len(c)):
             at = at[at + step < len(c)]
@@ -172,7 +174,7 @@ def _cross_pairs(percent: int):
                 break
             to = at + step
             need = _needed(n[at], n[to], percent)
-            good = (comp[at] != comp[to]) & (n[at] - i[at] >= need) & (n[to] - i[to] >= need) & ((side[at] != side[to]) | (side[at] == 2))
+            good = (comp[at] != comp[to]) & (n[at] - i[at] >= need) & (n[to] - i[to] >= need) & ((side[at] != side[to]) | (side[at] == 2)) & ~(visits[at] & visits[to])
             found.append(np.stack([np.minimum(c[at], c[to]), np.maximum(c[at], c[to]), np.where(c[at] < c[to], n[at], n[to]), np.where(c[at] < c[to], n[to], n[at])], 1)[good])
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
 
@@ -181,7 +183,9 @@ def _cross_pairs(percent: int):
         for batch in batches:
             rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
             rows = {k: np.concatenate([kept[k], v]) for k, v in rows.items()} if kept else rows
-            last = (rows["token"] == rows["token"][-1]) & (rows["lo"] == rows["lo"][-1]) & (rows["hi"] == rows["hi"][-1])
+            if not len(rows["token"]):
+                continue
+            last = np.logical_and.reduce([rows[k] == rows[k][-1] for k in by])
             kept = {k: v[last] for k, v in rows.items()}
             yield from out({k: v[~last] for k, v in rows.items()})
         if kept:
@@ -190,30 +194,36 @@ def _cross_pairs(percent: int):
     def out(rows: dict) -> Iterator[pa.RecordBatch]:
         if len(rows["token"]):
             new = np.ones(len(rows["token"]), bool)
-            new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1])
-            found = pairs(np.cumsum(new), *(rows[k] for k in ("c", "n", "i", "comp", "side")))
+            new[1:] = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in by])
+            found = pairs(np.cumsum(new), *(rows[k] for k in ("c", "n", "i", "comp", "side", "visits")))
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(4)], ["a", "b", "n_a", "n_b"])
 
     return run
 
 
 class Join:
-    """The steps of one join, over ``rows`` (id, text) with the class table in hand."""
+    """The steps of one join, over ``rows`` (id, text_key, text) with the class table in hand.
+
+    ``text_key`` is a hash of the text, by which a class's text is found again, whatever the ids are.
+    """
 
     def __init__(self, rows: DataFrame, size: int, percent: int):
         self.rows, self.size, self.percent, self.spark = rows, size, percent, rows.sparkSession
-        self.level = self.spark.sparkContext.broadcast(frequency_levels(rows, size))
-        prefixes = written(rows.mapInArrow(_prefixes(size, percent, self.level), "id long, c long, n long, prefix array<long>"), "join-prefixes")
-        self.members = written(prefixes.select("id", "c", "n"), "join-members")
-        self.classes = self.members.where("n > 0").groupBy("c").agg(F.min(F.coalesce("id", F.lit(NONE))).alias("rep"))
-        self.shared = written(self._shared(prefixes.where("n > 0")), "join-shared")
-        discard(prefixes)
-
-    def _shared(self, prefixes: DataFrame) -> DataFrame:
+        self.level = self.spark.sparkContext.broadcast(frequency_levels(rows, size))  # 2 ** BUCKETS bytes
+        prefixes = written(rows.mapInArrow(_prefixes(size, percent, self.level), "id long, text_key long, h binary, n long, prefix array<long>"), "join-prefixes")
+        self.members = written(prefixes.select("id", "text_key", "h", "n"), "join-members")
+        # equal sets have equal prefixes; a class is known by a number from here on
+        classes = prefixes.where("n > 0").groupBy("h").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("prefix").alias("prefix"))
+        classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "join-numbered")
+        self.classes = written(classes.drop("prefix"), "join-classes")
+        self.shared = written(self._shared(classes.select("c", "n", "prefix")), "join-shared")
+        discard(prefixes, classes)
+
+    def _shared(self, classes: DataFrame) -> DataFrame:
         """(token, c, n, i): the classes of each n-gram that stands in the prefixes of two classes or more."""
-        rows = prefixes.select("c", "n", F.posexplode("prefix").alias("i", "token"))
-        tokens = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("token").alias("t"))
-        return rows.join(tokens, F.col("token") == F.col("t")).groupBy("token", "c").agg(F.min("n").alias("n"), F.min("i").cast("long").alias("i"))
+        rows = classes.select("c", "n", F.posexplode("prefix").alias("i", "token"))
+        tokens = rows.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select(F.col("token").alias("t"))
+        return rows.join(tokens, F.col("token") == F.col("t")).select("token", "c", "n", F.col("i").cast("long").alias("i"))
 
     def star_pairs(self) -> DataFrame:
         """Each n-gram's classes with that one of them which has the least before the n-gram."""
@@ -224,36 +234,47 @@ class Join:
         return rows.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b"), F.when(low, F.col("n")).otherwise(F.col("n_h")).alias("n_a"), F.when(low, F.col("n_h")).otherwise(F.col("n")).alias("n_b")).distinct()
 
     def cross_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs of classes of one n-gram that are still in different components, each pair once."""
+        """Pairs of classes of one n-gram that are still in different components, each pair once for an n-gram.
+
+        Sets that can be similar are in one band of sizes or in bands next to each other: each class is at home in
+        its own band and visits the one below.
+        """
         rows = self.shared.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("c") == F.col("node"), "left").select("token", "c", "n", "i", F.coalesce("root", "c").alias("comp"))
-        live = rows.groupBy("token").agg(F.count("*").alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("token").alias("t"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(live, F.col("token") == F.col("t")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        live = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("token").alias("t"))
+        rows = written(rows.join(live, F.col("token") == F.col("t")).drop("t"), "join-live")
+        ratio = max(math.log(100 / self.percent) * 1.001, 0.01)
+        home = F.floor(F.log(F.col("n")) / F.lit(ratio)).cast("int")
+        rows = rows.withColumn("band", F.explode(F.array(home, home - 1))).withColumn("visits", F.col("band") < home)
+        # the size that a partner may have at most, after what stands before the n-gram is lost
+        reach = F.lit(100 + self.percent) * (F.col("n") - F.col("i")) - F.lit(self.percent) * F.col("n")
+        groups = rows.groupBy("token", "band").agg(F.count("*").alias("all"), F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(~F.col("visits")).alias("homes"))
+        groups = groups.where("low < high and homes > 0").select(F.col("token").alias("t"), F.col("band").alias("g"), "least", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(groups, (F.col("token") == F.col("t")) & (F.col("band") == F.col("g"))).where(reach >= F.lit(self.percent) * F.col("least"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int"))
-        rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "c", "n", "i", "comp")
+        rows = rows.select("token", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "visits", "c", "n", "i", "comp")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+        rows = rows.repartition(n, "token", "band", "lo", "hi").sortWithinPartitions("token", "band", "lo", "hi")
         return rows.mapInArrow(_cross_pairs(self.percent), "a long, b long, n_a long, n_b long").distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b): the pairs that reach the threshold, by partial overlaps."""
         pairs = written(pairs, "join-pairs")
         ask = pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct()
-        ask = ask.join(self.classes, F.col("want") == F.col("c")).select("want", "rep")
-        texts = self.rows.join(ask, F.coalesce("id", F.lit(NONE)) == F.col("rep")).select("text", "want")
+        ask = ask.join(self.classes, F.col("want") == F.col("c")).select("want", "h", F.col("text_key").alias("asked_key"))
+        # one text for each class, however many rows have it
+        texts = self.rows.join(ask, F.col("text_key") == F.col("asked_key")).groupBy("want").agg(F.first("h").alias("h"), F.any_value("text").alias("text"))
         segments = written(texts.mapInArrow(_segments(self.size, self.level), "c long, part int, grams binary, length long"), "join-segments")
         parts, open_pairs = None, pairs
         for own in ([0], list(range(1, FRAGMENTS))):
-            a = segments.where(F.col("part").isin(own)).select(F.col("c").alias("a"), "part", F.col("grams").alias("grams_a"), F.col("length").alias("length_a"))
-            b = segments.where(F.col("part").isin(own)).select(F.col("c").alias("b"), "part", F.col("grams").alias("grams_b"), F.col("length").alias("length_b"))
+            a = segments.where(F.col("part").isin(own)).select(F.col("c").alias("a"), "part", F.col("grams").alias("grams_a"))
+            b = segments.where(F.col("part").isin(own)).select(F.col("c").alias("b"), "part", F.col("grams").alias("grams_b"))
             both = open_pairs.select("a", "b").join(a, "a").join(b, ["b", "part"])
-            # a repeated row gives its class the same segments again
-            counted = both.select("a", "b", "part", "grams_a", "grams_b").mapInArrow(_overlaps, "a long, b long, part int, overlap long").groupBy("a", "b", "part").agg(F.max("overlap").alias("overlap"))
-            counted = written(counted, "join-overlaps")
+            counted = written(both.select("a", "b", "part", "grams_a", "grams_b").mapInArrow(_overlaps, "a long, b long, part int, overlap long"), "join-overlaps")
             parts = counted if parts is None else parts.unionByName(counted)
             if own == [0]:
                 # what the other fragments can still bring is bounded by what is in them
-                first = segments.where("part = 0").groupBy("c").agg(F.max("length").alias("length"))
+                first = segments.where("part = 0").select("c", "length")
                 rest = open_pairs.join(counted.drop("part"), ["a", "b"])
                 for x in ("a", "b"):
                     rest = rest.join(first.select(F.col("c").alias(x), F.col("length").alias(f"first_{x}")), x)
@@ -265,6 +286,25 @@ class Join:
         return found
 
 
+def _text_key(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _members(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, n, comp) for each row; ``comp`` names its component, null for empty sets."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    join = Join(rows, size, percent)
+    first = join.links(join.star_pairs())
+    roots = stars(first)
+    second = join.links(join.cross_pairs(roots))
+    discard(join.shared)
+    roots = stars(roots.unionByName(second))
+    named = join.classes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("c") == F.col("node"), "left")
+    named = written(named.select(F.col("h").alias("set"), F.coalesce("root", "c").alias("comp")), "join-named")
+    members = join.members.join(named, F.col("h") == F.col("set"), "left").select("id", "text_key", "n", "comp")
+    return written(members, "join-found")
+
+
 def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -272,16 +312,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     Texts without words and null texts have an empty set and link with nothing, not even each other.
     Rows with equal sets, repeated rows included, link.  A null id stands for no smallest id: such a row
     gets the component of the rows it links with, else null.  An empty table gives an empty result.
+    Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    join = Join(rows, size, percent)
-    first = join.links(join.star_pairs())
-    roots = stars(first)
-    second = join.links(join.cross_pairs(roots))
-    discard(join.shared)
-    roots = stars(roots.unionByName(second))
-    members = join.members.select("id", "c", "n").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("c") == F.col("node"), "left")
-    members = written(members.select("id", "n", F.coalesce("root", "c").alias("comp")), "join-found")
+    members = _members(docs, size, percent, id_col, text_col)
     # written, so that the join that follows deals both sides anew and large components can be split
     least = written(members.where("n > 0").groupBy(F.col("comp").alias("label")).agg(F.min("id").alias("component_id")), "join-least")
     linked = members.where("n > 0").join(least, F.col("comp") == F.col("label")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
@@ -290,14 +323,23 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that with the smallest id; sets without n-grams all stay.
+    """``docs`` with one row of each component; texts without words and null texts all stay.
 
-    A row without an id is known by a negative hash of its text meanwhile.  Of rows with one id, one stays.
+    The row with the smallest id stays, a null id after all others; of rows with that id, the one whose text has the
+    smallest hash; of rows alike in both, an arbitrary one.  Unlike documents that share an id are in components
+    of their own and each stay.  All columns are kept, whatever their names; an empty table gives an empty result.
     """
-    known = F.coalesce(F.col(id_col).cast("long"), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 1).bitwiseOR(F.lit(NONE)))
-    rows = docs.withColumn("__id", known)
-    found = components(rows.select("__id", text_col), size, percent, "__id", text_col)
-    stay = found.where("component_id = __id").groupBy(F.col("__id").alias("__stay")).agg(F.count("*").alias("__alike"))
-    kept = rows.join(stay, F.col("__id") == F.col("__stay"))
-    once = kept.where("__alike = 1").select(*docs.columns)
-    return once.unionByName(kept.where("__alike > 1").dropDuplicates(["__id"]).select(*docs.columns))
+    members = _members(docs, size, percent, id_col, text_col).where("n > 0")
+    first = members.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("one"))
+    first = written(first.select(F.col("one.id").alias("stay_id"), F.col("one.text_key").alias("stay_key")), "join-stay")
+    alike = members.groupBy("id", "text_key").agg(F.count("*").alias("alike")).where("alike > 1").select(F.col("id").alias("a_id"), F.col("text_key").alias("a_key"), "alike")
+    first = first.join(alike, F.col("stay_id").eqNullSafe(F.col("a_id")) & (F.col("stay_key") == F.col("a_key")), "left")
+    first = written(first.select("stay_id", "stay_key", F.coalesce("alike", F.lit(1)).alias("alike")), "join-one")
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(F.struct("*").alias("whole_row"), F.col(id_col).cast("long").alias("id"), _text_key(text_col).alias("text_key"), wordless.alias("wordless"))
+    kept = rows.where("not wordless").join(first, (F.coalesce("id", F.lit(0)) == F.coalesce("stay_id", F.lit(0))) & (F.col("text_key") == F.col("stay_key")) & F.col("id").eqNullSafe(F.col("stay_id")))
+    once = kept.where("alike = 1").select("whole_row.*")
+    if first.where("alike > 1").isEmpty():
+        return once.unionByName(rows.where("wordless").select("whole_row.*"))
+    one = kept.where("alike > 1").groupBy("stay_id", "stay_key").agg(F.first("whole_row").alias("whole_row"))
+    return once.unionByName(one.select("whole_row.*")).unionByName(rows.where("wordless").select("whole_row.*"))
