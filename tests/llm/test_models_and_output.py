@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -295,6 +296,91 @@ def test_url_templates_learn_from_labels(spark):
     assert got[1000]["template"] == "/offer/*.html"
 
 
+def tree_by_hand(pages, labels, least=8, z=1.96, smoothing=4.0, levels=4):
+    """Page id: (template, purity), by recursion over lists of pages."""
+    variable = re.compile(url_filter.VARIABLE)
+    rows = []
+    for i, url in pages:
+        host, path, _ = url_by_hand(url, [])
+        if host:
+            parts = [variable.sub(lambda m: "*" + (m[1] or ""), x) for x in path.split("/") if x]
+            rows.append((i, host, parts, labels.get(i)))
+    bad = lambda own: sum(r[3] or 0 for r in own)
+    n = lambda own: sum(r[3] is not None for r in own)
+    base, out, rate = (bad(rows) + 0.5) / (n(rows) + 1), {}, {}
+    for h in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == h]
+        rate[h] = (bad(own) + smoothing * base) / (n(own) + smoothing)
+
+    def leaf(own, template):
+        for r in own:
+            out[r[0]] = (r[1], template)
+
+    def grow(own, node, level):
+        shapes = {tuple(r[2]) for r in own}
+        mixed = 0 < bad(own) < n(own)
+        if len(shapes) == 1 or max(map(len, shapes)) <= level or not (mixed or level < levels):
+            for s in shapes:
+                rest = ("/" + "/".join(s[level:]) if len(shapes) == 1 else "/**") if len(s) > level or (node == "" and len(shapes) == 1) else ""
+                leaf([r for r in own if tuple(r[2]) == s], node + rest)
+            return
+        leaf([r for r in own if len(r[2]) == level], node + "/")
+        groups: dict = {}
+        for r in own:
+            if len(r[2]) > level:
+                groups.setdefault(r[2][level], []).append(r)
+        children: dict = {}
+        for seg, part in groups.items():
+            children.setdefault(seg if len(part) >= least or seg.startswith("*") else "*", []).extend(part)
+        bins: dict = {}
+        for c, part in children.items():
+            bins.setdefault(math.floor((bad(part) + smoothing * rate[part[0][1]]) / (n(part) + smoothing) * 50), []).append(c)
+        branches: list = []
+        for k in sorted(bins):
+            new = [r for c in bins[k] for r in children[c]]
+            if branches:
+                old = branches[-1][1]
+                a, b, x, y = n(old), bad(old), n(new), bad(new)
+                p = (b + y + 0.5) / (a + x + 1)
+                apart = abs((b + 0.5) / (a + 1) - (y + 0.5) / (x + 1)) >= z * math.sqrt(p * (1 - p) * (1 / (a + 1) + 1 / (x + 1)))
+                if (a == 0) == (x == 0) and not (x > 0 and apart):
+                    branches[-1] = (branches[-1][0] + bins[k], old + new)
+                    continue
+            branches.append((bins[k], new))
+        for names, part in branches:
+            label = names[0] if len(names) == 1 else f"{{{min(names)}...{max(names)}:{len(names)}}}"
+            grow(part, f"{node}/{label}", level + 1)
+
+    for h in rate:
+        grow([r for r in rows if r[1] == h], "", 0)
+    found = {}
+    for i, (h, t) in out.items():
+        own = [r for r in rows if out[r[0]] == (h, t)]
+        found[i] = (t, round((bad(own) + smoothing * rate[h]) / (n(own) + smoothing), 6))
+    return found
+
+
+@pytest.mark.parametrize("sections", [11, 18, 21])
+def test_url_sections_split(spark, sections):
+    """One host whose sections go from clean to bad in even steps: the clean ones and the bad ones are told apart."""
+    pages = [(s * 60 + k, f"http://host.com/sec{chr(97 + s)}/{'deep/' * (k % 7)}page{k}") for s in range(sections) for k in range(60)]
+    labels = {s * 60 + k: int(k < 60 * s / (sections - 1)) for s in range(sections) for k in range(60)}
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), [], spark.createDataFrame(list(labels.items()), "page_id long, bad int"), least_pages=8).collect()}
+    verdict = {s: {got[s * 60 + k]["verdict"] for k in range(60)} for s in range(sections)}
+    assert all(verdict[s] == {"allow"} for s in range(sections // 4)) and all(verdict[s] == {"block"} for s in range(sections - sections // 5, sections))
+    want = tree_by_hand(pages, labels)
+    assert {i: (r["template"], r["purity"]) for i, r in got.items()} == want
+
+
+def test_url_tree_by_brute_force(spark):
+    rng = random.Random(31)
+    pages = [(i, f"http://h{rng.choice('aab')}.com/" + "/".join(rng.choice(["en", "de", "news", f"p{rng.randrange(40)}", str(rng.randrange(999)), f"{rng.randrange(99)}.html"]) for _ in range(rng.randint(0, 7)))) for i in range(900)] + [(900, "http://solo.org"), (901, None), (902, "http://solo2.org/x/y")]
+    labels = {i: int("news" in (u or "") or rng.random() < 0.1) for i, u in pages if rng.random() < 0.6}
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), [], spark.createDataFrame(list(labels.items()), "page_id long, bad int"), least_pages=8).collect()
+    want = tree_by_hand([p for p in pages if p[1]], labels)
+    assert {r["page_id"]: (r["template"], r["purity"]) for r in got if r["host"]} == want
+
+
 # secrets
 
 
@@ -334,45 +420,58 @@ def test_ordinary_words_come_from_all_texts(spark):
 # licences
 
 
-def test_licences(spark):
+WRAPPED = {
+    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "BSD": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:",
+    "MIT": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+}
+
+
+def licence_rows():
     rng = random.Random(7)
-    prose = lambda: " ".join(rng.choice(["river", "stone", "walks", "under", "green", "sky", "often"]) for _ in range(25))
+    words = ["river", "stone", "walks", "under", "green", "sky", "often", "the", "of", "to", "and", "said", "house", "was", "by"]
+    prose = lambda n=25: " ".join(rng.choice(words) for _ in range(n))
     notices = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."]
     family = ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC"]
     rows = [(i, "\n".join([prose(), notices[i % 4], prose()]), "s") for i in range(40)] + [(100 + i, prose(), "s") for i in range(200)]
-    rows += [(500, None, "s"), (501, "", "s"), (502, "He lost his driving licence on the way\n" + prose(), "s"), (None, notices[0], "s"), (503, notices[1] + "\n" + "x " * 50_000, "s")]
+    want = {(i, 0): family[i % 4] for i in range(40)}
+    rows += [(500, None, "s"), (501, "", "s"), (502, "He lost his driving licence on the way\n" + prose(), "s"), (None, notices[0], "s"), (503, notices[1] + "\n\n" + "x " * 50_000, "s"), (503, notices[1] + "\n\n" + "x " * 50_000, "s")]
+    want |= {(None, 0): "MIT", (503, 0): "Apache-2.0"}
+    # wrapped, after a blank line; in the middle of a very long paragraph; of a licence that is not listed
+    for k, (name, text) in enumerate(WRAPPED.items()):
+        rows += [(600 + k, f"{prose()}\n#\n{text}\n\n{prose()}", "s"), (700 + k, f"{prose(900)}\n{text}\n{prose(700)}", "s")]
+        want |= {(600 + k, 1): name, (700 + k, 0): name}
+    rows += [(800, "Licensed under the Sleepy Cat License.", "s"), (801, prose() + "\n\nAvailable under the Frog Valley Licence 7.\n\n" + prose(), "s"), (802, "All content CC BY-SA 4.0", "s"), (803, "Distributed under GPLv3", "s")]
+    want |= {(802, 0): "CC-BY-SA", (803, 0): "GPL-3.0"}
+    return rows, want
+
+
+def test_licences(spark):
+    rows, want = licence_rows()
     docs = docs_of(spark, rows)
     got = license_scan.scan(docs).collect()
     sure = {(r["doc_id"], r["paragraph"]): r["family"] for r in got if r["confirmed"]}
-    assert all(sure[i, 1] == family[i % 4] for i in range(40)) and sure[None, 0] == "MIT" and sure[503, 0] == "Apache-2.0"
-    assert not any(i is not None and (100 <= i < 500 or i == 502) for i, _ in sure)
+    assert sure == want
+    assert sum(r["doc_id"] == 503 for r in got) == 2
+    others = [(r["doc_id"], r["paragraph"], r["family"]) for r in got if not r["confirmed"]]
+    assert {(800, 0, "unknown"), (801, 1, "unknown")} <= set(others) and all(f == "unknown" for _, _, f in others)
+    assert not any(i is not None and (100 <= i < 500 or i == 502) for i, _, _ in others)
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
-WRAPPED = {
-    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
-    "BSD": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:",
-    "MIT": "Permission is hereby granted, free of\ncharge, to any person obtaining a copy\nof this software and associated\ndocumentation files (the Software), to deal",
-}
-
-
-def test_wrapped_and_short_licences(spark):
-    rng = random.Random(9)
-    prose = lambda: " ".join(rng.choice(["river", "stone", "walks", "under", "green", "sky", "often"]) for _ in range(25))
-    rows = [(i, "\n".join([prose(), text, prose()]), "s") for i, text in enumerate(WRAPPED.values())]
-    rows += [(10, "All content CC BY-SA 4.0", "s"), (11, "Distributed under GPLv3", "s"), (12, WRAPPED["MIT"].replace("free of\n", "free of\n\n"), "s")] + [(100 + i, prose(), "s") for i in range(100)]
-    sure = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in license_scan.scan(docs_of(spark, rows)).collect() if r["confirmed"])
-    assert [x for x in sure if x[0] < 12] == [*((i, 1, family) for i, family in enumerate(WRAPPED)), (10, 0, "CC-BY-SA"), (11, 0, "GPL-3.0")]
-    assert all(i <= 12 for i, _, _ in sure)
-
-
-def test_licence_gate_is_complete(spark):
-    """Without the words of the gate no template has so many word pairs left that it could confirm."""
-    for _, template in license_scan.TEMPLATES:
-        words = template.split()
-        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-        rows = spark.createDataFrame([(x,) for x in pairs], "x string")
-        assert rows.where(~F.col("x").rlike(license_scan.GATE)).count() < 0.6 * len(pairs), template
+def test_pieces_of_paragraphs(spark):
+    """Every run of LONGEST words of a paragraph is whole in one of its pieces, and blank lines or lines of signs divide."""
+    long = license_scan.LONGEST
+    for n in (1, long, license_scan.PIECE, license_scan.PIECE + 1, 1000):
+        words = [f"w{k}" for k in range(n)]
+        got = [r["words"] for r in license_scan.paragraphs(docs_of(spark, [(1, "\n".join(words), "s")])).collect()]
+        for at in range(max(1, n - long + 1)):
+            run = words[at : at + long]
+            assert any(run[0] in p and run == p[p.index(run[0]) :][: len(run)] for p in got)
+    text = "One line\nand another.\n \n// \nNext\n#\n\nlast"
+    got = [(r["paragraph"], " ".join(r["words"])) for r in license_scan.paragraphs(docs_of(spark, [(1, text, "s")])).collect()]
+    assert got == [(0, "one line and another"), (1, "next"), (2, "last")]
 
 
 def test_licence_sample_takes_a_text_once(spark):
@@ -382,12 +481,6 @@ def test_licence_sample_takes_a_text_once(spark):
     assert sample_by_hash(docs, "text", 100).count() == 51
 
 
-def test_licence_cut_covers_all_scored_lines(spark):
-    rows = [(i, 0, 1, i / 1000, 0.1) for i in range(1000)] + [(2000, 0, 1, 0.9999, 1.0)] * 500 + [(3000, 0, 1, 0.9999, 0.3), (3000, 0, 2, 0.9999, 0.9)] * 100
-    scored = spark.createDataFrame(rows, "key long, paragraph int, lines int, probability double, similarity double")
-    assert abs(license_scan.calibrate(scored, 0.6) - 0.99) < 0.002
-
-
 # pipeline
 
 

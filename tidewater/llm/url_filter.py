@@ -1,14 +1,16 @@
 """URL filtering by rules and by a tree of path templates for each host.
 
 Hand-kept rules come first; the longest that fits decides.  What they leave open is judged by templates.
-Each host has a tree over its path segments.  At every node segments that take part in little of the
-node's traffic, or look like numbers or keys, are generalised into one wildcard.  Branches of a node whose
-shares of bad labels don't differ significantly are merged.  A leaf is a template, and it is rejected when its
+Each host has a tree over its path segments.  Segments that look like numbers or keys, and at every node
+those that few pages have, are generalised into one wildcard.  Branches of a node whose shares of bad labels
+don't differ significantly are merged: in order of their shares, each is tested against all that its
+branch has taken in so far, so small steps don't chain.  A leaf is a template, and it is rejected when its
 smoothed share of bad labels is high: its own labels count together with a few made-up ones that have its
 host's share, which in turn leans on the whole table's.
 
 URLs are first counted by shape (segments with the obviously variable ones replaced), so the tree is built
-from aggregated rows, level by level, and a crowded host is many shapes rather than one group.
+from aggregated rows, level by level.  Branches are merged by bins of their shares, 51 at most for a node, so
+no node is ever gathered, however many segments it has.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 6
+BINS = 50
 #: A segment that is a number, a date or a long key, with or without a file ending.
 VARIABLE = r"^(?:[0-9][0-9._-]*|[0-9a-fA-F-]{16,}|[A-Za-z0-9_-]{32,})(\.[A-Za-z]{2,5})?$"
 
@@ -52,60 +54,102 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
-def shape(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, variable ones as ``*``; what lies below ``depth`` is one ``**``."""
+def shape(path: Column) -> Column:
+    """The path's segments, variable ones as ``*`` with their ending."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.regexp_replace(s, VARIABLE, "*$1"))
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda s: F.regexp_replace(s, VARIABLE, "*$1"))
 
 
-def _merged(nodes: DataFrame, z: float) -> DataFrame:
-    """``nodes`` (host, node, child, n, labelled, bad) with ``branch``: children alike in their share of bad labels.
+def _share(bad: Column, labelled: Column, host_rate: Column, smoothing: float) -> Column:
+    return (bad + smoothing * host_rate) / (labelled + smoothing)
 
-    Children in order of their shares; a new branch begins where the step from the one before is
-    significant by the two-proportion test.  Children of a node are bounded by 1 / least share.
+
+def _merged(bins: DataFrame, z: float) -> DataFrame:
+    """``bins`` (host, node, bin, labelled, bad) with ``branch`` in place of the counts.
+
+    Bins in order join the branch before them unless the two-proportion test tells them apart from all that
+    the branch holds; bins without labels and with labels are never one branch.
     """
-    by = Window.partitionBy("host", "node").orderBy("rate", "child")
-    rate = (F.col("bad") + 0.5) / (F.col("labelled") + 1)
-    rows = nodes.withColumn("rate", rate)
-    last_bad, last_n = F.lag("bad").over(by), F.lag("labelled").over(by)
-    pooled = (F.col("bad") + last_bad + 0.5) / (F.col("labelled") + last_n + 1)
-    apart = F.abs(F.col("rate") - F.lag("rate").over(by)) / F.sqrt(pooled * (1 - pooled) * (1 / (F.col("labelled") + 1) + 1 / (last_n + 1)))
-    rows = rows.withColumn("new", F.coalesce((apart >= z).cast("int"), F.lit(0)))
-    return rows.withColumn("branch", F.concat(F.lit("~"), F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("string"))).select("host", "node", "child", "branch")
+    rows = bins.groupBy("host", "node").agg(F.array_sort(F.collect_list(F.struct("bin", F.col("labelled").cast("double").alias("n"), F.col("bad").cast("double").alias("bad")))).alias("all"))  # BINS + 1 at most
+
+    def step(acc, x):
+        pooled = (acc["bad"] + x["bad"] + 0.5) / (acc["n"] + x["n"] + 1)
+        gap = F.abs((acc["bad"] + 0.5) / (acc["n"] + 1) - (x["bad"] + 0.5) / (x["n"] + 1))
+        apart = gap >= z * F.sqrt(pooled * (1 - pooled) * (1 / (acc["n"] + 1) + 1 / (x["n"] + 1)))
+        new = (F.size(acc["out"]) > 0) & (((acc["n"] == 0) != (x["n"] == 0)) | ((x["n"] > 0) & apart))
+        branch = acc["branch"] + new.cast("int")
+        out = F.array_append(acc["out"], F.struct(x["bin"].alias("bin"), branch.alias("branch")))
+        return F.struct(branch.alias("branch"), F.when(new, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"), F.when(new, x["bad"]).otherwise(acc["bad"] + x["bad"]).alias("bad"), out.alias("out"))
 
+    none = F.array().cast("array<struct<bin:bigint,branch:int>>")
+    start = F.struct(F.lit(0).alias("branch"), F.lit(0.0).alias("n"), F.lit(0.0).alias("bad"), none.alias("out"))
+    return rows.select("host", "node", F.inline(F.aggregate("all", start, step, lambda acc: acc["out"])))
 
-def templates(shapes: DataFrame, least_share: float = 0.05, z: float = 1.96, depth: int = DEPTH, smoothing: float = 4.0) -> DataFrame:
+
+def _split(rows: DataFrame, hosts: DataFrame, level: int, least_pages: int, z: float, smoothing: float) -> DataFrame:
+    """(host, node, child, label): the children of the nodes of ``rows`` (host, node, seg, n, labelled, bad), and what their branches are called.
+
+    A branch of one child has its name, others the first and last of their children's names and how many these are.
+    """
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
+    segments = rows.where("seg is not null").groupBy("host", "node", "seg").agg(*sums)
+    child = F.when((F.col("n") >= least_pages) | F.col("seg").startswith("*"), F.col("seg")).otherwise("*")
+    children = segments.groupBy("host", "node", child.alias("child")).agg(*sums).join(hosts, "host")
+    share = _share(F.col("bad"), F.col("labelled"), F.col("host_rate"), smoothing)
+    children = children.withColumn("bin", F.floor(share * BINS)).select("host", "node", "child", "bin", "labelled", "bad")
+    children = written(children, "url-children")
+    bins = children.groupBy("host", "node", "bin").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    named = children.select("host", "node", "child", "bin").join(_merged(bins, z), ["host", "node", "bin"])
+    called = named.groupBy("host", "node", "branch").agg(F.min("child").alias("low"), F.max("child").alias("high"), F.count("*").alias("many"))
+    label = F.when(F.col("many") == 1, F.col("low")).otherwise(F.concat(F.lit("{"), "low", F.lit("..."), "high", F.lit(":"), F.col("many").cast("string"), F.lit("}")))
+    return written(named.join(called.select("host", "node", "branch", label.alias("label")), ["host", "node", "branch"]).select("host", "node", "child", "label"), "url-branches")
+
+
+def templates(shapes: DataFrame, least_pages: int = 8, z: float = 1.96, smoothing: float = 4.0, levels: int = 4) -> DataFrame:
     """(host, shape, template, labelled, bad, purity) from ``shapes`` (host, shape, n, labelled, bad).
 
-    ``purity`` is the smoothed share of bad labels of the template that the shape falls into.
+    A segment has a branch of its own if ``least_pages`` pages have it at its node.  A node is split as long
+    as it has more than one shape and labels of both kinds, and down to ``levels`` segments in any case; nodes
+    of one kind of label are judged alike however deep they are split.  A template that stands for deeper paths
+    ends in ``**``.  ``purity`` is the smoothed share of bad labels of the template that the shape falls into.
     """
-    rows = shapes.withColumn("node", F.lit(""))
-    for level in range(depth + 1):
-        here = rows.withColumn("seg", F.try_element_at("shape", F.lit(level + 1)))
-        children = here.where("seg is not null").groupBy("host", "node", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        total = F.sum("n").over(Window.partitionBy("host", "node"))
-        # a rare segment joins the wildcard
-        child = F.when((F.col("n") >= F.greatest(F.lit(2.0), total * least_share)) & ~F.col("seg").startswith("*"), F.col("seg")).otherwise(F.when(F.col("seg") == "**", "**").otherwise("*"))
-        named = children.withColumn("child", child)
-        nodes = named.groupBy("host", "node", "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        branch = named.select("host", "node", "seg", "child").join(_merged(nodes, z), ["host", "node", "child"]).select("host", "node", "seg", "branch")
-        rows = here.join(branch, ["host", "node", "seg"], "left").withColumn("node", F.when(F.col("branch").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "branch"))).drop("branch", "seg")
-        rows = written(rows, "url-level")
-    leaf = rows.groupBy("host", "node").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.min(F.concat(F.lit("/"), F.array_join("shape", "/"))).alias("template"))
-    hosts = rows.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
-    every = rows.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("labelled") + 1), F.lit(0.5)).alias("base"))
-    host_rate = (F.col("h_bad") + smoothing * F.col("base")) / (F.col("h_labelled") + smoothing)
-    hosts = hosts.join(F.broadcast(every)).select("host", host_rate.alias("host_rate"))  # every: one row
-    leaf = leaf.join(hosts, "host").withColumn("purity", (F.col("bad") + smoothing * F.col("host_rate")) / (F.col("labelled") + smoothing))
-    return rows.select("host", "shape", "node").join(leaf, ["host", "node"]).select("host", "shape", "template", "labelled", "bad", "purity")
+    hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
+    base = shapes.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("labelled") + 1), F.lit(0.5)).alias("base")).first()["base"]
+    hosts = written(hosts.select("host", _share(F.col("h_bad"), F.col("h_labelled"), F.lit(base), smoothing).alias("host_rate")), "url-hosts")
+    open_, done, level = shapes.withColumn("node", F.lit("")), None, 0
+    while True:
+        stats = open_.groupBy("host", "node").agg(F.count("*").alias("n_shapes"), F.max(F.size("shape")).alias("deepest"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        mixed = (F.col("b") > 0) & (F.col("b") < F.col("l"))
+        go = (F.col("n_shapes") > 1) & (F.col("deepest") > level) & (mixed | F.lit(level < levels))
+        rows = written(open_.join(stats.select("host", "node", "n_shapes", go.alias("go")), ["host", "node"]), "url-nodes")
+        rest = F.slice("shape", level + 1, F.greatest(F.size("shape"), F.lit(1)))
+        deeper = F.when(F.col("n_shapes") == 1, F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise("/**")
+        stopped = rows.where(~F.col("go")).withColumn("template", F.when((F.size("shape") > level) | ((F.col("node") == "") & (F.col("n_shapes") == 1)), F.concat("node", deeper)).otherwise(F.col("node")))
+        seg = F.try_element_at("shape", F.lit(level + 1))
+        rows = rows.where("go").drop("n_shapes", "go").withColumn("seg", seg)
+        ended = rows.where("seg is null").withColumn("template", F.concat("node", F.lit("/")))
+        out = stopped.select("host", "shape", "labelled", "bad", "template").unionByName(ended.select("host", "shape", "labelled", "bad", "template"))
+        done = out if done is None else done.unionByName(out)
+        rows = rows.where("seg is not null")
+        if rows.isEmpty():
+            break
+        names = _split(rows, hosts, level, least_pages, z, smoothing)
+        own = names.select("host", "node", F.col("child").alias("seg"), "label")
+        wild = names.where("child = '*'").select("host", "node", F.col("label").alias("wild"))
+        rows = rows.join(own, ["host", "node", "seg"], "left").join(wild, ["host", "node"], "left")
+        open_ = written(rows.withColumn("node", F.concat("node", F.lit("/"), F.coalesce("label", "wild"))).drop("seg", "label", "wild"), "url-level")
+        level += 1
+    done = written(done, "url-leaves")
+    leaf = done.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).join(hosts, "host")
+    leaf = leaf.withColumn("purity", _share(F.col("bad"), F.col("labelled"), F.col("host_rate"), smoothing)).drop("host_rate")
+    return done.select("host", "shape", "template").join(leaf, ["host", "template"]).select("host", "shape", "template", "labelled", "bad", "purity")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], labels: DataFrame | None = None, threshold: float = 0.7, id_col: str = "page_id", url_col: str = "url", **how) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, template, purity.
 
     ``labels`` (id, bad 0/1) teaches the templates.  Without it, the pages that rules decide are the
-    labelled ones.  A template is rejected (``block``) when its purity is ``threshold`` or more; a page
+    labelled ones; rules by host then make a template's purity mostly its host's share.  A template is rejected (``block``) when its purity is ``threshold`` or more; a page
     without a host is allowed and has no template.  Repeated rows are judged alike, null ids and urls
     pass through, an empty table gives an empty result, and other columns are ignored.
     """
