@@ -1,17 +1,27 @@
 """Secret scanning with a random forest that removes false positives.
 
-A wide pattern takes every token that could be a secret.  Each candidate is described by its length, its
-character classes and entropy, how likely its character transitions are in ordinary words, how much of it
-words of the corpus cover, the path of its document, and the words around it.  A random forest trained on labelled
-findings then separates secrets from identifiers, numbers and long words.
+A wide search takes everything that could be a secret: tokens of 12 characters or more, dotted ones whole; the value
+behind a key word and ``=`` or ``:``, of any characters and from 4 on; and the password of a URL.
+Each candidate is described by its length, its character classes and entropy, how likely its character
+transitions are in ordinary words, how much of it words of the corpus cover, the path of its document, and the
+words around it.  A random forest trained on labelled findings then separates secrets from identifiers,
+numbers, checksums, placeholders and long words.
+
+Where nobody has labelled findings, they are planted: made secrets and made look-alikes are put into a
+bounded sample of the corpus' own texts, and beside them the texts' own candidates count as no secrets, unless they
+are assigned to something or have the form of a key id.  Labels therefore don't come from the features.  A part of the planted texts is held out, and
+``evaluate`` gives precision and recall on it.
 
 What ordinary words look like is counted over the words of all texts; every text is scanned whole.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +30,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import slices, written
+from .shared import sample_by_hash, slices, written
 
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{12,}=*")
+TOKEN = re.compile(rb"[A-Za-z0-9+/_-]{12,}(?:\.[A-Za-z0-9+/_-]{8,})*=*")
 #: Words that stand before secrets, words that stand around samples, and path pieces of samples.
 KEY_WORDS = (b"password", b"passwd", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"access_key", b"auth", b"bearer", b"credential", b"private_key")
 SAMPLE_WORDS = (b"example", b"sample", b"dummy", b"placeholder", b"changeme", b"your", b"xxxx", b"test")
 SAMPLE_PATHS = ("test", "example", "sample", "fixture", "doc", "mock")
-FEATURES = ("length", "digits", "uppers", "lowers", "signs", "entropy", "transitions", "coverage", "hexadecimal", "assigned", "quoted", "key_before", "sample_near", "path_sample", "path_depth", "sentence")
+#: From a key word to its value; from ``://`` to the password.
+VALUE = re.compile(rb"[A-Za-z_-]{0,24}[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}(?:[Bb]earer[ \t]+)?[\"'`]?([^\s\"'`,;<>()]{4,})|[ \t]+([A-Za-z0-9._~+/=-]{16,})")
+USERINFO = re.compile(rb"://[^/\s:@]{0,64}:([^@/\s]{3,})@")
+FEATURES = ("length", "digits", "uppers", "lowers", "signs", "entropy", "transitions", "coverage", "hexadecimal", "assigned", "quoted", "key_before", "sample_near", "path_sample", "path_depth", "sentence", "before_at")
+
+
+PAD = 128  # zero bytes before and behind all texts
 
 
 class Ordinary:
@@ -38,23 +54,37 @@ class Ordinary:
         for a, b, n in cells:
             counts[a, b] += n
         self.log = np.log(counts / counts.sum(1, keepdims=True))
-        self.pieces = {w.lower().encode() for w in words if len(w) >= 3}
-
-    def transitions(self, token: bytes) -> float:
-        b = np.frombuffer(token, np.uint8)
-        return float(self.log[b[:-1], b[1:]].mean()) if len(b) > 1 else 0.0
-
-    def coverage(self, token: bytes) -> float:
-        """Share of the token that known words cover, the longest first from the left."""
-        low, at, covered = token.lower(), 0, 0
-        while at < len(low):
-            for size in range(min(12, len(low) - at), 2, -1):
-                if low[at : at + size] in self.pieces:
-                    at, covered = at + size, covered + size
-                    break
-            else:
-                at += 1
-        return covered / max(1, len(low))
+        self.pieces = {w.lower().encode() for w in words if len(w.encode()) >= 3}
+        self.by_size: dict[int, np.ndarray] = {}
+        for size in sorted({len(w) for w in self.pieces}):
+            rows = np.frombuffer(b"".join(sorted(w for w in self.pieces if len(w) == size)), np.uint8).reshape(-1, size)
+            key = np.zeros(len(rows), np.uint64)
+            for k in range(size):
+                key = _roll(key, rows[:, k])
+            self.by_size[size] = np.sort(key)
+
+    def covered(self, low: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Share of each token that lies in known words; token i is ``low[first[i]:first[i + 1]]``, in lower case."""
+        cover = np.zeros(len(low) + 1, np.int32)
+        crosses = np.zeros(len(low), np.int64)  # how far the token goes from here
+        crosses[:] = np.repeat(first[1:], np.diff(first)) - np.arange(len(low))
+        key = np.zeros(len(low), np.uint64)
+        for k in range(max(self.by_size, default=0)):
+            n = len(low) - k
+            if n <= 0:
+                break
+            key = _roll(key[:n], low[k:])
+            known = self.by_size.get(k + 1)
+            if known is not None:
+                at = np.flatnonzero((crosses[:n] > k) & (known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key))
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + k + 1, -1)
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
+        return (inside[first[1:]] - inside[first[:-1]]) / np.maximum(np.diff(first), 1)
+
+
+def _roll(key: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return (key ^ byte) * np.uint64(0x100000001B3) + np.uint64(0x9E3779B97F4A7C15)
 
 
 def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,57 +106,186 @@ def learn_ordinary(docs: DataFrame, words: int = 4000, text_col: str = "text") -
     return Ordinary([r["word"] for r in top], [tuple(r) for r in cells])
 
 
-def describe(before: bytes, token: bytes, after: bytes, path: str, known: Ordinary) -> list[float]:
-    """The values of FEATURES for one candidate."""
-    b = np.frombuffer(token, np.uint8)
-    n = len(b)
-    digits, uppers, lowers = ((b >= 48) & (b <= 57)).sum() / n, ((b >= 65) & (b <= 90)).sum() / n, ((b >= 97) & (b <= 122)).sum() / n
-    share = np.bincount(b, minlength=256)[np.unique(b)] / n
-    near, low_after = before.lower(), after.lower()
-    tail = before.rstrip(b"\"' ")
-    return [
-        float(n), float(digits), float(uppers), float(lowers), float(1 - digits - uppers - lowers), float(-(share * np.log2(share)).sum()),
-        known.transitions(token), known.coverage(token), float(re.fullmatch(rb"[0-9a-fA-F]+", token) is not None),
-        float(tail.endswith((b"=", b":"))), float(before.endswith((b'"', b"'"))), float(any(k in near[-32:] for k in KEY_WORDS)),
-        float(any(k in near[-48:] or k in low_after or k in token.lower() for k in SAMPLE_WORDS)), float(any(k in path.lower() for k in SAMPLE_PATHS)), float(path.count("/")),
-        float(bool(re.search(rb"[a-z]{2,} $", before)) and after[:1] == b" "),
-    ]
+def _found(data: bytes, words: tuple[bytes, ...]) -> np.ndarray:
+    """Where the words stand in ``data``: sorted (begin, end) pairs."""
+    out = []
+    for w in words:
+        at = data.find(w)
+        while at >= 0:
+            out.append((at, at + len(w)))
+            at = data.find(w, at + 1)
+    return np.array(sorted(out), np.int64).reshape(-1, 2)
+
+
+def _spans(data: bytes, low: bytes, keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct spans (begin, end) of all candidates; of spans that begin together the longest."""
+    found = [m.span() for m in TOKEN.finditer(data)]
+    for _, end in keys.tolist():
+        m = VALUE.match(data, end)
+        if m:
+            found.append(m.span(1) if m[1] is not None else m.span(2))
+    at = data.find(b"://")
+    while at >= 0:
+        m = USERINFO.match(data, at)
+        if m:
+            found.append(m.span(1))
+        at = data.find(b"://", at + 1)
+    best: dict[int, int] = {}
+    for a, z in found:
+        best[a] = max(best.get(a, 0), z)
+    out, last = [], 0
+    for a in sorted(best):
+        if best[a] > last:  # a span inside the one before it is no candidate of its own
+            out.append((a, best[a]))
+            last = best[a]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _near(marks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether one of the sorted marks (begin, end) begins at ``low`` or later and ends by ``high``."""
+    at = np.searchsorted(marks[:, 0], low)
+    ends = np.append(np.minimum.accumulate(marks[::-1, 1])[::-1], np.iinfo(np.int64).max)
+    return ends[at] <= high
+
+
+def describe(texts: list[str | None], paths: list[str | None], known: Ordinary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(row, spans, values of FEATURES, tokens) of all candidates; spans are byte offsets in the row's text."""
+    parts = [(t or "").encode() for t in texts]
+    data = b"\0" * PAD + (b"\0" * PAD).join(parts) + b"\0" * PAD
+    offset = PAD + np.cumsum([0, *(len(x) + PAD for x in parts)])[: len(parts)]
+    low = data.lower()
+    keys = _found(low, KEY_WORDS)
+    spans = _spans(data, low, keys)
+    if not len(spans):
+        return np.zeros(0, np.int64), spans, np.zeros((0, len(FEATURES))), []
+    begin, end = spans.T
+    n = end - begin
+    b = np.frombuffer(data, np.uint8)
+    row = np.searchsorted(offset, begin, side="right") - 1
+
+    def share(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(mask)])
+        return (total[end] - total[begin]) / n
+
+    digits, uppers, lowers = share((b >= 48) & (b <= 57)), share((b >= 65) & (b <= 90)), share((b >= 97) & (b <= 122))
+    hexes = share(((b >= 48) & (b <= 57)) | ((b >= 65) & (b <= 70)) | ((b >= 97) & (b <= 102)))
+    steps = np.concatenate([[0.0], np.cumsum(known.log[b[:-1], b[1:]])])
+    first = np.concatenate([[0], np.cumsum(n)])
+    flat = b[np.repeat(begin - first[:-1], n) + np.arange(first[-1])]
+    entropy = np.zeros(len(n))
+    for at in range(0, len(n), 4096):
+        own = slice(at, min(at + 4096, len(n)))
+        counts = np.bincount(np.repeat(np.arange(own.stop - at), n[own]) * 256 + flat[first[at] : first[own.stop]], minlength=(own.stop - at) * 256).reshape(-1, 256)
+        p = counts / n[own][:, None]
+        entropy[own] = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
+    folded = np.where((flat >= 65) & (flat <= 90), flat + 32, flat)
+    before, quotes = b[begin - 1], np.isin(b, np.frombuffer(b"\"'`", np.uint8))
+    at = begin - 1
+    for _ in range(6):  # over quotes and blanks to what assigns
+        at = np.where(quotes[at] | (b[at] == 32), at - 1, at)
+    sentence = (before == 32) & (b[end] == 32) & (b[begin - 2] >= 97) & (b[begin - 2] <= 122) & (b[begin - 3] >= 97) & (b[begin - 3] <= 122)
+    samples = _found(low, SAMPLE_WORDS)
+    by_path = [(float(any(k in (p or "").lower() for k in SAMPLE_PATHS)), float((p or "").count("/"))) for p in paths]
+    by_path = np.array(by_path).reshape(-1, 2)[row]
+    values = np.stack(
+        [
+            n, digits, uppers, lowers, 1 - digits - uppers - lowers, entropy, np.where(n > 1, (steps[end - 1] - steps[begin]) / np.maximum(n - 1, 1), 0.0), known.covered(folded, first), hexes == 1,
+            np.isin(b[at], np.frombuffer(b"=:", np.uint8)), quotes[begin - 1], _near(keys, begin - 40, begin), _near(samples, begin - 48, end + 48), by_path[:, 0], by_path[:, 1], sentence, b[end] == 64,
+        ], 1,
+    ).astype(np.float64)
+    tokens = [data[a:z].decode("utf-8", "replace") for a, z in spans.tolist()]
+    return row, spans - offset[row][:, None], np.round(values, 9), tokens
+
+
+def _batch(id_: pa.Array, row, spans, values, tokens) -> list[pa.Array]:
+    features = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * len(FEATURES), pa.int32()), pa.array(values.ravel()))
+    return [id_.take(pa.array(row)), pa.array(spans[:, 0], pa.int32()), pa.array(spans[:, 1], pa.int32()), pa.array(tokens, pa.string()), features]
 
 
 def _scan(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for row, (text, path) in enumerate(zip(batch.column("text").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-                data = (text or "").encode()
-                for m in CANDIDATE.finditer(data):
-                    a, z = m.span()
-                    rows.append((row, a, z, m.group(), describe(data[max(0, a - 64) : a], m.group(), data[z : z + 48], path or "", known.value)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3].decode() for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.list_(pa.float64()))],
-                ["id", "begin", "end", "token", "features"],
-            )
+        for batch in slices(batches, limit=1 << 20):
+            found = describe(batch.column("text").to_pylist(), batch.column("path").to_pylist(), known.value)
+            yield pa.RecordBatch.from_arrays(_batch(batch.column("id"), *found), ["id", "begin", "end", "token", "features"])
 
     return run
 
 
-def candidates(docs: DataFrame, known: Ordinary, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(id, begin, end, token, features): every candidate of every whole text, with byte offsets of its UTF-8."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(path_col).cast("string").alias("path"))
-    return rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(known)), "id long, begin int, end int, token string, features array<double>")
+#: Forms of key ids that are secrets wherever they stand.
+KNOWN_IDS = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36}$|xox[abp]-|eyJ[A-Za-z0-9_-]+\.")
+#: Characters of made values.
+HEX, B64, SIGNS, UPPER = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "!@#$^&*_+-.?~", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _values(rng: random.Random, words: list[str]) -> tuple[list[Callable[[], str]], list[Callable[[], str]]]:
+    """Makers of secrets, and of what only looks like them; ``%`` marks the value in its wording."""
+    some = lambda letters, a, z: "".join(rng.choice(letters) for _ in range(rng.randint(a, z)))
+    word = lambda: rng.choice(words)
+    part = lambda n: base64.urlsafe_b64encode(rng.randbytes(n)).decode().rstrip("=")
+    key = lambda: rng.choice(["token", "api_key", "secret", "access_key", "auth_token", "client_secret", "API_KEY", "apikey"])
+    assign = lambda value: rng.choice([f'{key()} = "%{value}%"', f"{key()}=%{value}%", f"{key()}: %{value}%", f'"{key()}": "%{value}%"', f"export {key().upper()}='%{value}%'"])
+    password = lambda: word().capitalize() + some(SIGNS, 1, 2) + some("0123456789", 1, 4) + some(B64[:62], 2, 6) + some(SIGNS, 0, 1)
+    secrets = [
+        lambda: assign(some(HEX, 24, 64)), lambda: assign(some(B64, 20, 60)), lambda: assign(some(B64[:62], 16, 48)), lambda: f"%AKIA{some(UPPER, 16, 16)}%", lambda: f"%ghp_{some(B64[:62], 36, 36)}%",
+        lambda: f"Authorization: Bearer %eyJ{part(20)}.{part(40)}.{part(32)}%", lambda: f"%eyJ{part(20)}.{part(60)}.{part(32)}%", lambda: f"{rng.choice(['password', 'passwd', 'pwd', 'PASSWORD'])}{rng.choice([' = ', '=', ': '])}%{password()}%",
+        lambda: f'{rng.choice(["password", "db_password", "pwd"])} = "%{password()}%"', lambda: f"postgres://{word()}:%{password().replace('@', '!').replace('/', '1')}%@{word()}.com/db", lambda: f"https://{word()}:%{some(HEX, 20, 40)}%@{word()}.org",
+    ]
+    likes = [
+        lambda: f"commit %{some(HEX, 40, 40)}%", lambda: f"sha256: %{some(HEX, 64, 64)}%", lambda: f"id %{some(HEX, 8, 8)}-{some(HEX, 4, 4)}-4{some(HEX, 3, 3)}-{some(HEX, 4, 4)}-{some(HEX, 12, 12)}%", lambda: f"{word()} %{'_'.join(word() for _ in range(4))}% {word()}",
+        lambda: f'{key()} = "%your-{word()}-here%"', lambda: "password: %changeme%", lambda: f'password = "%{word()}%"', lambda: f"{key()} = %{rng.choice(['None', 'null', 'os.environ', 'get_token', 'self.token', 'request.headers'])}%", lambda: f"the token: %{word()}% {word()}",
+        lambda: f"%{'/'.join(word() for _ in range(5))}%", lambda: f"% {some('0123456789', 12, 20)}%".replace("% ", "%"), lambda: f"%{''.join(word() for _ in range(4))}%", lambda: f"example {key()}=%{some(HEX, 32, 32)}%", lambda: f"data:image/png;base64,%{some(B64, 40, 120)}%",
+    ]
+    return secrets, likes
+
+
+def _plant(known, words: list[str], copies: int):
+    """Labelled candidates of texts with something planted: (held, label, kind, features)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1 << 20):
+            out = []
+            for text, path in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                digest = hashlib.sha256((text or "").encode()).digest()
+                rng = random.Random(digest)
+                for copy in range(copies):
+                    cut = [m.start() for m in re.finditer(r"(?<=\s)", text or "")] or [0]
+                    at = rng.choice(cut)
+                    secret = copy % 2 == 0
+                    kind, make = rng.choice(list(enumerate(_values(rng, words)[0 if secret else 1])))
+                    left, value, right = make().split("%")
+                    before = (text or "")[:at] + left
+                    begin = len(before.encode())
+                    span = (begin, begin + len(value.encode()))
+                    whole = before + value + right + rng.choice([" ", "\n", ", "]) + (text or "")[at:]
+                    _, spans, values, tokens = describe([whole], [path], known.value)
+                    # a candidate counts as the planted one if they share a character; of the text's own, those that may be secrets are left open
+                    meets = (spans[:, 0] < span[1]) & (spans[:, 1] > span[0]) if len(spans) else np.zeros(0, bool)
+                    placed = values[:, [FEATURES.index(x) for x in ("key_before", "assigned", "before_at")]].any(1)
+                    for k in range(len(spans)):
+                        if meets[k] or (copy == 0 and not placed[k] and not KNOWN_IDS.match(tokens[k])):
+                            out.append((digest[0] < 64, int(meets[k] and secret), kind + 1 + (0 if secret else 100) if meets[k] else 0, values[k].tolist()))
+            yield pa.RecordBatch.from_pylist([dict(zip(("held", "label", "kind", "features"), x, strict=True)) for x in out], schema=pa.schema([("held", pa.bool_()), ("label", pa.int32()), ("kind", pa.int32()), ("features", pa.list_(pa.float64()))]))
+
+    return run
 
 
-def known_formats(token: Column, features: Column) -> Column:
-    """Labelled findings by format, for where nobody has labelled any: 1, 0 or null.
+def planted(docs: DataFrame, known: Ordinary, sample_rows: int = 1500, copies: int = 6, text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """(held, label, kind, features): labelled findings from ``sample_rows`` distinct texts at most, each planted ``copies`` times.
 
-    Key ids of fixed form and random values assigned to a key word are secrets.  Letters only, digits only and
-    tokens that words cover are not.
+    A quarter of the texts, by a hash, is held out.  ``kind`` tells made values apart (0: the text's own).  An empty table is
+    planted in an empty text.
     """
-    value = {name: F.get(features, i) for i, name in enumerate(FEATURES)}
-    key_id = token.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$") | token.rlike(r"^gh[pousr]_[A-Za-z0-9]{36}$") | token.rlike(r"^xox[abp]-")
-    assigned = (value["key_before"] == 1) & (value["assigned"] == 1) & (value["digits"] > 0.1) & (value["entropy"] > 2.5)
-    plain = token.rlike(r"^[A-Za-z]+$") | token.rlike(r"^[0-9]+$") | (value["coverage"] > 0.8)
-    return F.when((key_id | assigned) & (value["sample_near"] == 0), 1).when(plain & (value["key_before"] == 0), 0)
+    spark = docs.sparkSession
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.struct(F.col(text_col).alias("text"), F.col(path_col).cast("string").alias("path")).alias("one"))
+    few = sample_by_hash(rows, "one", sample_rows).select("one.text", "one.path")
+    words = sorted(w.decode("utf-8", "ignore") for w in known.pieces if len(w) >= 4)[:2000] or ["word", "other", "river", "stone"]
+    return few.mapInArrow(_plant(spark.sparkContext.broadcast(known), words, copies), "held boolean, label int, kind int, features array<double>")
+
+
+def candidates(docs: DataFrame, known: Ordinary, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """(id, begin, end, token, features): every candidate of every whole text, with byte offsets of its UTF-8."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(path_col).cast("string").alias("path"))
+    return rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(known)), "id long, begin int, end int, token string, features array<double>")
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -147,23 +306,33 @@ def train(labelled: DataFrame, max_rows: int = 8000, trees: int = 40, depth: int
     return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(_vectors(sample.coalesce(1).sortWithinPartitions(order)))
 
 
+def probabilities(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+    """``rows`` (features, ...) with ``score``."""
+    return model.transform(_vectors(rows)).withColumn("score", F.round(F.get(vector_to_array("probability"), 1), 9)).drop("vector", "rawPrediction", "probability", "prediction")
+
+
+def evaluate(labelled: DataFrame, model: RandomForestClassificationModel) -> dict[str, float]:
+    """Precision and recall of ``score >= 0.5`` on ``labelled`` (features, label)."""
+    rows = probabilities(labelled, model).select("label", (F.col("score") >= 0.5).alias("said"))
+    r = rows.agg(F.count_if((F.col("label") == 1) & F.col("said")).alias("hit"), F.count_if("said").alias("said"), F.count_if(F.col("label") == 1).alias("there")).first()
+    return {"precision": r["hit"] / max(1, r["said"]), "recall": r["hit"] / max(1, r["there"])}
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", **how) -> DataFrame:
     """(doc_id, begin, end, token_sha256, length, score, secret): every candidate, with the forest's probability.
 
-    ``findings`` (id, begin, label) are labelled candidates; without them ``known_formats`` labels.  ``secret`` is
+    ``findings`` (id, begin, label) are labelled candidates; without them secrets and look-alikes are ``planted``.  ``secret`` is
     1 where the score is 0.5 or more.  Without labels of both kinds every candidate stays a secret
     with a null score.  Null and empty texts have no candidates; null ids pass through; repeated rows repeat
-    their candidates.  Other columns are ignored.
+    their candidates; an empty table gives an empty result.  Other columns are ignored.
     """
-    found = written(candidates(docs, learn_ordinary(docs, text_col=text_col), id_col, text_col, path_col), "secret-candidates")
+    known = learn_ordinary(docs, text_col=text_col)
+    found = written(candidates(docs, known, id_col, text_col, path_col), "secret-candidates")
     if findings is None:
-        labelled = found.withColumn("label", known_formats(F.col("token"), F.col("features"))).where("label is not null")
+        labelled = written(planted(docs, known, text_col=text_col, path_col=path_col), "secret-planted").where("not held")
     else:
         marks = findings.select(F.col(findings.columns[0]).alias("k_id"), F.col(findings.columns[1]).alias("k_begin"), F.col("label"))
         labelled = found.join(marks, (F.col("id") == F.col("k_id")) & (F.col("begin") == F.col("k_begin"))).where(F.col("label").isin(0, 1))
     model = train(labelled.select("features", "label"), **how)
-    if model is None:
-        scored = found.withColumn("score", F.lit(None).cast("double"))
-    else:
-        scored = model.transform(_vectors(found)).withColumn("score", F.round(F.get(vector_to_array("probability"), 1), 9))
+    scored = found.withColumn("score", F.lit(None).cast("double")) if model is None else probabilities(found, model)
     return scored.select(F.col("id").alias(id_col), "begin", "end", F.sha2("token", 256).alias("token_sha256"), F.length("token").alias("length"), "score", F.coalesce((F.col("score") >= 0.5).cast("int"), F.lit(1)).alias("secret"))
