@@ -56,6 +56,22 @@ def test_quality_odd_rows(spark):
     assert unknown.agg(F.min("score"), F.max("score")).first() == (0.5, 0.5)
 
 
+def test_features_are_of_characters():
+    """N-grams of characters, not of bytes, within each text alone; empty texts have none."""
+    import pyarrow as pa
+
+    from tidewater.llm.words import Words, mix
+
+    texts = ["a\u00e9\u65e5\U0001f600z", "", None, "\u65e5\u672c", "x"]
+    parts = list(quality._features(Words(pa.array(texts, pa.string()))))
+    for region, (n, (ids, first)) in enumerate(zip(quality.NGRAMS, parts[1:], strict=True), 1):
+        for i, t in enumerate(texts):
+            grams = [t[k : k + n] for k in range(len(t or "") - n + 1)]
+            codes = [sum(ord(c) << 21 * (n - 1 - k) for k, c in enumerate(g)) for g in grams]
+            want = [(int(mix(np.array([c ^ (n << 60)], np.uint64))[0]) >> (64 - quality.BITS)) + (region << quality.BITS) for c in codes]
+            assert ids[first[i] : first[i + 1]].tolist() == want
+
+
 # mixing
 
 
@@ -170,6 +186,38 @@ def test_records_round_trip(spark):
     assert token_records.clean(spark, path) == 0
 
 
+def test_addresses_of_shards(spark):
+    """Shards and index lie in one file system, whatever way the path is given."""
+    assert token_records.opened_by("file:/tmp/x y") == "file:///tmp/x y" and token_records.opened_by("hdfs://n:1/a") == "hdfs://n:1/a"
+    assert token_records.opened_by("s3a://bucket/a") == "s3://bucket/a"
+    settings = {"fs.s3a.endpoint": "http://store:9000", "fs.s3a.endpoint.region": "eu"}
+    assert token_records.opened_by("s3a://bucket/a", settings.get) == "s3://bucket/a?endpoint_override=store%3A9000&scheme=http&region=eu"
+    with pytest.raises(ValueError):
+        token_records.opened_by("ftp://host/a")
+    assert token_records.qualified(spark, "/tmp/x") == "file:/tmp/x"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://store/")
+        conf.set("fs.viewfs.mounttable.store.link./in", "file:///tmp")
+        assert token_records._address(spark, "/in/x") == "viewfs://store/in/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+    plain = scratch_path(spark, "test-plain").removeprefix("file://")
+    token_records.write_records(docs_of(spark, [(1, "a b", "s")]), plain, TOKENIZER)
+    assert token_records.read_records(spark, plain).count() == 1
+
+
+def test_kept_words_are_bounded():
+    with open(TOKENIZER, encoding="utf-8") as f:
+        encode = token_records.Encoder(f.read(), most_bytes=10_000)
+    first = encode(["word " + "x" * 9000])[0].tolist()
+    for k in range(20):
+        encode(["a" * 3000 + str(k)])
+        assert encode.words.bytes <= 14_000 and sum(map(len, encode.words.index)) <= 14_000
+    assert encode(["word " + "x" * 9000])[0].tolist() == first
+
+
 def test_damage_is_seen():
     record = bytearray(token_records.frame(np.array([1, 70_000, 3], np.uint32)))
     assert token_records.unframe(bytes(record)).tolist() == [1, 70_000, 3]

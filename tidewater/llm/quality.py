@@ -13,28 +13,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .shared import slices
+from .shared import own_jobs, slices
 from .words import Words, mix
 
 BITS = 16  # of a hashed feature; words and each n-gram length have a region of their own
 NGRAMS = (2, 3)
 
 
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, where each begins) of UTF-8 bytes."""
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(begin) == len(data):
+        return data.astype(np.uint64), begin
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
+    lead, rest = padded[begin], [padded[begin + k] & 0x3F for k in (1, 2, 3)]
+    two, three = (lead & 0x1F) << 6 | rest[0], (lead & 0x0F) << 12 | rest[0] << 6 | rest[1]
+    four = (lead & 0x07) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2]
+    return np.where(lead < 0x80, lead, np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))).astype(np.uint64), begin
+
+
 def _features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, first) for words and for each n-gram length; text i has the ids ``first[i]:first[i + 1]``."""
     shift = np.uint64(64 - BITS)
     yield (words.hashes >> shift).astype(np.int64), words.first
-    data, offsets = words.data, words.offsets
+    data, begin = _characters(words.data)
+    offsets = np.searchsorted(begin, words.offsets)
     for region, n in enumerate(NGRAMS, 1):
         if len(data) < n:
             yield np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
             continue
         code = np.zeros(len(data) - n + 1, np.uint64)
         for k in range(n):
-            code = code << np.uint64(8) | data[k : len(data) - n + 1 + k]
-        ids = (mix(code + np.uint64(n << 56)) >> shift).astype(np.int64) + (region << BITS)
+            code = code << np.uint64(21) | data[k : len(data) - n + 1 + k]
+        ids = (mix(code ^ np.uint64(n << 60)) >> shift).astype(np.int64) + (region << BITS)
         whole = np.ones(len(data), bool)  # n-grams that begin near a text's end run into the next one
         for k in range(1, n):
             at = offsets[1:] - k
@@ -100,23 +113,22 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
     return Model((vectors @ (top[:, 1] - top[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 4000, max_features: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on a bounded sample of ``labels`` (id, 0/1): ``max_rows`` in all, half for each label, and
-    ``max_features`` distinct features in sum, in the order of a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Train on a bounded sample of ``labels`` (id, 0/1): ``max_rows`` in all, half for each label, in the order of a hash of the id.
 
     Rows weigh as much as their label does among all labels given.  Labels other than 0 and 1 and null ids
-    take no part; an id with both labels counts as 0; without any label the model knows nothing and scores 0.5.
+    take no part; an id with both labels counts as 0, and of texts with one id the least is taken.  A null text counts as
+    empty.  Without any label the model knows nothing and scores 0.5.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picks = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows // 2) for y in (0, 1)]
     sample = F.broadcast(picks[0].unionByName(picks[1]))  # max_rows rows at most
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
     rows = texts.select("id", "label", "text").mapInArrow(_sparse, "id long, label int, ids array<int>, shares array<float>")
-    rows = rows.withColumn("key", F.xxhash64("id")).withColumn("tie", F.xxhash64("ids", "shares"))
-    order = Window.orderBy("key", "id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("sum", F.sum(F.size("ids")).over(order)).where(F.col("sum") <= max_features).select("key", "id", "tie", "label", "ids", "shares")
-    found = rows.toArrow().sort_by([("key", "ascending"), ("id", "ascending"), ("tie", "ascending")])
+    with own_jobs(docs.sparkSession):
+        found = rows.withColumn("key", F.xxhash64("id")).toArrow().sort_by([("key", "ascending"), ("id", "ascending")])  # max_rows rows
     y = found["label"].to_numpy()
     own = [(np.asarray(a.values), np.asarray(b.values)) for a, b in zip(found["ids"], found["shares"], strict=True)]
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}
@@ -170,7 +182,11 @@ def _keeper(model, threshold: float):
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (with a column ``text``) that score ``threshold`` or more, with all their columns."""
+    """The rows of ``docs`` (with a column ``text``) that score ``threshold`` or more, with all their columns, whatever their names.
+
+    A null text counts as empty, an empty text has the score of the prior, repeated rows stay or go together, a score
+    at the threshold stays, and an empty table gives an empty result.
+    """
     return docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
 
 

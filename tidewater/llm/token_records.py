@@ -22,8 +22,9 @@ import re
 import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, count, islice
+from urllib.parse import urlencode
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shared import slices
+from .shared import own_jobs, slices
 
 INDEX = "shard int, file string, seq long, offset long, length long, doc_id long, n_tokens long, before long"
 
@@ -66,7 +67,7 @@ class Pool:
 
     def __init__(self):
         self.index: dict = defaultdict(count().__next__)
-        self.known = self.used = 0
+        self.known = self.used = self.bytes = 0
         self.sizes, self.begin, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
     def fresh(self) -> list:
@@ -95,13 +96,13 @@ class Encoder:
     A vocabulary with an end-of-word suffix never joins words across white space, so a text's ids are
     those of its words in turn; then each distinct word is encoded once and kept, and a word of letters
     and then signs is put together from its two pieces.  Words and pieces that are kept are bounded by
-    ``most``; beyond it the words are forgotten and met anew.  Other vocabularies encode text by text.
+    ``most`` and by ``most_bytes``; beyond that they are forgotten and met anew.  Other vocabularies encode text by text.
     """
 
-    def __init__(self, tokenizer: str, most: int = 500_000):
+    def __init__(self, tokenizer: str, most: int = 500_000, most_bytes: int = 16 << 20):
         from tokenizers import Tokenizer
 
-        self.model, self.most = Tokenizer.from_str(tokenizer), most
+        self.model, self.most, self.most_bytes = Tokenizer.from_str(tokenizer), most, most_bytes
         suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix")
         self.by_word, self.words, self.pieces = bool(suffix), Pool(), Pool()
         if suffix:
@@ -132,6 +133,8 @@ class Encoder:
         fresh = [x.decode() for x in self.words.fresh()]
         if not fresh:
             return
+        size = sum(map(len, fresh))
+        self.words.bytes, self.pieces.bytes = self.words.bytes + size, self.pieces.bytes + size
         shapes = list(map(PLAIN.fullmatch, fresh))
         index = self.pieces.index
         pairs = np.array([(index[x[1]], index[x[2]]) if x else (-1, -1) for x in shapes], np.int64)
@@ -152,9 +155,9 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return self._batch(texts)
-        if self.words.known > self.most:
+        if self.words.known > self.most or self.words.bytes > self.most_bytes:
             self.words = Pool()
-        if self.pieces.known > self.most:
+        if self.pieces.known > self.most or self.pieces.bytes > self.most_bytes:
             self.pieces = Pool()
         words = [x.encode().split() for x in texts]
         n = np.array([len(x) for x in words], np.int64)
@@ -177,6 +180,36 @@ def _encoder(tokenizer: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as Hadoop understands it: with the scheme and host of the default file system where it names none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def opened_by(path: str, setting: Callable[[str], str | None] = lambda name: None) -> str:
+    """The address under which pyarrow opens what Spark knows as ``path``, a qualified one; ValueError for schemes that it can't open.
+
+    ``setting`` looks up Hadoop's settings: an S3 endpoint, region and plain HTTP are taken over.
+    """
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n", "s3"):
+        endpoint, region = setting("fs.s3a.endpoint"), setting("fs.s3a.endpoint.region")
+        plain = (setting("fs.s3a.connection.ssl.enabled") or "true").lower() == "false" or (endpoint or "").startswith("http://")
+        extra = {"endpoint_override": re.sub(r"^https?://", "", endpoint) if endpoint else None, "scheme": "http" if plain else None, "region": region}
+        extra = urlencode({k: v for k, v in extra.items() if v})
+        return f"s3:{rest}" + (f"?{extra}" if extra else "")
+    if scheme in ("hdfs", "viewfs", "gs", "abfs", "abfss"):
+        return path
+    raise ValueError(f"records can't be kept under {scheme}:")
+
+
+def _address(spark: SparkSession, path: str) -> str:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return opened_by(qualified(spark, path), lambda name: conf.get(name))
+
+
 def _writer(folder: str, tokenizer, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -214,6 +247,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     Records lie in ascending id order over the shards; rows of one id are ordered by text, a null id
     comes first and a null text is encoded as an empty one, which leaves the end id alone.  Repeated
     rows each give a record.  An empty table gives an index without rows.  Other columns are ignored.
+
+    ``path`` is one that Spark knows: without a scheme it lies in the default file system, for the shards as for the
+    index.  Shards go to local and shared folders, HDFS, S3 (``s3a``), and the stores that pyarrow knows.
     """
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -225,7 +261,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     tie = F.xxhash64("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
-    rows.mapInArrow(_writer(f"{path}/data", spark.sparkContext.broadcast(tokenizer), end_id), INDEX).write.parquet(f"{path}/index")
+    rows = rows.mapInArrow(_writer(_address(spark, f"{path}/data"), spark.sparkContext.broadcast(tokenizer), end_id), INDEX)
+    with own_jobs(spark):
+        rows.write.parquet(f"{path}/index")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -255,18 +293,19 @@ def _reader(folder: str):
 def read_records(spark: SparkSession, path: str, index: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids): the records that ``index`` names, in any order, read by offset.
 
-    ``ids`` are little-endian unsigned 32-bit integers.  Every checksum is verified.
+    ``ids`` are little-endian unsigned 32-bit integers.  Every checksum is verified; a damaged record ends the job with a
+    ValueError.  Null ids come back as nulls, repeated rows as often as they were written, and an empty index gives no rows.
     """
     index = read_index(spark, path) if index is None else index
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = index.repartition(n, "shard", F.floor(F.col("seq") / 4096)).sortWithinPartitions("file", "offset").select("file", "offset", "length", "doc_id", "start")
-    return index.mapInArrow(_reader(f"{path}/data"), "doc_id long, start long, n_tokens long, ids binary")
+    return index.mapInArrow(_reader(_address(spark, f"{path}/data")), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def clean(spark: SparkSession, path: str) -> int:
     """Delete the shards that the index does not name, left behind by lost attempts; returns how many."""
     named = {r[0] for r in spark.read.schema(INDEX).parquet(f"{path}/index").select("file").distinct().toLocalIterator()}
-    fs, base = pa.fs.FileSystem.from_uri(f"{path}/data")
+    fs, base = pa.fs.FileSystem.from_uri(_address(spark, f"{path}/data"))
     stray = [x.path for x in fs.get_file_info(pa.fs.FileSelector(base)) if x.base_name not in named]
     for x in stray:
         fs.delete_file(x)
