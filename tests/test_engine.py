@@ -79,6 +79,66 @@ def test_traces_and_differences(spark, engine):
     assert status["documents"] == 3 and status["quarantined"] == 1 and status["differences"] == {"doc_only": 1, "observed_only": 1, "conflict": 0}
 
 
+def test_evidence_of_graph_and_differences(engine):
+    rows = engine.graph_evidence("payment-service", 1).collect()
+    assert [(r["note"], r["title"], r["section_path"]) for r in rows if r["snippet"]] == [("trigger: calls", "a.md", "Pay")] and "payment-service calls" in rows[0]["snippet"]
+    both = {(r["diff_type"], r["note"].split(",")[0]) for r in engine.diff_evidence().collect()}
+    assert both == {("doc_only", "trigger: calls"), ("observed_only", "calls=1")}
+    assert engine.diff_evidence("doc_only").count() == 1 and engine.diff_evidence(entity="nobody").count() == 0
+    # what stands above the clearance shows no text
+    hidden = engine.table("chunks").where("classification = 'PUBLIC'").count()
+    assert hidden and all(r["snippet"] is None for r in engine.graph_evidence("payment-service", 1, tenant="other").collect())
+    assert engine.centre("Payment Service")["entity_type"] == "Service" and engine.centre("nobody") is None
+
+
+def test_routes_bring_the_graph(engine):
+    got = engine.answer("payment order fox calls")
+    assert got["route"] == "graph_then_hybrid"
+    assert engine.answer("fox")["graph"] == [] and engine.answer("fox")["route"] == "hybrid_only"
+
+
+def test_search_reads_the_stored_index(spark, engine):
+    postings = engine.store.read("postings")
+    assert "bucket" in postings.columns and postings.where("term = 'fox'").count() == 2  # nothing of the quarantined file
+    plan = engine.search("fox")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket#" in plan and "In(term" in plan or "EqualTo(term,fox)" in plan
+
+
+def test_lookback(spark, tmp_path):
+    made = Engine(spark, f"file://{tmp_path}", GAZETTEER)
+    at = lambda minutes: int((1_704_067_200 - minutes * 60) * 1e9)  # noqa: E731 - before 2024-01-01
+    spans_ = [(f"t{m}", at(m), at(m) + 2_000_000, 0, [("peer.service", "order-service")]) for m in (1, 4, 9)]
+    docs = spark.createDataFrame([(trace([x], (("service.name", "web"),)),) for x in spans_], "trace string")
+    assert made.aggregate_traces(docs, lookback_minutes=5) == 1
+    assert made.table("observed_edges").first()["call_count"] == 2
+
+
+def test_failing_embeddings_cost_one_vector(spark, engine, tmp_path):
+    def embed(texts):
+        if any("restricted" in t for t in texts):
+            raise RuntimeError("refused")
+        return [[1.0, float(t.startswith("passage: "))] for t in texts]
+
+    made = Engine(spark, f"file://{tmp_path}", GAZETTEER, config={"document_prefix": "passage: "}, embed=embed)
+    made.ingest(f"file:{engine.folder}")
+    found = {r["source_uri"]: r["embedding"] for r in made.table("chunks").collect()}
+    assert found["default:a.md"] == [1.0, 1.0] and found["default:x/security/b.md"] is None
+
+
+def test_broken_front_matter_stays_text(spark):
+    texts = ["---\ntitle: A\ntags:\n  - x\n---\nbody", "---\nnot a key\n---\nbody", "plain"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(markdown.front_matter(F.col("t")).alias("m"), markdown.body(F.col("t")).alias("b")).collect()
+    assert rows[0]["m"]["title"] == "A" and rows[0]["b"] == "body"
+    assert rows[1]["m"] == {} and rows[1]["b"] == texts[1] and rows[2]["m"] == {} and rows[2]["b"] == "plain"
+
+
+def test_folders_with_signs(spark, tmp_path):
+    folder = tmp_path / "a+b (c)"
+    folder.mkdir()
+    (folder / "x.md").write_text("hello", encoding="utf-8")
+    assert [r["path"] for r in markdown.collect(spark, f"file:{folder}").collect()] == ["x.md"]
+
+
 def test_listings(engine):
     assert [r["title"] for r in engine.documents(clearance="INTERNAL").collect()] == ["a.md"]
     assert engine.documents(clearance="RESTRICTED", offset=1, limit=1).count() == 1

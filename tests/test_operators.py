@@ -285,3 +285,44 @@ def test_versions(spark, tmp_path):
     for n in range(3):
         tables.write("t", spark.range(n + 1))
     assert tables.versions("t") == [2, 3] and tables.read("t").count() == 3
+
+
+def test_percentiles_of_a_crowded_pair(spark):
+    """Exact ranks over many distinct values, zero, negative and null keys included."""
+    rng = random.Random(4)
+    rows = [("a", rng.expovariate(0.01)) for _ in range(3000)] + [("b", 5.0)] * 10 + [(None, float(x)) for x in range(-3, 7)] + [("c", None)]
+    got = {r["k"]: r for r in traces.percentiles(spark.createDataFrame(rows, "k string, duration_ms double"), ["k"]).collect()}
+    for key in ("a", "b", None):
+        own = sorted(v for k, v in rows if k == key)
+        for q, name in ((0.5, "latency_p50"), (0.95, "latency_p95"), (0.99, "latency_p99")):
+            assert got[key][name] == own[min(int(len(own) * q), len(own) - 1)]
+    assert "c" not in got
+
+
+def test_shortest_paths_by_brute_force(spark):
+    rng = random.Random(8)
+    edges = sorted({(a, b) for a, b in ((rng.randrange(9), rng.randrange(9)) for _ in range(22)) if a != b})
+    rows = [(f"e{n:02d}", str(a), str(b)) for n, (a, b) in enumerate(edges)]
+    df = spark.createDataFrame(rows, "rid string, from_rid string, to_rid string").cache()
+    for source, target in (("0", "5"), ("3", "7"), ("1", "1"), ("8", "2")):
+        walks, found = [([r[0]], r[2]) for r in rows if r[1] == source], None
+        for _ in range(4):
+            hits = sorted(p for p, end in walks if end == target)
+            if hits:
+                found = hits[0]
+                break
+            walks = [(p + [r[0]], r[2]) for p, end in walks for r in rows if r[1] == end and r[0] not in p]
+        got = [r["path_edges"] for r in graph.find_path(df, F.lit(source), F.lit(target), 4).collect()]
+        assert got == ([found] if found else []), (source, target)
+
+
+def test_stored_index_gives_the_same_ranking(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(f"d{i}", " ".join(rng.choices("alpha beta gamma delta eps".split(), k=rng.randint(1, 12)))) for i in range(40)], "rid string, text string")
+    asked = spark.createDataFrame([(0, "alpha beta"), (1, "gamma"), (2, "nothing"), (3, "")], "query_id long, query string")
+    from tidewater.functions import text as TF
+
+    sized = docs.where("rid < 'd3'").select("rid", F.size(TF.terms(F.col("text"))).alias("length"))
+    got = retrieval.indexed_search(retrieval.index(docs), sized, asked, 5).collect()
+    want = retrieval.lexical_search(docs.where("rid < 'd3'"), asked, 5).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got

@@ -44,9 +44,13 @@ def tag(rows: DataFrame, flagged: DataFrame, flag: str, key: str = "rid", flags:
 
 
 def with_evidence(edges: DataFrame, evidence: DataFrame, chunks: DataFrame, size: int = 200) -> DataFrame:
-    """(edge_rid, evidence_rid, note, snippet): evidence of each edge with the text of its chunk, if there is one."""
+    """(edge_rid, evidence_rid, note, snippet): evidence of each edge with the text of its chunk, if there is one.
+
+    Chunks with ``section_path`` and ``title`` give these, too.
+    """
     from tidewater.functions.text import snippet
 
     links = edges.select(F.col("rid").alias("edge_rid")).join(evidence.select(F.col("subject_rid").alias("edge_rid"), "evidence_rid", "note"), "edge_rid")
-    texts = chunks.select(F.col("rid").alias("evidence_rid"), snippet(F.col("chunk_text"), size).alias("snippet"))
-    return links.join(texts, "evidence_rid", "left").select("edge_rid", "evidence_rid", "note", "snippet")
+    more = [c for c in ("section_path", "title") if c in chunks.columns]
+    texts = chunks.select(F.col("rid").alias("evidence_rid"), snippet(F.col("chunk_text"), size).alias("snippet"), *more)
+    return links.join(texts, "evidence_rid", "left").select("edge_rid", "evidence_rid", "note", "snippet", *more)

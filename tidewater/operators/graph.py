@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewater.functions.ids import canonical_name, edge_rid, evidence_rid
 
@@ -96,18 +96,24 @@ def neighbors(edges: DataFrame, centre: Column, hops: int = 1, distinct: bool =
 
 
 def find_path(edges: DataFrame, source: Column, target: Column, max_hops: int = 4) -> DataFrame:
-    """At most one row: the last edge of a shortest directed walk without a repeated edge, its hop and all its edges.
+    """At most one row: the last edge of a shortest directed walk, its hop and all its edges.
 
-    Of equally short walks the one with the smallest edge ids.  Hops are tried in turn within one plan.
+    Of equally short walks the one with the smallest edge ids.  Breadth first: each hop keeps the best way to each node
+    that no earlier hop has reached, so the rows are as many as the nodes, not the walks.
     """
     columns = edges.columns
-    walk = edges.where(F.col("from_rid") == source).select(F.lit(1).alias("hop"), *columns, F.array("rid").alias("path_edges"))
-    found = walk.where(F.col("to_rid") == target)
+
+    def best(step: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("to_rid").orderBy("path_edges"))
+        return step.withColumn("place", place).where("place = 1").drop("place")
+
+    walk = best(edges.where(F.col("from_rid") == source).select(F.lit(1).alias("hop"), *columns, F.array("rid").alias("path_edges")))
+    found, seen = walk.where(F.col("to_rid") == target), walk.select("to_rid")
     for hop in range(2, max_hops + 1):
         last = walk.where(F.col("to_rid") != target).select(F.col("to_rid").alias("l_to"), F.col("path_edges").alias("l_path"))
-        walk = edges.join(last, (F.col("from_rid") == F.col("l_to")) & ~F.array_contains("l_path", F.col("rid")))
-        walk = walk.select(F.lit(hop).alias("hop"), *columns, F.array_append("l_path", F.col("rid")).alias("path_edges"))
-        found = found.unionByName(walk.where(F.col("to_rid") == target))
+        walk = edges.join(last, F.col("from_rid") == F.col("l_to")).select(F.lit(hop).alias("hop"), *columns, F.array_append("l_path", F.col("rid")).alias("path_edges"))
+        walk = best(walk.join(seen, "to_rid", "left_anti").select("hop", *columns, "path_edges"))
+        found, seen = found.unionByName(walk.where(F.col("to_rid") == target)), seen.unionByName(walk.select("to_rid"))
     return found.orderBy("hop", "path_edges").limit(1)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewater.functions import text as T
 
 K1, B = 1.2, 0.75
+BUCKETS, MANY = 64, 1000
 
 
 def postings(chunks: DataFrame, key: str = "rid", text: str = "text") -> DataFrame:
@@ -18,17 +19,51 @@ def postings(chunks: DataFrame, key: str = "rid", text: str = "text") -> DataFra
     return rows.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
+def bucket(term: Column) -> Column:
+    """The part of the stored postings that a term is in."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def index(chunks: DataFrame, key: str = "rid", text: str = "text") -> DataFrame:
+    """Postings with their bucket, to be stored by it, so that a search reads its terms' buckets alone."""
+    return postings(chunks, key, text).withColumn("bucket", bucket(F.col("term")))
+
+
+def indexed_search(stored: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 20, key: str = "rid") -> DataFrame:
+    """``lexical_search`` from stored postings (key, term, length, tf, bucket) of the rows in ``lengths`` (key, length), and of no others.
+
+    Query terms are looked up by bucket and term before anything is joined; texts are not read.  The terms go
+    through the driver: they are as many as the queries' words.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
+    words = sorted({r["term"] for r in asked.select("term").distinct().collect()})
+    spark = queries.sparkSession
+    if len(words) <= MANY:
+        parts = sorted({r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(bucket(F.col("term"))).collect()}) if words else []
+        hits = stored.where(F.col("bucket").isin(parts) & F.col("term").isin(words))
+    else:
+        hits = stored.join(asked.select(bucket(F.col("term")).alias("bucket"), "term").distinct(), ["bucket", "term"], "left_semi")
+    hits = hits.select(key, "term", "length", "tf").join(lengths.select(key), key, "left_semi")
+    stats = lengths.agg(F.count(key).alias("n_docs"), F.avg("length").alias("mean"))
+    return rank_postings(hits, stats, asked, k, key)
+
+
 def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = 20, key: str = "rid", text: str = "text") -> DataFrame:
     """(query_id, key, score, rank): the k best rows that hold all terms of each of ``queries`` (query_id, query).
 
     Okapi BM25; document frequencies are counted for the queries' terms alone, and ties go to the smaller key.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
-    wanted = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     found = T.terms(F.col(text))
     sized = chunks.select(key, found.alias("terms"), F.size(found).alias("length"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
     hits = sized.select(key, "length", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    return rank_postings(hits, stats, asked, k, key)
+
+
+def rank_postings(hits: DataFrame, stats: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
+    """The k best rows of ``hits`` (key, term, length, tf) for each query of ``asked`` (query_id, term), that hold all its terms."""
+    wanted = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

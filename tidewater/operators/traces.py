@@ -44,6 +44,13 @@ def service(span: Column, resource: Column, known: list[str]) -> Column:
     )
 
 
+def recent(found: DataFrame, as_of: Column, minutes: int) -> DataFrame:
+    """Spans of the traces that began in the last ``minutes`` before ``as_of``, whole traces."""
+    since = (F.unix_micros(as_of) - F.lit(int(minutes) * 60_000_000)) * 1000
+    begun = found.groupBy("trace_id").agg(F.min("start_ns").alias("begun")).where((F.col("begun") >= since) & (F.col("begun") <= F.unix_micros(as_of) * 1000))
+    return found.join(begun.select("trace_id"), "trace_id", "left_semi")
+
+
 def pairs(found: DataFrame, known: list[str]) -> DataFrame:
     """(from_service, to_service, duration_ms, is_error, trace_id, resolved_via, protocol, ord) of spans that name a peer."""
     empty = F.create_map().cast("map<string,string>")
@@ -64,9 +71,7 @@ def rank_percentile(durations: Column, q: float) -> Column:
 def aggregate_pairs(found: DataFrame, by: tuple[str, ...] = ("from_service", "to_service"), samples: int = 5) -> DataFrame:
     """Edges of service pairs: calls, error rate, exact rank percentiles of positive durations, first samples.
 
-    Durations are gathered as a histogram: distinct values with their counts, added up before the shuffle.
-    A percentile is the smallest value whose running count passes its index, so a crowded pair
-    costs as many rows as it has distinct durations.
+    Durations are counted before the shuffle, and only the range that holds a percentile's index is ordered.
     """
     keys = list(by)
     base = found.groupBy(*keys).agg(
@@ -86,12 +91,24 @@ def aggregate_pairs(found: DataFrame, by: tuple[str, ...] = ("from_service", "to
 
 
 def percentiles(found: DataFrame, keys: list[str], value: str = "duration_ms", at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """latency_p50, latency_p95, ... of each key by rank: index floor(n * q), n - 1 at most."""
-    counts = found.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    """latency_p50, latency_p95, ... of each key by rank: index floor(n * q), n - 1 at most.
+
+    In two levels: counts in ranges of the value, a few thousand for each key, find the range that holds an
+    index, and only the values of that range are ordered, so no window holds all values of a crowded key.
+    """
+    counts = found.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("part", F.when(F.col(value) > 0, F.floor(F.log2(value) * 64)).otherwise(F.lit(-(1 << 20))).cast("long"))
     every = Window.partitionBy(*keys)
-    counts = counts.withColumn("total", F.sum("n").over(every)).withColumn("upto", F.sum("n").over(every.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = counts.groupBy(*keys, "part").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("total", F.sum("n").over(every)).withColumn("upto", F.sum("n").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))
     index = lambda q: F.least(F.floor(F.col("total") * F.lit(q)), F.col("total") - 1)
-    return counts.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") > index(q), F.col(value))).alias(f"latency_p{round(q * 100)}") for q in at))
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), index(q).alias("index")) for i, q in enumerate(at)))).alias("one")
+    held = parts.select(*keys, "part", "n", "upto", asked).where((F.col("upto") > F.col("one.index")) & (F.col("upto") - F.col("n") <= F.col("one.index")))
+    held = held.select(*(F.col(k).alias(f"h_{i}") for i, k in enumerate(keys)), F.col("part").alias("h_part"), "one.q", (F.col("one.index") - F.col("upto") + F.col("n")).alias("rest"))
+    on = [F.col(k).eqNullSafe(F.col(f"h_{i}")) for i, k in enumerate(keys)] + [F.col("part") == F.col("h_part")]
+    inside = counts.join(held, on).withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "q").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    met = inside.where(F.col("upto") > F.col("rest"))
+    return met.groupBy(*keys).agg(*(F.min(F.when(F.col("q") == i, F.col(value))).alias(f"latency_p{round(q * 100)}") for i, q in enumerate(at)))
 
 
 def first_samples(found: DataFrame, keys: list[str], n: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.functions import access, ids
+from tidewater.functions import access, ids, text as text_functions
 from tidewater.operators import chunking, difference, governance, graph, retrieval, traces
 from tidewater.plans import schema
 from tidewater.sources import markdown, settings, store
@@ -45,7 +45,7 @@ class Engine:
         counts = docs.agg(F.count("*").alias("indexed"), F.count_if("is_quarantined").alias("quarantined")).first()
         total = found.count()
         rows = schema.complete(docs, "documents")
-        self.store.write("documents", store.replace_columns(old, rows, "rid", ["hash", "content_hash", "classification", "is_quarantined", "updated_at", "doc_type", "language"]))
+        self.store.write("documents", store.replace_columns(old, rows, "rid", ["hash", "content_hash", "classification", "is_quarantined", "quality_flags", "updated_at", "doc_type", "language"]))
         open_ = docs.where("not is_quarantined")
         made = chunking.chunks(open_.select("rid", "text", "language"), self.settings).join(open_.select(F.col("rid").alias("doc_rid"), "source_uri", "classification", "tenant"), "doc_rid")
         chunks = schema.complete(self._embedded(made.withColumn("updated_at", F.to_timestamp(F.lit(as_of)))), "chunks")
@@ -54,6 +54,7 @@ class Engine:
         # a document that is quarantined now keeps no active chunks
         kept = current.join(gone.withColumn("q", F.lit(True)), "doc_rid", "left").withColumn("status", F.when(F.col("q"), "superseded").otherwise(F.col("status"))).select(*current.columns)
         self.store.write("chunks", store.supersede(kept, chunks, "doc_rid"))
+        self._index(self.table("chunks"), docs.select(F.col("rid").alias("doc_rid")))
         self.store.write("entities", store.insert_absent(self.table("entities"), self._entities(tenant), ["tenant", "entity_type", "name"]))
         relations = graph.relations(access.base_filter(self.table("chunks"), tenant, "RESTRICTED"), graph.patterns(self.gazetteer), self.settings)
         edges, evidence = graph.edges_and_evidence(relations, self.table("entities").where(F.col("tenant") == tenant), tenant)
@@ -62,17 +63,32 @@ class Engine:
         docs.unpersist()
         return {"total": total, "indexed": counts["indexed"] - counts["quarantined"], "quarantined": counts["quarantined"], "skipped": total - counts["indexed"]}
 
+    def _index(self, chunks: DataFrame, changed: DataFrame) -> None:
+        """Postings of the chunks of changed documents take the places of what was stored for them."""
+        new = chunks.where("status = 'active'").join(changed, "doc_rid", "left_semi")
+        made = retrieval.index(new.select("rid", F.col("search_text").alias("text")))
+        if self.store.versions("postings"):
+            made = self.store.read("postings").join(chunks.join(changed, "doc_rid", "left_semi").select("rid"), "rid", "left_anti").unionByName(made)
+        self.store.write("postings", made, by=["bucket"])
+
     def _embedded(self, chunks: DataFrame) -> DataFrame:
         if self.embed is None:
             return chunks
-        embed = self.embed
+        embed, prefix = self.embed, self.settings.get("document_prefix", "")
+
+        def batch(texts: list[str], tries: int = 3) -> list[list[float] | None]:
+            """The texts' vectors; a batch that fails again and again goes one by one, and what fails alone has none."""
+            for _ in range(tries):
+                try:
+                    return embed(texts)
+                except Exception:  # whatever the provider raises
+                    continue
+            return [None] if len(texts) == 1 else [v for t in texts for v in batch([t], 1)]
 
         def run(batches):
             for rows in batches:
-                vectors = []
-                for at in range(0, len(rows), 10):
-                    vectors += embed(list(rows["chunk_text"][at : at + 10]))
-                yield rows.assign(embedding=vectors)
+                texts = [prefix + t for t in rows["chunk_text"]]
+                yield rows.assign(embedding=[v for at in range(0, len(texts), 10) for v in batch(texts[at : at + 10])])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
         return chunks.mapInPandas(run, f"{fields}, embedding array<float>")
@@ -93,8 +109,12 @@ class Engine:
             raise ValueError("the query is blank")
         chunks = self.visible_chunks(tenant, clearance)
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
-        lexical = retrieval.lexical_search(chunks.select("rid", F.col("search_text").alias("text")), asked, self.settings["top_k"]).drop("query_id")
-        vector = lexical.limit(0) if self.embed is None else retrieval.vector_search(chunks, self.embed([query])[0], self.settings["top_k"])
+        if self.store.versions("postings"):
+            sized = chunks.select("rid", F.size(text_functions.terms(F.col("search_text"))).alias("length"))
+            lexical = retrieval.indexed_search(self.store.read("postings"), sized, asked, self.settings["top_k"]).drop("query_id")
+        else:
+            lexical = retrieval.lexical_search(chunks.select("rid", F.col("search_text").alias("text")), asked, self.settings["top_k"]).drop("query_id")
+        vector = lexical.limit(0) if self.embed is None else retrieval.vector_search(chunks, self.embed([self.settings.get("query_prefix", "") + query])[0], self.settings["top_k"])
         return retrieval.enrich(retrieval.fuse(lexical, vector, top_k, self.settings["rrf_k"]), chunks)
 
     def answer(self, query: str, **how: Any) -> dict[str, Any]:
@@ -102,7 +122,7 @@ class Engine:
         found = self.search(query, **how)
         hits = found.orderBy("rank").collect()
         if not hits:
-            return {"answer": "Nothing was found for this question.", "evidence": [], "provenance": [], "llm_failed": False}
+            return {"answer": "Nothing was found for this question.", "evidence": [], "graph": [], "provenance": [], "route": self.route(query), "llm_failed": False}
         table = self.spark.createDataFrame(hits, found.schema)
         prompt, failed = retrieval.prompt_text(table).first()["prompt"], False
         out = prompt
@@ -112,16 +132,23 @@ class Engine:
             except Exception:
                 failed = True
         sources = retrieval.packet(table).orderBy("first_rank").collect()
-        return {"answer": out, "evidence": [h.asDict() for h in hits], "provenance": [s.asDict() for s in sources], "llm_failed": failed}
+        route = self.route(query)
+        around = self._around(query) if "graph" in route else []
+        return {"answer": out, "evidence": [h.asDict() for h in hits], "graph": around, "provenance": [s.asDict() for s in sources], "route": route, "llm_failed": failed}
+
+    def _around(self, query: str) -> list[dict[str, Any]]:
+        """The edges within two hops of the first entity that the query names."""
+        names = self.spark.range(1).select(graph.entities_in(F.lit(query), graph.patterns(self.gazetteer)).alias("e")).first()["e"]
+        return [r.asDict() for r in self.graph(names[0]["name"], 2).collect()] if names else []
 
     def answer_events(self, query: str, **how: Any) -> Iterator[tuple[str, Any]]:
         """The answer as events: evidence, graph, answer_delta, done; or error."""
         try:
             found = self.answer(query, **how)
             yield "evidence", found["evidence"]
-            names = self.spark.range(1).select(graph.entities_in(F.lit(query), graph.patterns(self.gazetteer)).alias("e")).first()["e"]
-            if names:
-                yield "graph", [r.asDict() for r in self.graph(names[0]["name"], 2).collect()]
+            around = found["graph"] or self._around(query)
+            if around:
+                yield "graph", around
             for line in found["answer"].split("\n"):
                 yield "answer_delta", line
             yield "done", {"provenance": found["provenance"]}
@@ -140,9 +167,34 @@ class Engine:
         counts = self.table("evidence").groupBy(F.col("subject_rid").alias("rid")).agg(F.count("*").alias("n_evidence"))
         return designed.unionByName(seen).join(counts, "rid", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
 
-    def aggregate_traces(self, trace_documents: DataFrame, tenant: str = "default", as_of: str = "2024-01-01 00:00:00", max_traces: int | None = None) -> int:
-        """Fold trace documents (column ``trace``, JSON) into the observed edges; returns the number of edges."""
+    def centre(self, entity: str) -> dict[str, Any] | None:
+        """Name, type, aliases and description of the entity at the centre of a graph; None if it is unknown."""
+        entities = self.table("entities")
+        rid = graph.resolve(self.spark.createDataFrame([(entity,)], "name string"), entities).first()["rid"]
+        found = entities.where(F.col("rid") == rid).select("rid", "name", "entity_type", "aliases", "description").first()
+        return found.asDict() if found else None
+
+    def evidence(self, edges: DataFrame, tenant: str = "default", clearance: str = "INTERNAL") -> DataFrame:
+        """(edge_rid, evidence_rid, note, snippet, section_path, title) of ``edges`` (rid); texts above the clearance stay null."""
+        return difference.with_evidence(edges, self.table("evidence"), self.visible_chunks(tenant, clearance))
+
+    def graph_evidence(self, entity: str, hops: int = 1, tenant: str = "default", clearance: str = "INTERNAL") -> DataFrame:
+        """The evidence of all edges around an entity."""
+        return self.evidence(self.graph(entity, hops, tenant).select("rid").distinct(), tenant, clearance)
+
+    def diff_evidence(self, flag: str | None = None, entity: str | None = None, tenant: str = "default", clearance: str = "INTERNAL") -> DataFrame:
+        """The evidence of the edges that differ, of either side, with the kind of difference."""
+        rows = self.diff(flag, entity).select("diff_type", F.coalesce("edge_rid", "obs_rid").alias("rid"))
+        return self.evidence(rows, tenant, clearance).join(rows.select("diff_type", F.col("rid").alias("edge_rid")), "edge_rid")
+
+    def aggregate_traces(self, trace_documents: DataFrame, tenant: str = "default", as_of: str = "2024-01-01 00:00:00", max_traces: int | None = None, lookback_minutes: int | None = None) -> int:
+        """Fold trace documents (column ``trace``, JSON) into the observed edges; returns the number of edges.
+
+        With ``lookback_minutes`` only traces that began within so many minutes before ``as_of`` count.
+        """
         rows = traces.spans(trace_documents)
+        if lookback_minutes is not None:
+            rows = traces.recent(rows, F.to_timestamp(F.lit(as_of)), lookback_minutes)
         if max_traces is not None:
             first = rows.groupBy("trace_id").agg(F.min("start_ns").alias("s")).orderBy("s", "trace_id").limit(max_traces).select("trace_id")
             rows = rows.join(first, "trace_id", "left_semi")

@@ -79,11 +79,19 @@ def postings_build(s: Spark, d: str) -> DataFrame:
 
 
 def _docs(s: Spark, d: str) -> DataFrame:
-    return access.base_filter(lens.documents(s, d), lens.TENANT, "INTERNAL")
+    return access.base_filter(lens.stored_documents(s, d), lens.TENANT, "INTERNAL")
+
+
+def _enriched(s: Spark, d: str, ranked: DataFrame) -> DataFrame:
+    # the texts of the few ranked rows alone
+    few = F.broadcast(ranked.select("rid"))  # top-k rows
+    texts = lens.files(s, d).join(few, "rid", "left_semi").select("rid", "text")
+    return retrieval.enrich(ranked, _docs(s, d).join(texts, "rid"))
 
 
 def _lexical(s: Spark, d: str) -> DataFrame:
-    return retrieval.lexical_search(_docs(s, d).select("rid", "text"), s.createDataFrame([(0, QUERY)], "query_id long, query string"), 20).drop("query_id")
+    asked = s.createDataFrame([(0, QUERY)], "query_id long, query string")
+    return retrieval.indexed_search(lens.stored_postings(s, d), _docs(s, d).select("rid", "length"), asked, 20).drop("query_id")
 
 
 def lexical_topk(s: Spark, d: str) -> DataFrame:
@@ -105,11 +113,16 @@ def rrf_fusion(s: Spark, d: str) -> DataFrame:
 
 
 def hybrid_search(s: Spark, d: str) -> DataFrame:
-    hits = retrieval.enrich(retrieval.fuse(_lexical(s, d), _vector(s, d), 10), _docs(s, d))
+    hits = _enriched(s, d, retrieval.fuse(_lexical(s, d), _vector(s, d), 10))
     return hits.select("rank", "rid", "title", "classification", "score", "snippet")
 
 
 def batch_lexical(s: Spark, d: str) -> DataFrame:
+    return retrieval.indexed_search(lens.stored_postings(s, d), lens.stored_documents(s, d).select("doc_id", "length"), lens.query_texts(s, d), 5, key="doc_id")
+
+
+def lexical_scan(s: Spark, d: str) -> DataFrame:
+    """The same ranking straight from the texts, for corpora that are not indexed."""
     return retrieval.lexical_search(lens.files(s, d).select("doc_id", "text"), lens.query_texts(s, d), 5, key="doc_id")
 
 
@@ -174,12 +187,16 @@ def evidence_link(s: Spark, d: str) -> DataFrame:
     return difference.with_evidence(edges, evidence, docs)
 
 
+def _named(s: Spark, d: str, edges: DataFrame) -> DataFrame:
+    return graph.with_names(edges.drop("from_name", "to_name"), lens.entities(s, d))
+
+
 def designed_edges(s: Spark, d: str) -> DataFrame:
-    return lens.designed(s, d).select("rid", "from_name", "to_name", "confidence")
+    return _named(s, d, lens.designed(s, d)).select("rid", "from_name", "to_name", "confidence")
 
 
 def observed_edges(s: Spark, d: str) -> DataFrame:
-    return lens.observed(s, d).select("rid", "from_name", "to_name", "call_count", "error_rate", "latency_p50", "latency_p95", "latency_p99")
+    return _named(s, d, lens.observed(s, d)).select("rid", "from_name", "to_name", "call_count", "error_rate", "latency_p50", "latency_p95", "latency_p99")
 
 
 def edge_diff(s: Spark, d: str) -> DataFrame:
@@ -219,7 +236,7 @@ def find_path(s: Spark, d: str) -> DataFrame:
 
 
 def span_pairs(s: Spark, d: str) -> DataFrame:
-    rows = traces.pairs(lens.spans(s, d), ["svc-1", "svc-2"])
+    rows = traces.pairs(traces.spans(lens.trace_documents(s, d)), ["svc-1", "svc-2"])
     return rows.select("trace_id", "from_service", "to_service", F.round("duration_ms", 3).alias("duration_ms"), "is_error", "resolved_via", "protocol")
 
 
@@ -243,7 +260,7 @@ def documents_page(s: Spark, d: str) -> DataFrame:
 
 
 def status_counts(s: Spark, d: str) -> DataFrame:
-    docs = lens.documents(s, d).agg(F.count_if(F.col("status") == "active").alias("documents"), F.count_if("is_quarantined").alias("quarantined"), F.max("doc_id").alias("last_doc"))
+    docs = lens.stored_documents(s, d).agg(F.count_if(F.col("status") == "active").alias("documents"), F.count_if("is_quarantined").alias("quarantined"), F.max("doc_id").alias("last_doc"))
     edges, seen = lens.designed(s, d).agg(F.count("*").alias("edges")), lens.observed(s, d).agg(F.count("*").alias("observed_edges"))
     names = lens.entities(s, d).agg(F.count("*").alias("entities"))
     return docs.crossJoin(edges).crossJoin(seen).crossJoin(names)  # one row each
@@ -251,7 +268,7 @@ def status_counts(s: Spark, d: str) -> DataFrame:
 
 def _hits(s: Spark, d: str) -> DataFrame:
     # rows of one tenth of the ranks share a document here, so that documents repeat
-    hits = retrieval.enrich(retrieval.fuse(_lexical(s, d), _vector(s, d), 10), _docs(s, d))
+    hits = _enriched(s, d, retrieval.fuse(_lexical(s, d), _vector(s, d), 10))
     return hits.withColumn("doc_rid", F.concat(F.lit("d"), (F.col("rank") % 4).cast("string")))
 
 
@@ -260,7 +277,7 @@ def evidence_packet(s: Spark, d: str) -> DataFrame:
 
 
 def prompt_text(s: Spark, d: str) -> DataFrame:
-    return retrieval.prompt_text(retrieval.enrich(retrieval.fuse(_lexical(s, d), _vector(s, d), 3), _docs(s, d)))
+    return retrieval.prompt_text(_enriched(s, d, retrieval.fuse(_lexical(s, d), _vector(s, d), 3)))
 
 
 def stream_span_windows(s: Spark, d: str) -> DataFrame:
@@ -286,6 +303,6 @@ def turn_order(s: Spark, d: str) -> DataFrame:
 
 ALL = [
     rid_documents, canonical_names, content_hash_changed, base_filter_docs, pii_scan, classify_docs, quarantine_split, language_ratio, token_estimate, section_split, chunk_pack, search_text, postings_build, lexical_topk, vector_topk, rrf_fusion, hybrid_search,
-    batch_lexical, route_queries, entity_match, relation_extract, relation_evidence, edge_upsert_max, entity_insert_absent, observed_replace, chunk_supersede, evidence_link, designed_edges, observed_edges, edge_diff, diff_summary, diff_filtered, tag_flags,
+    batch_lexical, lexical_scan, route_queries, entity_match, relation_extract, relation_evidence, edge_upsert_max, entity_insert_absent, observed_replace, chunk_supersede, evidence_link, designed_edges, observed_edges, edge_diff, diff_summary, diff_filtered, tag_flags,
     neighbors_1hop, neighbors_2hop, find_path, span_pairs, pair_aggregate, pair_percentiles, suggest_entities, documents_page, status_counts, evidence_packet, prompt_text, stream_span_windows, crm_validation, turn_order,
 ]

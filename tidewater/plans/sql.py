@@ -155,6 +155,7 @@ def build() -> dict[str, str]:
         "rrf_fusion": f"{fused(10)} SELECT rid, lexical_rank, vector_rank, score, rank FROM fused",
         "hybrid_search": f"{fused(10)} SELECT rank, rid, path AS title, classification, score, {SNIPPET.format(300)} AS snippet FROM fused JOIN visible USING (rid)",
         "batch_lexical": f"WITH {DOCS}, {lexical('files', 'doc_id', 'SELECT item_id AS query_id, array_to_string(words[1:2], chr(32)) AS query FROM (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS words FROM (SELECT item_id, list_filter(' + TERMS.format('text') + ', lambda w: length(w) >= 3) AS w FROM benchmark))', 5)} SELECT query_id, doc_id, score, rank FROM lexical",
+        "lexical_scan": f"WITH {DOCS}, {lexical('files', 'doc_id', 'SELECT item_id AS query_id, array_to_string(words[1:2], chr(32)) AS query FROM (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS words FROM (SELECT item_id, list_filter(' + TERMS.format('text') + ', lambda w: length(w) >= 3) AS w FROM benchmark))', 5)} SELECT query_id, doc_id, score, rank FROM lexical",
         "route_queries": f"""WITH q AS (SELECT item_id, lower(CASE item_id % 4 WHEN 0 THEN 'topology of ' || text WHEN 1 THEN 'DIFF ' || text ELSE text END) AS low FROM benchmark)
 SELECT item_id, CASE WHEN item_id % 7 = 6 THEN 'vector_only' WHEN {found_in_query} >= 2 THEN 'graph_then_hybrid' WHEN {any_of("low", rules["graph_keywords"])} THEN 'hybrid_then_graph' WHEN {any_of("low", rules["diff_keywords"])} THEN 'graph_then_hybrid' ELSE 'hybrid_only' END AS route FROM q""",
         "entity_match": f"WITH {DOCS}, low AS (SELECT doc_id, lower(text) AS low FROM files), m AS ({matched}) SELECT doc_id, name, type, position::INT AS position FROM m WHERE position >= 0 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY place) = 1",

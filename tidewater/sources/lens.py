@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.functions.ids import canonical_name, doc_rid, edge_rid, entity_rid
-from tidewater.operators import governance, traces
-from tidewater.sources import settings
+from tidewater.operators import governance, retrieval, traces
+from tidewater.sources import scratch, settings
 
 #: The path rules of this view.
 RULES = {"path_rules": [("src3/*", "RESTRICTED"), ("src7/*", "PUBLIC")]}
@@ -32,6 +32,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"title": F.col("path"), "doc_rid": F.col("rid"), "section_path": F.lit("root"), "status": F.lit("active")})
 
 
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified documents without their texts, and their number of terms, classified once."""
+    from tidewater.functions.text import terms
+
+    return scratch.stored(spark, f"{sf_dir}/documents", lambda: documents(spark, sf_dir).withColumn("length", F.size(terms(F.col("text")))).drop("text", "frontmatter"))
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of all documents, tokenised once and stored by bucket; ``rid`` and ``doc_id`` name the document."""
+    return scratch.stored(spark, f"{sf_dir}/postings", lambda: retrieval.index(files(spark, sf_dir).select(F.struct("rid", "doc_id").alias("key"), "text"), "key").select("key.rid", "key.doc_id", "term", "tf", "length", "bucket"), ["bucket"])
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as a Markdown document; its turns are aggregated by conversation."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.coalesce("role", F.lit("none")), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("part"))
@@ -97,6 +109,17 @@ def as_spans(events: DataFrame) -> DataFrame:
     )
 
 
+def trace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as trace documents in JSON, as a trace store returns them; the spans come out of these again."""
+    rows = spans(spark, sf_dir)
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
+    own = F.array(pair("peer.service", F.col("span_attrs")["peer.service"]), pair("rpc.system", F.col("span_attrs")["rpc.system"]))
+    span = F.struct(F.col("trace_id").alias("traceId"), F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("end_ns").cast("string").alias("endTimeUnixNano"), F.struct("code").alias("status"), own.alias("attributes"))
+    resource = F.struct(F.array(pair("service.name", F.col("resource_attrs")["service.name"])).alias("attributes"))
+    batch = F.struct(resource.alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))
+    return rows.select(F.to_json(F.struct(F.array(batch).alias("batches"))).alias("trace"))
+
+
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as queries: the first two terms of three letters or more."""
     from tidewater.functions.text import terms

@@ -77,10 +77,11 @@ class Store:
         last = self.versions(name)[-1]
         return self.spark.read.parquet(f"{self.folder}/{name}/v{last}")
 
-    def write(self, name: str, rows: DataFrame, keep: int = 2) -> None:
-        """Write the next version; versions before the last ``keep`` go."""
+    def write(self, name: str, rows: DataFrame, keep: int = 2, by: list[str] | None = None) -> None:
+        """Write the next version, in partitions ``by`` if given; versions before the last ``keep`` go."""
         before = self.versions(name)
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{(before or [0])[-1] + 1}")
+        out = rows.repartition(*by).write.partitionBy(*by) if by else rows.write
+        out.mode("overwrite").parquet(f"{self.folder}/{name}/v{(before or [0])[-1] + 1}")
         for old in before[: -keep + 1 or None] if keep > 1 else before:
             path, fs = self._path(f"{self.folder}/{name}/v{old}")
             fs.delete(path, True)
