@@ -79,7 +79,9 @@ def test_traces_and_differences(spark, engine):
     assert status["documents"] == 3 and status["quarantined"] == 1 and status["differences"] == {"doc_only": 1, "observed_only": 1, "conflict": 0}
 
 
-def test_evidence_of_graph_and_differences(engine):
+def test_evidence_of_graph_and_differences(spark, engine):
+    docs = spark.createDataFrame([(trace([("t", 0, 2_000_000, 0, [("peer.service", "order-service")])], (("service.name", "Notification_Service"),)),)], "trace string")
+    engine.aggregate_traces(docs)  # the same edge again, if it is there
     rows = engine.graph_evidence("payment-service", 1).collect()
     assert [(r["note"], r["title"], r["section_path"]) for r in rows if r["snippet"]] == [("trigger: calls", "a.md", "Pay")] and "payment-service calls" in rows[0]["snippet"]
     both = {(r["diff_type"], r["note"].split(",")[0]) for r in engine.diff_evidence().collect()}
