@@ -594,6 +594,28 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and long texts, repeated rows, shared ids and names that clash go through every stage; an empty table stays empty."""
+    import corpus_pipeline
+    from tidewater.llm.shared import written
+
+    rows = [(None, "no id here but five words", "s"), (1, None, None), (2, "", "s"), (3, "x " * 60_000, "s"), (4, "same words in both of these rows", "s"), (4, "same words in both of these rows", "s"), (5, "other words under one id as well", "s"), (5, "nothing like that one at all really", "t")]
+    docs = spark.createDataFrame([(*r, "k", n, "w") for n, r in enumerate(rows)], "doc_id long, text string, source string, key string, copies int, whole_row string")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = written(stage(spark, docs, sf_dir), f"odd-{name}")
+        got = sorted(r["copies"] for r in out.collect())
+        assert out.columns == docs.columns
+        if name == "ngram_jaccard_join":
+            assert len(got) == 7 and set(got) >= {0, 1, 2, 3, 6, 7}
+        elif name == "benchmark_decontamination":
+            assert got == list(range(8))
+        else:
+            assert set(got) <= set(range(8)) and max(map(got.count, got)) <= 2
+    assert sorted(corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).columns) == sorted(docs.columns)
+    none = docs.limit(0)
+    assert all(stage(spark, none, sf_dir).count() == 0 for _, stage in corpus_pipeline.STAGES[:4])
+
+
 # queries that SQL can express
 
 
