@@ -58,8 +58,8 @@ def unframe(record: bytes) -> np.ndarray:
     return np.frombuffer(payload, f"<u{payload[0]}", offset=1)
 
 
-#: Letters that case and composition leave as letters, then signs other than the apostrophe.
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]*)([!-&(-/:-@\[-`{-~]*)")
+#: A line that is letters that case and composition leave as letters, then signs other than the apostrophe; or any other line.
+PLAIN = re.compile(r"^(?:([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]*)([!-&(-/:-@\[-`{-~]*)|(.+))$", re.MULTILINE)
 
 
 class Pool:
@@ -71,7 +71,7 @@ class Pool:
         self.sizes, self.begin, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
     def fresh(self) -> list:
-        return list(islice(self.index, self.known, None))
+        return list(islice(reversed(self.index), len(self.index) - self.known))[::-1]
 
     def keep(self, sizes: np.ndarray, ids: np.ndarray) -> None:
         """The ids of the next ``len(sizes)`` strings."""
@@ -130,17 +130,16 @@ class Encoder:
 
     def _learn(self) -> None:
         """Encode the words that came up since the last call."""
-        fresh = [x.decode() for x in self.words.fresh()]
-        if not fresh:
+        lines = b"\n".join(self.words.fresh()).decode()  # words hold no line ends
+        if not lines:
             return
-        size = sum(map(len, fresh))
-        self.words.bytes, self.pieces.bytes = self.words.bytes + size, self.pieces.bytes + size
-        shapes = list(map(PLAIN.fullmatch, fresh))
-        index = self.pieces.index
-        pairs = np.array([(index[x[1]], index[x[2]]) if x else (-1, -1) for x in shapes], np.int64)
+        self.words.bytes, self.pieces.bytes = self.words.bytes + len(lines), self.pieces.bytes + len(lines)
+        fresh = PLAIN.findall(lines)
+        other = np.flatnonzero(np.fromiter((bool(x[2]) for x in fresh), bool, len(fresh)))
+        number = self.pieces.index.__getitem__
+        pairs = np.array([(-1, -1) if whole else (number(letters), number(signs)) for letters, signs, whole in fresh], np.int64)
         self._learn_pieces()
-        other = np.flatnonzero(pairs[:, 0] < 0)
-        rest = self._batch([fresh[i] for i in other])
+        rest = self._batch([fresh[i][2] for i in other])
         sizes = np.where(pairs < 0, 0, self.pieces.sizes[np.maximum(pairs, 0)]).sum(1)
         sizes[other] = [len(x) for x in rest]
         out = np.empty(sizes.sum(), np.uint32)
