@@ -48,3 +48,8 @@ def similarity(a: Column, b: Column) -> Column:
 def search_text(prefix: Column, section: Column, text: Column) -> Column:
     """The context prefix, or the section in brackets where there is none, before the text."""
     return F.concat(F.coalesce(F.nullif(prefix, F.lit("")), F.concat(F.lit("["), section, F.lit("]"))), F.lit(" "), text)
+
+
+def mention_free(text: Column) -> Column:
+    """A chat message without its mentions."""
+    return F.trim(F.regexp_replace(text, "<@[A-Z0-9]+>", ""))

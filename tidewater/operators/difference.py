@@ -54,3 +54,9 @@ def with_evidence(edges: DataFrame, evidence: DataFrame, chunks: DataFrame, size
     more = [c for c in ("section_path", "title") if c in chunks.columns]
     texts = chunks.select(F.col("rid").alias("evidence_rid"), snippet(F.col("chunk_text"), size).alias("snippet"), *more)
     return links.join(texts, "evidence_rid", "left").select("edge_rid", "evidence_rid", "note", "snippet", *more)
+
+
+def diff_evidence(diff: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The evidence of the edges that differ, of either side, with the kind of difference."""
+    rows = diff.select("diff_type", F.coalesce("edge_rid", "obs_rid").alias("rid"))
+    return with_evidence(rows, evidence, chunks).join(rows.select("diff_type", F.col("rid").alias("edge_rid")), "edge_rid")

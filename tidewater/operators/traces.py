@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewater.functions.ids import canonical_name, entity_rid, observed_rid
+from tidewater.functions.ids import canonical_name, entity_rid, evidence_rid, observed_rid
 
 _ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string,intValue:string>>>"
 _SPANS = f"array<struct<spans:array<struct<traceId:string,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:int>,attributes:{_ATTRIBUTES}>>>>"
@@ -51,6 +51,12 @@ def recent(found: DataFrame, as_of: Column, minutes: int) -> DataFrame:
     return found.join(begun.select("trace_id"), "trace_id", "left_semi")
 
 
+def earliest(found: DataFrame, most: int) -> DataFrame:
+    """Spans of the ``most`` traces that began first, whole traces; ties go by the id."""
+    begun = found.groupBy("trace_id").agg(F.min("start_ns").alias("begun")).orderBy("begun", "trace_id").limit(most)
+    return found.join(begun.select("trace_id"), "trace_id", "left_semi")
+
+
 def pairs(found: DataFrame, known: list[str]) -> DataFrame:
     """(from_service, to_service, duration_ms, is_error, trace_id, resolved_via, protocol, ord) of spans that name a peer."""
     empty = F.create_map().cast("map<string,string>")
@@ -125,3 +131,8 @@ def observed_edges(edges: DataFrame, as_of: Column, tenant: str = "default", win
     return rows.withColumns({"rid": rid, "edge_type": F.lit("CALLS"), "tenant": F.lit(tenant), "interaction_style": F.lit("SYNC"), "window_end": as_of, "window_start": as_of - F.expr(f"INTERVAL {int(window_minutes)} MINUTES"), "last_seen_at": as_of})
 
 
+def evidence(edges: DataFrame, as_of: str, tenant: str = "default") -> DataFrame:
+    """(rid, subject_rid, evidence_rid, kind, weight, note, tenant): one row for each observed edge, with its calls and errors."""
+    source = F.lit(f"traces@{as_of}")
+    note = F.format_string("calls=%d, error_rate=%.2f%%", "call_count", F.round(F.col("error_rate") * 100, 2))
+    return edges.select(evidence_rid(F.col("rid"), source).alias("rid"), F.col("rid").alias("subject_rid"), source.alias("evidence_rid"), F.lit("trace_ref").alias("kind"), F.lit(0.25).alias("weight"), note.alias("note"), F.lit(tenant).alias("tenant"))

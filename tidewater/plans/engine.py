@@ -184,8 +184,7 @@ class Engine:
 
     def diff_evidence(self, flag: str | None = None, entity: str | None = None, tenant: str = "default", clearance: str = "INTERNAL") -> DataFrame:
         """The evidence of the edges that differ, of either side, with the kind of difference."""
-        rows = self.diff(flag, entity).select("diff_type", F.coalesce("edge_rid", "obs_rid").alias("rid"))
-        return self.evidence(rows, tenant, clearance).join(rows.select("diff_type", F.col("rid").alias("edge_rid")), "edge_rid")
+        return difference.diff_evidence(self.diff(flag, entity), self.table("evidence"), self.visible_chunks(tenant, clearance))
 
     def aggregate_traces(self, trace_documents: DataFrame, tenant: str = "default", as_of: str = "2024-01-01 00:00:00", max_traces: int | None = None, lookback_minutes: int | None = None) -> int:
         """Fold trace documents (column ``trace``, JSON) into the observed edges; returns the number of edges.
@@ -196,8 +195,7 @@ class Engine:
         if lookback_minutes is not None:
             rows = traces.recent(rows, F.to_timestamp(F.lit(as_of)), lookback_minutes)
         if max_traces is not None:
-            first = rows.groupBy("trace_id").agg(F.min("start_ns").alias("s")).orderBy("s", "trace_id").limit(max_traces).select("trace_id")
-            rows = rows.join(first, "trace_id", "left_semi")
+            rows = traces.earliest(rows, max_traces)
         known = [w for w, _, _ in graph.patterns(self.gazetteer)]
         pairs = traces.pairs(rows, known).withColumns({c: ids.canonical_name(F.col(c)) for c in ("from_service", "to_service")})
         edges = traces.observed_edges(traces.aggregate_pairs(pairs), F.to_timestamp(F.lit(as_of)), tenant, self.settings["window_minutes"]).cache()
@@ -206,7 +204,7 @@ class Engine:
         self.store.write("entities", store.insert_absent(self.table("entities"), new, ["tenant", "entity_type", "name"]))
         replaced = ["call_count", "error_rate", "latency_p50", "latency_p95", "latency_p99", "sample_trace_ids", "trace_query_ref", "window_start", "window_end", "last_seen_at"]
         self.store.write("observed_edges", store.replace_columns(self.table("observed_edges"), schema.complete(edges, "observed_edges"), "rid", replaced))
-        proof = edges.select(ids.evidence_rid(F.col("rid"), F.concat(F.lit("traces@"), F.lit(as_of))).alias("rid"), F.col("rid").alias("subject_rid"), F.concat(F.lit("traces@"), F.lit(as_of)).alias("evidence_rid"), F.lit("trace_ref").alias("kind"), F.lit(0.25).alias("weight"), F.format_string("calls=%d, error_rate=%.2f%%", "call_count", F.col("error_rate") * 100).alias("note"), F.lit(tenant).alias("tenant"))
+        proof = traces.evidence(edges, as_of, tenant)
         self.store.write("evidence", store.insert_absent(self.table("evidence"), schema.complete(proof, "evidence"), ["rid"]))
         n = edges.count()
         edges.unpersist()
@@ -247,10 +245,3 @@ class Engine:
         out["updated_at"] = self.table("documents").agg(F.max("updated_at")).first()[0]
         out["differences"] = {r["diff_type"]: r["n"] for r in difference.summary(self.diff()).collect()}
         return out
-
-
-def mention_free(text):
-    """A chat message without its mentions."""
-    return F.trim(F.regexp_replace(text, "<@[A-Z0-9]+>", ""))
-
-

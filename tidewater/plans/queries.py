@@ -65,7 +65,20 @@ def section_split(s: Spark, d: str) -> DataFrame:
 
 def chunk_pack(s: Spark, d: str) -> DataFrame:
     small = SETTINGS | {"chunk_tokens": {"ko": 60, "other": 40}}
-    return chunking.chunks(lens.conversations(s, d), small).select("rid", "doc_rid", "section_path", "chunk_index", "token_count")
+    return chunking.chunks(lens.conversations(s, d), small).select("rid", "doc_rid", "section_path", "chunk_index", "token_count", F.sha2("chunk_text", 256).alias("text_hash"))
+
+
+def paragraph_split(s: Spark, d: str) -> DataFrame:
+    """Conversations with a fence before each turn of a user, so that blank lines stand inside and outside of fences."""
+    fenced = F.replace("text", F.lit("## user"), F.lit("```\n\n## user"))
+    rows = lens.conversations(s, d).select("rid", F.posexplode(chunking.paragraphs(fenced)).alias("place", "paragraph"))
+    return rows.select("rid", "place", F.sha2("paragraph", 256).alias("text_hash"))
+
+
+def mention_free(s: Spark, d: str) -> DataFrame:
+    turns = lens.table(s, d, "conversations")
+    said = F.concat(F.lit("<@U"), F.col("conv_id").cast("string"), F.lit("> "), "text", F.lit(" <@BOT> <@low>"))
+    return turns.select("conv_id", "turn", F.sha2(T.mention_free(said), 256).alias("text_hash"))
 
 
 def search_text(s: Spark, d: str) -> DataFrame:
@@ -191,6 +204,11 @@ def _named(s: Spark, d: str, edges: DataFrame) -> DataFrame:
     return graph.with_names(edges.drop("from_name", "to_name"), lens.entities(s, d))
 
 
+def resolve_names(s: Spark, d: str) -> DataFrame:
+    nations, parts = lens.table(s, d, "nation").select(F.lower("n_name").alias("name")), lens.table(s, d, "part").select(F.col("p_name").alias("name"))
+    return graph.resolve(nations.union(parts).distinct(), lens.entities(s, d))
+
+
 def designed_edges(s: Spark, d: str) -> DataFrame:
     return _named(s, d, lens.designed(s, d)).select("rid", "from_name", "to_name", "confidence")
 
@@ -207,6 +225,33 @@ def diff_summary(s: Spark, d: str) -> DataFrame:
     return difference.summary(edge_diff(s, d))
 
 
+def diff_detail(s: Spark, d: str) -> DataFrame:
+    return difference.detail(edge_diff(s, d)).select("diff_type", "edge_rid", "obs_rid", "detail")
+
+
+def trace_evidence(s: Spark, d: str) -> DataFrame:
+    return traces.evidence(lens.observed(s, d), lens.AS_OF)
+
+
+def _evidence(s: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    # a designed edge's document is the one whose id is the length of both names; ids above the clearance have no text
+    docs = lens.files(s, d).select("doc_id", F.col("rid").alias("evidence_rid"))
+    written = lens.designed(s, d).withColumn("n", F.length("from_name") + F.length("to_name")).join(docs, F.col("doc_id") == F.col("n"))
+    written = written.select(F.col("rid").alias("subject_rid"), "evidence_rid", F.concat(F.lit("n="), F.col("n").cast("string")).alias("note"))
+    texts = lens.files(s, d).select("rid", F.col("text").alias("chunk_text"))
+    chunks = _docs(s, d).select("rid", "title", "section_path").join(texts, "rid")
+    return written.unionByName(trace_evidence(s, d).select("subject_rid", "evidence_rid", "note")), chunks
+
+
+def diff_evidence(s: Spark, d: str) -> DataFrame:
+    return difference.diff_evidence(edge_diff(s, d), *_evidence(s, d))
+
+
+def graph_evidence(s: Spark, d: str) -> DataFrame:
+    edges = graph.neighbors(lens.designed(s, d).select("rid", "from_rid", "to_rid"), _centre(s, d), 2)
+    return difference.with_evidence(edges.select("rid").distinct(), *_evidence(s, d))
+
+
 def diff_filtered(s: Spark, d: str) -> DataFrame:
     return difference.filtered(edge_diff(s, d), "observed_only", "nation-3").select("obs_rid", "from_name", "to_name", "call_count")
 
@@ -240,6 +285,17 @@ def span_pairs(s: Spark, d: str) -> DataFrame:
     return rows.select("trace_id", "from_service", "to_service", F.round("duration_ms", 3).alias("duration_ms"), "is_error", "resolved_via", "protocol")
 
 
+def recent_traces(s: Spark, d: str) -> DataFrame:
+    """The first hundred traces of the hour before a time; the limit is the feature."""
+    rows = traces.recent(traces.spans(lens.trace_documents(s, d)), F.to_timestamp(F.lit(lens.LAST_TRACES)), SETTINGS["lookback_minutes"])
+    return traces.earliest(rows, 100).select("trace_id", "start_ns", "end_ns", "code")
+
+
+def observed_windows(s: Spark, d: str) -> DataFrame:
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return lens.observed(s, d).select("rid", "interaction_style", shown("window_start"), shown("window_end"), shown("last_seen_at"))
+
+
 def pair_aggregate(s: Spark, d: str) -> DataFrame:
     rows = traces.aggregate_pairs(traces.pairs(lens.spans(s, d), ["svc-1", "svc-2"]))
     return rows.select("from_service", "to_service", "call_count", "error_count", "error_rate", F.round("latency_p50", 3).alias("latency_p50"), "protocol", F.array_join("sample_trace_ids", ",").alias("samples"))
@@ -302,7 +358,7 @@ def turn_order(s: Spark, d: str) -> DataFrame:
 
 
 ALL = [
-    rid_documents, canonical_names, content_hash_changed, base_filter_docs, pii_scan, classify_docs, quarantine_split, language_ratio, token_estimate, section_split, chunk_pack, search_text, postings_build, lexical_topk, vector_topk, rrf_fusion, hybrid_search,
-    batch_lexical, lexical_scan, route_queries, entity_match, relation_extract, relation_evidence, edge_upsert_max, entity_insert_absent, observed_replace, chunk_supersede, evidence_link, designed_edges, observed_edges, edge_diff, diff_summary, diff_filtered, tag_flags,
-    neighbors_1hop, neighbors_2hop, find_path, span_pairs, pair_aggregate, pair_percentiles, suggest_entities, documents_page, status_counts, evidence_packet, prompt_text, stream_span_windows, crm_validation, turn_order,
+    rid_documents, canonical_names, content_hash_changed, base_filter_docs, pii_scan, classify_docs, quarantine_split, language_ratio, token_estimate, section_split, paragraph_split, chunk_pack, search_text, mention_free, postings_build, lexical_topk, vector_topk, rrf_fusion, hybrid_search,
+    batch_lexical, lexical_scan, route_queries, entity_match, relation_extract, relation_evidence, edge_upsert_max, entity_insert_absent, observed_replace, chunk_supersede, evidence_link, resolve_names, designed_edges, observed_edges, edge_diff, diff_summary, diff_detail, trace_evidence, diff_evidence, graph_evidence, diff_filtered, tag_flags,
+    neighbors_1hop, neighbors_2hop, find_path, span_pairs, recent_traces, observed_windows, pair_aggregate, pair_percentiles, suggest_entities, documents_page, status_counts, evidence_packet, prompt_text, stream_span_windows, crm_validation, turn_order,
 ]

@@ -104,6 +104,45 @@ sections AS (
     regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS section_text
   FROM placed GROUP BY rid, section HAVING section_text <> '')"""
 
+FENCED = "SELECT rid, replace(text, '## user', '```' || chr(10) || chr(10) || '## user') AS text FROM convs"
+
+
+def paragraphs(source: str, keys: str) -> str:
+    """Blocks between blank lines as ``blocks``; a fenced block is one whole paragraph."""
+    by = f"PARTITION BY {keys} ORDER BY i"
+    return f"""
+p_lines AS (SELECT {keys}, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ({source})),
+p_bare AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare FROM p_lines),
+p_fences AS (SELECT *, bare LIKE '```%' AS fence, coalesce(sum((bare LIKE '```%')::INT) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS code FROM p_bare),
+p_kinds AS (SELECT *, CASE WHEN fence AND code THEN 'end' WHEN fence THEN 'begin' WHEN code THEN 'code' WHEN bare = '' THEN 'blank' ELSE 'text' END AS kind FROM p_fences),
+p_starts AS (SELECT *, kind = 'begin' OR (kind = 'text' AND coalesce(lag(kind) OVER ({by}), 'blank') IN ('blank', 'end')) AS starts FROM p_kinds),
+p_numbered AS (SELECT *, sum(starts::INT) OVER ({by}) - 1 AS place FROM p_starts),
+blocks AS (SELECT {keys}, place::INT AS place, string_agg(line, chr(10) ORDER BY i) AS t FROM p_numbered WHERE kind <> 'blank' GROUP BY {keys}, place)"""
+
+
+def estimate(text: str) -> str:
+    return f"floor(len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda x: x <> '')) * 1.3::DOUBLE)::INT"
+
+
+#: One piece at a time: what is open, its tokens, and the chunk that the piece closed.
+PACK = """
+pieces AS (
+  SELECT rid, section, 0 AS place, section_text AS t FROM sections WHERE {whole} <= 40
+  UNION ALL SELECT rid, section, place, t FROM blocks),
+sized AS (SELECT *, {n} AS n, row_number() OVER (PARTITION BY rid, section ORDER BY place) AS k FROM pieces),
+packing AS (
+  SELECT rid, section, 0::BIGINT AS k, []::STRUCT(t VARCHAR, n INT)[] AS open, NULL::VARCHAR AS made FROM sections
+  UNION ALL
+  SELECT rid, section, k, CASE WHEN alone THEN open WHEN over_ THEN list_append(kept, piece) ELSE list_append(open, piece) END, CASE WHEN alone THEN t WHEN over_ THEN array_to_string(list_transform(open, lambda o: o.t), chr(10) || chr(10)) END
+  FROM (SELECT p.rid, p.section, s.k, s.t, p.open, {{'t': s.t, 'n': s.n}} AS piece, s.n > 40 AND len(p.open) = 0 AS alone, len(p.open) > 0 AND s.n + list_sum(list_transform(p.open, lambda o: o.n)) > 40 AS over_,
+          list_filter(p.open, lambda o, i: list_sum(list_transform(p.open[i:], lambda r: r.n)) <= 6) AS kept
+        FROM packing p JOIN sized s ON s.rid = p.rid AND s.section = p.section AND s.k = p.k + 1)),
+made AS (
+  SELECT rid, section, k, made AS t FROM packing WHERE made IS NOT NULL
+  UNION ALL
+  SELECT rid, section, k + 1, array_to_string(list_transform(open, lambda o: o.t), chr(10) || chr(10)) FROM packing WHERE len(open) > 0 QUALIFY row_number() OVER (PARTITION BY rid, section ORDER BY k DESC) = 1 AND k = (SELECT max(k) FROM sized z WHERE z.rid = packing.rid AND z.section = packing.section)),
+indexed AS (SELECT rid AS doc_rid, section_path, (row_number() OVER (PARTITION BY rid ORDER BY section, k) - 1)::INT AS chunk_index, t FROM made JOIN sections USING (rid, section))"""
+
 SPANS = """
 spans AS (
   SELECT event_id::VARCHAR AS trace_id, event_id, epoch_us(ts) * 1000 AS start_ns, round(value * 1e6)::BIGINT AS took, event_type = 'error' AS is_error, ts,
@@ -118,6 +157,22 @@ GAZETTEER = (("payment-service", "payment-service", "Service"), ("order-service"
 TRIGRAMS = "list_distinct(flatten(list_transform({0}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
+RELATIONS = """
+stated AS (SELECT item_id::VARCHAR AS rid, CASE item_id % 3 WHEN 0 THEN text || ' payment calls order. ' || text WHEN 1 THEN text || '. payment does not call order. it emits tion. ' ELSE text END AS t FROM benchmark),
+cut AS (SELECT rid, regexp_split_to_array(t, '[.!?。]\\s*|\\n') AS s FROM stated),
+numbers AS (SELECT rid, s, unnest(range(1, len(s) + 1)) AS w FROM cut),
+windows AS (SELECT rid, w, array_to_string(s[greatest(w - 1, 1):w + 1], ' ') AS win FROM numbers),
+known(place, word, name) AS (VALUES {known}),
+triggers(n, edge_type, word) AS (VALUES {triggers}),
+met AS (SELECT rid, w, name, min(place) AS place FROM windows JOIN known ON contains(lower(win), word) GROUP BY ALL),
+placed AS (SELECT rid, w, n, edge_type, word, win, strpos(lower(win), lower(word)) AS spot FROM windows JOIN triggers ON contains(lower(win), lower(word))),
+near AS (SELECT *, substr(win, greatest(spot - 30, 1), CASE WHEN spot > 30 THEN 60 ELSE spot + 29 END) AS around FROM placed),
+said AS (SELECT * FROM near WHERE NOT {denied}),
+relations AS (
+  SELECT a.rid, edge_type, a.name AS from_name, b.name AS to_name, arg_min(word, a.w * 1000 + n) AS trigger, 0.6::DOUBLE AS confidence
+  FROM met a JOIN met b ON a.rid = b.rid AND a.w = b.w AND a.place < b.place JOIN said ON said.rid = a.rid AND said.w = a.w GROUP BY ALL)"""
+
+
 def any_of(column: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
@@ -136,6 +191,17 @@ def build() -> dict[str, str]:
     fused = lambda k: lex + VECTOR + FUSE.format(k)
     graph = f"WITH RECURSIVE {GRAPH}"
     both = f"{graph}, {calls('observed', 7)}{DIFF}"
+    kinds = [(kind, word) for kind, words in rules["triggers"].items() for word in words]
+    quoted = lambda rows: ", ".join("(" + ", ".join(repr(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+    denied = any_of("around", [n.replace("'", "''") for n in rules["negations"]])
+    stated = RELATIONS.format(known=quoted((i, w, n) for i, (w, n, _) in enumerate(GAZETTEER)), triggers=quoted((i, *k) for i, k in enumerate(kinds)), denied=denied)
+    named = quoted((n, t) for n, t in dict.fromkeys((n, t) for _, n, t in GAZETTEER))
+    proof = "'calls=' || call_count || ', error_rate=' || format('{:.2f}', round(error_rate * 100, 2)) || '%'"
+    proofs = f"""{both}, {DOCS}{PII},
+proofs AS (
+  SELECT d.rid AS subject_rid, f.rid AS evidence_rid, 'n=' || (length(from_name) + length(to_name)) AS note FROM designed d JOIN files f ON f.doc_id = length(from_name) + length(to_name)
+  UNION ALL SELECT rid, 'traces@2024-06-01 00:00:00', {proof} FROM observed),
+shown AS (SELECT rid AS evidence_rid, {SNIPPET.format(200)} AS snippet, 'root' AS section_path, path AS title FROM visible)"""
     similarity = "len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1)"
     return {
         "rid_documents": f"WITH {DOCS} SELECT doc_id, rid, source_uri FROM files",
@@ -148,6 +214,9 @@ def build() -> dict[str, str]:
         "language_ratio": f"WITH {DOCS}{PII} SELECT doc_id, pure_language AS language FROM docs",
         "token_estimate": rf"WITH {DOCS}, n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM files) SELECT doc_id, floor(n * 1.3::DOUBLE)::INT AS en, floor(n * 2.3::DOUBLE)::INT AS ko FROM n",
         "section_split": f"WITH {TURNS} SELECT rid, section::BIGINT AS section, section_path, sha256(section_text) AS text_hash FROM sections",
+        "paragraph_split": f"WITH {TURNS}, {paragraphs(FENCED, 'rid')} SELECT rid, place, sha256(t) AS text_hash FROM blocks",
+        "chunk_pack": f"WITH RECURSIVE {TURNS}, {paragraphs(f'SELECT rid, section, section_text AS text FROM sections WHERE {estimate('section_text')} > 40', 'rid, section')}, {PACK.format(whole=estimate('section_text'), n=estimate('t'))} SELECT 'chunk_' || substr(sha256('chunk:' || doc_rid || ':' || section_path || ':' || chunk_index), 1, 12) AS rid, doc_rid, section_path, chunk_index, {estimate('t')} AS token_count, sha256(t) AS text_hash FROM indexed",
+        "mention_free": "SELECT conv_id, turn, sha256(trim(regexp_replace('<@U' || conv_id || '> ' || text || ' <@BOT> <@low>', '<@[A-Z0-9]+>', '', 'g'))) AS text_hash FROM conversations",
         "search_text": f"WITH {TURNS} SELECT rid, section::BIGINT AS section, sha256(coalesce(nullif(CASE WHEN section % 3 = 0 THEN '' WHEN section % 3 = 1 THEN 'about ' || rid END, ''), '[' || section_path || ']') || ' ' || section_text) AS text_hash FROM sections",
         "postings_build": f"WITH {DOCS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM files) GROUP BY term",
         "lexical_topk": f"{lex} SELECT rid, score, rank FROM lexical",
@@ -159,6 +228,17 @@ def build() -> dict[str, str]:
         "route_queries": f"""WITH q AS (SELECT item_id, lower(CASE item_id % 4 WHEN 0 THEN 'topology of ' || text WHEN 1 THEN 'DIFF ' || text ELSE text END) AS low FROM benchmark)
 SELECT item_id, CASE WHEN item_id % 7 = 6 THEN 'vector_only' WHEN {found_in_query} >= 2 THEN 'graph_then_hybrid' WHEN {any_of("low", rules["graph_keywords"])} THEN 'hybrid_then_graph' WHEN {any_of("low", rules["diff_keywords"])} THEN 'graph_then_hybrid' ELSE 'hybrid_only' END AS route FROM q""",
         "entity_match": f"WITH {DOCS}, low AS (SELECT doc_id, lower(text) AS low FROM files), m AS ({matched}) SELECT doc_id, name, type, position::INT AS position FROM m WHERE position >= 0 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY place) = 1",
+        "relation_extract": f"WITH {stated} SELECT * FROM relations",
+        "relation_evidence": f"""WITH {stated}, ends AS (SELECT name, 'ent_' || substr(sha256('ent:default:' || type || ':' || name), 1, 12) AS rid FROM (VALUES {named}) v(name, type)),
+edges AS (SELECT 'edge_' || substr(sha256('edge:default:' || edge_type || ':' || a.rid || ':' || b.rid), 1, 12) AS rid, edge_type, confidence, r.rid AS chunk FROM relations r JOIN ends a ON a.name = from_name JOIN ends b ON b.name = to_name)
+SELECT rid, edge_type, max(confidence) AS confidence, count(DISTINCT chunk) AS n_evidence FROM edges GROUP BY rid, edge_type""",
+        "resolve_names": f"{graph}, names AS (SELECT lower(n_name) AS name FROM nation UNION SELECT p_name FROM part) SELECT n.name, coalesce(e.rid, 'ent_' || substr(sha256('ent:default:Service:' || {CANON.format('n.name')}), 1, 12)) AS rid FROM names n LEFT JOIN ents e ON e.name = {CANON.format('n.name')}",
+        "diff_detail": f"{both} SELECT diff_type, edge_rid, obs_rid, 'confidence=' || coalesce(confidence::VARCHAR, 'None') || ', calls=' || coalesce(call_count::VARCHAR, 'None') || ', p95=' || coalesce(latency_p95::VARCHAR, 'None') AS detail FROM diff",
+        "trace_evidence": f"{graph}, {calls('observed', 7)} SELECT 'evi_' || substr(sha256('evi:' || rid || ':traces@2024-06-01 00:00:00'), 1, 12) AS rid, rid AS subject_rid, 'traces@2024-06-01 00:00:00' AS evidence_rid, 'trace_ref' AS kind, 0.25::DOUBLE AS weight, {proof} AS note, 'default' AS tenant FROM observed",
+        "diff_evidence": f"{proofs} SELECT coalesce(edge_rid, obs_rid) AS edge_rid, evidence_rid, note, snippet, section_path, title, diff_type FROM diff JOIN proofs ON subject_rid = coalesce(edge_rid, obs_rid) LEFT JOIN shown USING (evidence_rid)",
+        "graph_evidence": f"{proofs}, {centre}, {walk.format(2)} SELECT subject_rid AS edge_rid, evidence_rid, note, snippet, section_path, title FROM proofs LEFT JOIN shown USING (evidence_rid) WHERE subject_rid IN (SELECT rid FROM walk)",
+        "recent_traces": f"WITH {SPANS} SELECT trace_id, start_ns, start_ns + took AS end_ns, CASE WHEN is_error THEN 2 ELSE 0 END AS code FROM spans WHERE start_ns BETWEEN epoch_us(TIMESTAMP '2024-01-15 11:00:00') * 1000 AND epoch_us(TIMESTAMP '2024-01-15 12:00:00') * 1000 ORDER BY start_ns, trace_id LIMIT 100",
+        "observed_windows": f"{graph}, {calls('observed', 7)} SELECT rid, 'SYNC' AS interaction_style, '2024-05-31 23:55:00' AS window_start, '2024-06-01 00:00:00' AS window_end, '2024-06-01 00:00:00' AS last_seen_at FROM observed",
         "edge_upsert_max": f"{graph} SELECT rid, from_name, to_name, CASE WHEN length(from_name) > 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM designed",
         "entity_insert_absent": f"{graph} SELECT rid, name, n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM ents",
         "observed_replace": f"{graph}, {calls('old', 30)}, {calls('late', 7)} SELECT coalesce(n.rid, o.rid) AS rid, coalesce(n.call_count, o.call_count) AS call_count, coalesce(n.error_rate, o.error_rate) AS error_rate, coalesce(n.latency_p95, o.latency_p95) AS latency_p95, CASE WHEN o.rid IS NULL THEN 'http' ELSE 'grpc' END AS protocol FROM old o FULL JOIN late n ON o.rid = n.rid",

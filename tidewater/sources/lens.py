@@ -11,6 +11,8 @@ from tidewater.sources import scratch, settings
 #: The path rules of this view.
 RULES = {"path_rules": [("src3/*", "RESTRICTED"), ("src7/*", "PUBLIC")]}
 AS_OF = "2024-06-01 00:00:00"
+#: The end of the hour whose traces are listed.
+LAST_TRACES = "2024-01-15 12:00:00"
 TENANT = "default"
 
 
