@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, jaccard_join, license_scan, mixing, one_bit_search, quality, secret_scan, sql, token_records, url_filter
-from .shared import scratch_path
+from . import conversation_trie, decontamination, jaccard_join, license_scan, mixing, one_bit_search, quality, secret_scan, sql, token_records, url_filter
+from .shared import scratch_path, written
 from .substring_dedup import remove_repeats
 
 
@@ -68,6 +68,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(conversation_trie.turns_in_order(table(spark, sf_dir, "conversations")), "conversation-turns")
+    ids = turns.select("conv").distinct()
+    convs = written(ids.select("conv", (F.col("conv") - F.col("conv") % 100).alias("base"), (F.crc32(F.col("conv").cast("string")) % 6).alias("h")), "conversation-ids")
+    return conversation_trie.trie(conversation_trie.borrow_heads(turns, convs, most=5), convs.select("conv"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -79,10 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_source_mixing": sql.MIX,
     "op8_substring_dedup": sql.REPEATS,
     "op10_ngram_jaccard_join": sql.COMPONENTS,
+    "op11_conversation_trie": sql.TRIE,
 }

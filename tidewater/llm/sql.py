@@ -51,3 +51,23 @@ def _fit(n: int) -> str:
 
 
 MIX = MIX.format(fits=",\n".join(map(_fit, (1, 2, 3))))
+
+CRC32 = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, ({CRC32.format("conv_id")} % 6)::BIGINT AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS own, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= h
+  UNION ALL SELECT c.conv_id, 1, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h),
+s AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, list(sha256(length(role)::VARCHAR || ':' || role || text)) OVER (w ROWS UNBOUNDED PRECEDING) AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)),
+p AS (SELECT conv_id, depth, chars, sha256(array_to_string(path, ' ')) AS node FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY ALL),
+up AS (SELECT n.node, q.node AS above, q.depth AS level FROM n JOIN p q ON q.conv_id = n.conv_id AND q.depth <= n.depth),
+kids AS (SELECT above AS node, count(*) AS k FROM up JOIN n USING (node) WHERE level = n.depth - 1 GROUP BY above),
+below AS (SELECT above AS node, sum((n_convs - 1) * chars) AS saved, sum((coalesce(k, 0) = 0)::INT) AS leaves FROM up JOIN n USING (node) LEFT JOIN kids USING (node) GROUP BY above),
+last AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+e AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p JOIN last USING (conv_id, depth) GROUP BY node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN below USING (node) LEFT JOIN kids USING (node) LEFT JOIN e USING (node)
+LEFT JOIN up u ON u.node = n.node AND u.level = n.depth - 1 LEFT JOIN n a ON a.node = u.above"""
