@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversation_trie, decontamination, jaccard_join, license_scan, mixing, one_bit_search, quality, secret_scan, sql, token_records, url_filter
+from . import conversation_trie, decontamination, jaccard_join, license_scan, mixing, one_bit_search, periodic_runs, quality, secret_scan, sql, token_records, url_filter
 from .shared import scratch_path, written
 from .substring_dedup import remove_repeats
 
@@ -75,6 +75,35 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(conversation_trie.borrow_heads(turns, convs, most=5), convs.select("conv"))
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents; a tenth of them, by the hash of the id, repeat some words from one place on to the end.
+
+    With h = crc32 of the id as text and g = h // 10, where h % 10 = 0: from word a = g % n on, word i is word a + (i - a) % p of
+    the text, p = 1 + (n - a) // (3 + g % 8).  A null text counts as empty; a null id has no hash and leaves its text as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("int")
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("__words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+    again = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("__words", F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+    split = docs.select("doc_id", text.alias("text"), F.when(h % 10 == 0, words).alias("__words"))
+    return split.select("doc_id", F.when(n > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_period(table(spark, sf_dir, "documents")), shortest=12)
+    longest = F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.sign(y["length"] - x["length"])).when(x["start"] != y["start"], F.sign(x["start"] - y["start"])).otherwise(F.sign(x["period"] - y["period"])).cast("int"))
+    found = found.withColumn("top", F.get(longest, F.lit(0)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -87,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_conversation_trie": op11_conversation_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
