@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversation_trie, decontamination, jaccard_join, license_scan, mixing, one_bit_search, periodic_runs, quality, secret_scan, sql, token_records, url_filter
+from . import conversation_trie, decontamination, jaccard_join, license_scan, mixing, one_bit_search, periodic_runs, quality, secret_scan, sql, token_records, toxicity, url_filter
 from .shared import scratch_path, written
 from .substring_dedup import remove_repeats
 
@@ -75,6 +75,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(conversation_trie.borrow_heads(turns, convs, most=5), convs.select("conv"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def with_planted_period(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of documents; a tenth of them, by the hash of the id, repeat some words from one place on to the end.
 
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_toxicity": op12_toxicity,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

@@ -51,10 +51,12 @@ class Words:
         self.begin = np.flatnonzero(inside & (~before | breaks[:-1]))
         self.end = np.flatnonzero(inside & (~after | breaks[1:])) + 1
         self.first = np.searchsorted(self.begin, self.offsets)
-        self.hashes = self._hash(data)
+        self.bytes = data
+        self.hashes = self.hashed()
 
-    def _hash(self, data: np.ndarray) -> np.ndarray:
-        n = len(self.begin)
+    def hashed(self) -> np.ndarray:
+        """Hashes of what stands from ``begin`` to ``end``, in small letters if so asked."""
+        data, n = self.bytes, len(self.begin)
         if not n:
             return np.zeros(0, np.uint64)
         size = self.end - self.begin
