@@ -280,13 +280,6 @@ def test_upserts(spark):
     assert rows(store.merge_greatest(old, new, "rid", "n")) == [("1", 1, "first"), ("2", 9, "first"), ("3", 3, "later")]
 
 
-def test_versions(spark, tmp_path):
-    tables = store.Store(spark, f"file://{tmp_path}")
-    for n in range(3):
-        tables.write("t", spark.range(n + 1))
-    assert tables.versions("t") == [2, 3] and tables.read("t").count() == 3
-
-
 def test_percentiles_of_a_crowded_pair(spark):
     """Exact ranks over many distinct values, zero, negative and null keys included."""
     rng = random.Random(4)
@@ -323,6 +316,6 @@ def test_stored_index_gives_the_same_ranking(spark):
     from tidewater.functions import text as TF
 
     sized = docs.where("rid < 'd3'").select("rid", F.size(TF.terms(F.col("text"))).alias("length"))
-    got = retrieval.indexed_search(retrieval.index(docs), sized, asked, 5).collect()
+    got = retrieval.indexed_search(retrieval.postings(docs), sized, asked, 5).collect()
     want = retrieval.lexical_search(docs.where("rid < 'd3'"), asked, 5).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got

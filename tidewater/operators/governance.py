@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewater.functions import text as T
 
@@ -43,6 +44,30 @@ def pii_matches(text: Column, patterns: dict[str, str]) -> Column:
     return F.filter(F.array(*rows), lambda r: r["n"] > 0)
 
 
+def usable_patterns(spark: SparkSession, patterns: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """(patterns that compile, what is wrong with the others): a broken pattern is left out and told, and costs no document."""
+    good, bad = {}, {}
+    for name, pattern in patterns.items():
+        try:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+            good[name] = pattern
+        except IllegalArgumentException as e:
+            bad[name] = str(e)
+    return good, bad
+
+
+def ingest_outcomes(classified: DataFrame, chunks: DataFrame, owner: str = "doc_rid", error: str = "embed_error") -> DataFrame:
+    """(rid, outcome, stage, n_chunks, n_failed) of each of ``classified`` (rid, is_quarantined), from its ``chunks`` (owner, error).
+
+    quarantined: held back; skipped: nothing to index; failed: no chunk came through the stage; else indexed.  Some failed chunks name the
+    stage without failing the document.
+    """
+    own = chunks.groupBy(F.col(owner).alias("__owner")).agg(F.count("*").alias("n_chunks"), F.count(error).alias("n_failed"))
+    rows = classified.select("rid", "is_quarantined").join(own, F.col("rid") == F.col("__owner"), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_chunks", "n_failed")})
+    outcome = F.when(F.col("is_quarantined"), "quarantined").when(F.col("n_chunks") == 0, "skipped").when(F.col("n_failed") == F.col("n_chunks"), "failed").otherwise("indexed")
+    return rows.select("rid", outcome.alias("outcome"), F.when(~F.col("is_quarantined") & (F.col("n_failed") > 0), "embed").alias("stage"), "n_chunks", "n_failed")
+
+
 def _extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewater.functions import text as T
 
 K1, B = 1.2, 0.75
-BUCKETS, MANY = 64, 1000
+MANY = 1000
 
 
 def postings(chunks: DataFrame, key: str = "rid", text: str = "text") -> DataFrame:
@@ -19,31 +19,36 @@ def postings(chunks: DataFrame, key: str = "rid", text: str = "text") -> DataFra
     return rows.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bucket(term: Column) -> Column:
-    """The part of the stored postings that a term is in."""
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def positional(rows: DataFrame, keys: list[str], terms: str = "terms") -> DataFrame:
+    """(keys, term, tf, length, positions) of rows with arrays of terms: the places, from 0, at which each term stands, in order."""
+    each = rows.select(*keys, F.size(terms).cast("long").alias("length"), F.posexplode(terms).alias("place", "term"))
+    found = each.groupBy(*keys, "term", "length").agg(F.sort_array(F.collect_list("place")).alias("positions"))
+    return found.select(*keys, "term", F.size("positions").cast("long").alias("tf"), "length", "positions")
 
 
-def index(chunks: DataFrame, key: str = "rid", text: str = "text") -> DataFrame:
-    """Postings with their bucket, to be stored by it, so that a search reads its terms' buckets alone."""
-    return postings(chunks, key, text).withColumn("bucket", bucket(F.col("term")))
+def of_terms(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """The stored postings of the terms of ``asked``.
 
+    Up to MANY terms go into the scan as values, so that files and pages without them are skipped by their statistics; more are joined.
+    """
+    words = [r["term"] for r in asked.select("term").distinct().limit(MANY + 1).collect()]
+    return stored.where(F.col("term").isin(words)) if len(words) <= MANY else stored.join(asked.select("term").distinct(), "term", "left_semi")
 
-def indexed_search(stored: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 20, key: str = "rid") -> DataFrame:
-    """``lexical_search`` from stored postings (key, term, length, tf, bucket) of the rows in ``lengths`` (key, length), and of no others.
 
-    Query terms are looked up by bucket and term before anything is joined; texts are not read.  The terms go
-    through the driver: they are as many as the queries' words.
-    """
+def in_a_row(hits: DataFrame, asked: DataFrame, key: str = "rid") -> DataFrame:
+    """(query_id, key, n): rows of ``hits`` (key, term, positions) in which the terms of a query of ``asked`` (query_id, place, term) stand one behind the other, n times."""
+    wanted = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    starts = hits.join(asked, "term").select("query_id", key, "place", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
+    # as many arrays for a row as its query has terms
+    rows = starts.groupBy("query_id", key).agg(F.collect_list("starts").alias("all")).join(wanted, "query_id").where(F.size("all") == F.col("n_terms"))
+    common = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda have, more: F.array_intersect(have, more))
+    return rows.select("query_id", key, F.size(common).cast("long").alias("n")).where("n > 0")
+
+
+def indexed_search(stored: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 20, key: str = "rid") -> DataFrame:
+    """``lexical_search`` from stored postings (key, term, length, tf) of the rows in ``lengths`` (key, length), and of no others; texts are not read."""
     asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
-    words = sorted({r["term"] for r in asked.select("term").distinct().collect()})
-    spark = queries.sparkSession
-    if len(words) <= MANY:
-        parts = sorted({r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(bucket(F.col("term"))).collect()}) if words else []
-        hits = stored.where(F.col("bucket").isin(parts) & F.col("term").isin(words))
-    else:
-        hits = stored.join(asked.select(bucket(F.col("term")).alias("bucket"), "term").distinct(), ["bucket", "term"], "left_semi")
-    hits = hits.select(key, "term", "length", "tf").join(lengths.select(key), key, "left_semi")
+    hits = of_terms(stored, asked).select(key, "term", "length", "tf").join(lengths.select(key), key, "left_semi")
     stats = lengths.agg(F.count(key).alias("n_docs"), F.avg("length").alias("mean"))
     return rank_postings(hits, stats, asked, k, key)
 

@@ -7,12 +7,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.functions import access, ids, text as text_functions
+from tidewater.functions import access, ids
 from tidewater.operators import chunking, difference, governance, graph, retrieval, traces
+from tidewater.operators.embedding import Embed, embedded
 from tidewater.plans import schema
-from tidewater.sources import markdown, settings, store
-
-Embed = Callable[[list[str]], list[list[float]]]
+from tidewater.sources import lexicon, markdown, settings, store
 
 
 class Engine:
@@ -20,16 +19,18 @@ class Engine:
 
     ``embed`` turns texts into vectors (for ingest in batches inside tasks, for queries on the driver); without it,
     retrieval is lexical alone.  ``answer_with`` turns a prompt into text; without it, answers quote the evidence.
+    ``tokenizer`` makes the terms of index and queries alike.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, gazetteer: list[dict[str, Any]] | None = None, config: dict[str, Any] | None = None, embed: Embed | None = None, answer_with: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, gazetteer: list[dict[str, Any]] | None = None, config: dict[str, Any] | None = None, embed: Embed | None = None, answer_with: Callable[[str], str] | None = None, tokenizer: lexicon.Tokenizer | None = None, pause: float = 1.0):
         self.spark, self.store, self.settings = spark, store.Store(spark, folder), settings.load(config)
-        self.gazetteer, self.embed, self.answer_with = gazetteer or [], embed, answer_with
+        self.gazetteer, self.embed, self.answer_with, self.pause = gazetteer or [], embed, answer_with, pause
+        self.index = lexicon.LexicalIndex(self.store, tokenizer)
+        self.settings["pii_patterns"], self.broken_patterns = governance.usable_patterns(spark, self.settings["pii_patterns"])
 
-    def table(self, name: str) -> DataFrame:
-        if self.store.versions(name):
-            return self.store.read(name)
-        return self.spark.createDataFrame([], schema.schema(name))
+    def table(self, name: str, tx: store.Transaction | None = None) -> DataFrame:
+        state = tx.state if tx else self.store.head()[1]
+        return self.store.load(state[name]) if name in state else self.spark.createDataFrame([], schema.schema(name))
 
     def _entities(self, tenant: str) -> DataFrame:
         rows = [(g["name"], g["type"], list(g.get("aliases", ())), g.get("description", "")) for g in self.gazetteer]
@@ -37,61 +38,65 @@ class Engine:
         return schema.complete(df.withColumns({"tenant": F.lit(tenant), "rid": ids.entity_rid(F.lit(tenant), F.col("entity_type"), F.col("name"))}), "entities")
 
     def ingest(self, folder: str, tenant: str = "default", force: bool = False, as_of: str = "2024-01-01 00:00:00") -> dict[str, int]:
-        """Collect, classify, gate, chunk, embed and extract; returns the counts.  Unchanged files are left alone."""
-        old = self.table("documents")
+        """Collect, classify, gate, chunk, embed, index and extract, in one commit; returns the counts.  Unchanged files are left alone.
+
+        ``total`` files stood in the folder, and each of them is ``indexed``, ``quarantined``, ``failed`` (none of its chunks got its vector), without
+        anything to index (``empty``) or unchanged (``skipped``).  Failed documents are indexed for lexical search; ``errors`` lists what went wrong, and
+        ``embed_missing`` tries again.  A run that breaks off changes nothing.
+        """
+        tx = self.store.begin()
         found = markdown.collect(self.spark, folder, tenant)
-        files = store.changed(found, old.where(F.col("tenant") == tenant), force)
-        docs = governance.classify(files, self.settings).withColumns({"rid": ids.doc_rid(F.lit(tenant), F.col("source_uri")), "tenant": F.lit(tenant), "title": F.col("path"), "hash": F.col("content_hash"), "updated_at": F.to_timestamp(F.lit(as_of)), "created_at": F.to_timestamp(F.lit(as_of)), "status": F.lit("active")}).cache()
-        counts = docs.agg(F.count("*").alias("indexed"), F.count_if("is_quarantined").alias("quarantined")).first()
-        total = found.count()
-        rows = schema.complete(docs, "documents")
-        self.store.write("documents", store.replace_columns(old, rows, "rid", ["hash", "content_hash", "classification", "is_quarantined", "quality_flags", "updated_at", "doc_type", "language"]))
+        now = F.to_timestamp(F.lit(as_of))
+        files = store.changed(found, self.table("documents", tx).where(F.col("tenant") == tenant), force)
+        columns = {"rid": ids.doc_rid(F.lit(tenant), F.col("source_uri")), "tenant": F.lit(tenant), "title": F.col("path"), "hash": F.col("content_hash"), "updated_at": now, "created_at": now, "status": F.lit("active")}
+        docs = tx.staged(governance.classify(files, self.settings).withColumns(columns))
+        owners = docs.select(F.col("rid").alias("doc_rid"))
+        replaced = ["hash", "content_hash", "classification", "is_quarantined", "quality_flags", "updated_at", "doc_type", "language"]
+        tx.merge("documents", tx.staged(schema.complete(docs, "documents")), "rid", lambda old, new: store.replace_columns(old, new, "rid", replaced))
+
         open_ = docs.where("not is_quarantined")
-        made = chunking.chunks(open_.select("rid", "text", "language"), self.settings).join(open_.select(F.col("rid").alias("doc_rid"), "source_uri", "classification", "tenant"), "doc_rid")
-        chunks = schema.complete(self._embedded(made.withColumn("updated_at", F.to_timestamp(F.lit(as_of)))), "chunks")
-        gone = docs.where("is_quarantined").select(F.col("rid").alias("doc_rid"))
-        current = self.table("chunks")
-        # a document that is quarantined now keeps no active chunks
-        kept = current.join(gone.withColumn("q", F.lit(True)), "doc_rid", "left").withColumn("status", F.when(F.col("q"), "superseded").otherwise(F.col("status"))).select(*current.columns)
-        self.store.write("chunks", store.supersede(kept, chunks, "doc_rid"))
-        self._index(self.table("chunks"), docs.select(F.col("rid").alias("doc_rid")))
-        self.store.write("entities", store.insert_absent(self.table("entities"), self._entities(tenant), ["tenant", "entity_type", "name"]))
-        relations = graph.relations(access.base_filter(self.table("chunks"), tenant, "RESTRICTED"), graph.patterns(self.gazetteer), self.settings)
-        edges, evidence = graph.edges_and_evidence(relations, self.table("entities").where(F.col("tenant") == tenant), tenant)
-        self.store.write("edges", store.merge_greatest(self.table("edges"), schema.complete(edges.withColumn("tenant", F.lit(tenant)), "edges"), "rid", "confidence"))
-        self.store.write("evidence", store.insert_absent(self.table("evidence"), schema.complete(evidence.withColumn("tenant", F.lit(tenant)), "evidence"), ["rid"]))
-        docs.unpersist()
-        return {"total": total, "indexed": counts["indexed"] - counts["quarantined"], "quarantined": counts["quarantined"], "skipped": total - counts["indexed"]}
-
-    def _index(self, chunks: DataFrame, changed: DataFrame) -> None:
-        """Postings of the chunks of changed documents take the places of what was stored for them."""
-        new = chunks.where("status = 'active'").join(changed, "doc_rid", "left_semi")
-        made = retrieval.index(new.select("rid", F.col("search_text").alias("text")))
-        if self.store.versions("postings"):
-            made = self.store.read("postings").join(chunks.join(changed, "doc_rid", "left_semi").select("rid"), "rid", "left_anti").unionByName(made)
-        self.store.write("postings", made, by=["bucket"])
-
-    def _embedded(self, chunks: DataFrame) -> DataFrame:
-        if self.embed is None:
-            return chunks
-        embed, prefix = self.embed, self.settings.get("document_prefix", "")
-
-        def batch(texts: list[str], tries: int = 3) -> list[list[float] | None]:
-            """The texts' vectors; a batch that fails again and again goes one by one, and what fails alone has none."""
-            for _ in range(tries):
-                try:
-                    return embed(texts)
-                except Exception:  # whatever the provider raises
-                    continue
-            return [None] if len(texts) == 1 else [v for t in texts for v in batch([t], 1)]
-
-        def run(batches):
-            for rows in batches:
-                texts = [prefix + t for t in rows["chunk_text"]]
-                yield rows.assign(embedding=[v for at in range(0, len(texts), 10) for v in batch(texts[at : at + 10])])
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
-        return chunks.mapInPandas(run, f"{fields}, embedding array<float>")
+        made = chunking.chunks(open_.select("rid", "text", "language"), self.settings).join(open_.select(F.col("rid").alias("doc_rid"), "source_uri", "classification", "tenant"), "doc_rid").withColumn("updated_at", now)
+        made = embedded(made, "chunk_text", self.embed, self.settings.get("document_prefix", ""), pause=self.pause) if self.embed else made.withColumn("embed_error", F.lit(None).cast("string"))
+        made = tx.staged(made)
+        chunks = tx.staged(schema.complete(made, "chunks"))
+        # all active chunks of a document that comes anew are superseded, also if it has none now
+        tx.merge("chunks", chunks, "doc_rid", lambda old, new: store.supersede(old, new, "doc_rid", owners=owners), touched=owners)
+        self.index.update(tx, chunks.select("rid", "doc_rid", "tenant", "classification", F.col("search_text").alias("text")), owners)
+
+        tx.merge("entities", tx.staged(self._entities(tenant)), "rid", lambda old, new: store.insert_absent(old, new, ["tenant", "entity_type", "name"]))
+        relations = graph.relations(chunks, graph.patterns(self.gazetteer), self.settings)
+        edges, evidence = graph.edges_and_evidence(relations, self.table("entities", tx).where(F.col("tenant") == tenant), tenant)
+        tx.merge("edges", tx.staged(schema.complete(edges.withColumn("tenant", F.lit(tenant)), "edges")), "rid", lambda old, new: store.merge_greatest(old, new, "rid", "confidence"))
+        tx.merge("evidence", tx.staged(schema.complete(evidence.withColumn("tenant", F.lit(tenant)), "evidence")), "rid", lambda old, new: store.insert_absent(old, new, ["rid"]))
+
+        outcomes = tx.staged(governance.ingest_outcomes(docs, made))
+        wrong = made.where("embed_error is not null").select("doc_rid", "rid", F.lit("embed").alias("stage"), F.col("embed_error").alias("error"), F.lit(as_of).alias("at"))
+        tx.merge("ingest_errors", tx.staged(wrong), "doc_rid", lambda old, new: old.join(owners, "doc_rid", "left_anti").select(*new.columns).unionByName(new), touched=owners)
+        counts = outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("indexed", "quarantined", "failed", "skipped")), F.count("*").alias("n")).first()
+        total = found.count()
+        tx.commit()
+        return {"total": total, "indexed": counts["indexed"], "quarantined": counts["quarantined"], "failed": counts["failed"], "empty": counts["skipped"], "skipped": total - counts["n"]}
+
+    def errors(self) -> DataFrame:
+        """(doc_rid, rid, stage, error, at): what went wrong with the chunks of each document when it was last ingested."""
+        state = self.store.head()[1]
+        return self.store.load(state["ingest_errors"]) if "ingest_errors" in state else self.spark.createDataFrame([], "doc_rid string, rid string, stage string, error string, at string")
+
+    def embed_missing(self) -> int:
+        """Ask the provider again for active chunks without a vector, as after a run that it failed; returns how many have one now."""
+        tx = self.store.begin()
+        missing = self.table("chunks", tx).where("status = 'active' and embedding is null")
+        if self.embed is None or missing.isEmpty():
+            return 0
+        made = tx.staged(embedded(missing, "chunk_text", self.embed, self.settings.get("document_prefix", ""), pause=self.pause).where("embedding is not null"))
+        new = made.select(*schema.schema("chunks").names)
+        tx.merge("chunks", new, "doc_rid", lambda old, new: store.replace_columns(old, new, "rid", ["embedding"]))
+        if tx.has("ingest_errors"):
+            done = made.select("doc_rid", "rid")
+            tx.merge("ingest_errors", tx.read("ingest_errors").limit(0), "doc_rid", lambda old, _: old.join(done, ["doc_rid", "rid"], "left_anti").select(*old.columns), touched=done.select("doc_rid"))
+        n = made.count()
+        tx.commit()
+        return n
 
     def visible_chunks(self, tenant: str = "default", clearance: str = "INTERNAL") -> DataFrame:
         docs = self.table("documents").select(F.col("rid").alias("d"), "title")
@@ -103,19 +108,23 @@ class Engine:
         row = self.spark.range(1).select(retrieval.route(F.lit(query), F.size(graph.entities_in(F.lit(query), graph.patterns(self.gazetteer))), F.lit(asked), self.settings).alias("r"))
         return row.first()["r"]
 
-    def search(self, query: str, tenant: str = "default", clearance: str = "INTERNAL", top_k: int = 10) -> DataFrame:
-        """Hits in rank order; the access filter stands below both rankings."""
+    def search(self, query: str, tenant: str = "default", clearance: str = "INTERNAL", top_k: int = 10, route: str = "auto") -> DataFrame:
+        """Hits in rank order; the access filter stands below both rankings.  The route ``vector_only`` leaves the lexical ranking out.
+
+        Texts are read for the hits alone: terms, lengths and statistics are stored by ingest.
+        """
         if not query.strip():
             raise ValueError("the query is blank")
         chunks = self.visible_chunks(tenant, clearance)
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
-        if self.store.versions("postings"):
-            sized = chunks.select("rid", F.size(text_functions.terms(F.col("search_text"))).alias("length"))
-            lexical = retrieval.indexed_search(self.store.read("postings"), sized, asked, self.settings["top_k"]).drop("query_id")
-        else:
-            lexical = retrieval.lexical_search(chunks.select("rid", F.col("search_text").alias("text")), asked, self.settings["top_k"]).drop("query_id")
+        lexical = self.index.search(asked, tenant, clearance, self.settings["top_k"]).drop("query_id")
+        if self.route(query, route) == "vector_only":
+            if self.embed is None:
+                raise ValueError("vector_only needs embed")
+            lexical = lexical.limit(0)
         vector = lexical.limit(0) if self.embed is None else retrieval.vector_search(chunks, self.embed([self.settings.get("query_prefix", "") + query])[0], self.settings["top_k"])
-        return retrieval.enrich(retrieval.fuse(lexical, vector, top_k, self.settings["rrf_k"]), chunks)
+        best = retrieval.fuse(lexical, vector, top_k, self.settings["rrf_k"])
+        return retrieval.enrich(F.broadcast(best), chunks)  # top_k rows
 
     def answer(self, query: str, **how: Any) -> dict[str, Any]:
         """Answer, evidence and provenance; without hits a fixed text, without a model or if it fails the evidence itself."""
@@ -201,11 +210,14 @@ class Engine:
         edges = traces.observed_edges(traces.aggregate_pairs(pairs), F.to_timestamp(F.lit(as_of)), tenant, self.settings["window_minutes"]).cache()
         ends = edges.select(F.col("from_service").alias("name")).union(edges.select("to_service")).distinct().withColumns({"entity_type": F.lit("Service"), "tenant": F.lit(tenant)})
         new = schema.complete(ends.withColumn("rid", ids.entity_rid(F.lit(tenant), F.lit("Service"), F.col("name"))), "entities")
-        self.store.write("entities", store.insert_absent(self.table("entities"), new, ["tenant", "entity_type", "name"]))
+        tx = self.store.begin()
+        tx.merge("entities", tx.staged(new), "rid", lambda old, new: store.insert_absent(old, new, ["tenant", "entity_type", "name"]))
         replaced = ["call_count", "error_rate", "latency_p50", "latency_p95", "latency_p99", "sample_trace_ids", "trace_query_ref", "window_start", "window_end", "last_seen_at"]
-        self.store.write("observed_edges", store.replace_columns(self.table("observed_edges"), schema.complete(edges, "observed_edges"), "rid", replaced))
+        tx.merge("observed_edges", tx.staged(schema.complete(edges, "observed_edges")), "rid", lambda old, new: store.replace_columns(old, new, "rid", replaced))
         proof = traces.evidence(edges, as_of, tenant)
-        self.store.write("evidence", store.insert_absent(self.table("evidence"), schema.complete(proof, "evidence"), ["rid"]))
+        # evidence that is there already is only marked as seen again
+        tx.merge("evidence", tx.staged(schema.complete(proof, "evidence").withColumn("updated_at", F.to_timestamp(F.lit(as_of)))), "rid", lambda old, new: store.replace_columns(old, new, "rid", ["updated_at"]))
+        tx.commit()
         n = edges.count()
         edges.unpersist()
         return n
@@ -222,8 +234,10 @@ class Engine:
         found = self.diff().cache()
         edges = difference.tag(self.table("edges"), found.where("diff_type = 'doc_only'").select(F.col("edge_rid").alias("rid")), "doc_only")
         seen = difference.tag(self.table("observed_edges"), found.where("diff_type = 'observed_only'").select(F.col("obs_rid").alias("rid")), "observed_only")
-        self.store.write("edges", edges.select(*schema.schema("edges").names))
-        self.store.write("observed_edges", seen.select(*schema.schema("observed_edges").names))
+        tx = self.store.begin()
+        tx.replace("edges", edges.select(*schema.schema("edges").names), "rid")
+        tx.replace("observed_edges", seen.select(*schema.schema("observed_edges").names), "rid")
+        tx.commit()
         found.unpersist()
 
     def suggest(self, query: str, limit: int = 10, tenant: str = "default") -> DataFrame:

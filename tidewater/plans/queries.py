@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewater.functions import access, ids, text as T
-from tidewater.operators import chunking, difference, governance, graph, retrieval, traces
-from tidewater.sources import lens, settings, store
+from tidewater.operators import chunking, difference, embedding, governance, graph, retrieval, traces
+from tidewater.sources import lens, lexicon, scratch, settings, store
 
 SETTINGS = settings.load(lens.RULES)
 QUERY = "the and"
@@ -139,6 +139,45 @@ def lexical_scan(s: Spark, d: str) -> DataFrame:
     return retrieval.lexical_search(lens.files(s, d).select("doc_id", "text"), lens.query_texts(s, d), 5, key="doc_id")
 
 
+def indexed_after_change(s: Spark, d: str) -> DataFrame:
+    """A stored index made of all documents, then updated: a tenth of them has a new text, a tenth goes; searched after both commits."""
+    index = lexicon.LexicalIndex(store.Store(s, scratch.new_path(s, "lexicon")))
+    docs = lens.documents(s, d).select("doc_id", "rid", F.col("rid").alias("doc_rid"), "tenant", "classification", "is_quarantined", "text")
+    tx = index.store.begin()
+    index.update(tx, docs.where("not is_quarantined"), docs.select("doc_rid"))
+    tx.commit()
+    changed = docs.where("not is_quarantined and doc_id % 10 = 3").withColumn("text", F.concat("text", F.lit(" the and")))
+    tx = index.store.begin()
+    index.update(tx, changed, docs.where("doc_id % 10 in (3, 7)").select("doc_rid"))
+    tx.commit()
+    asked = s.createDataFrame([(0, QUERY)], "query_id long, query string")
+    return index.search(asked, lens.TENANT, "INTERNAL", 20).select("rid", "score", "rank")
+
+
+def phrase_search(s: Spark, d: str) -> DataFrame:
+    """The first two terms of each benchmark item as a phrase, by the places in the postings."""
+    first = F.slice(T.terms(F.col("text")), 1, 2)
+    asked = lens.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(first).alias("place", "term"))
+    stored = retrieval.positional(lens.files(s, d).select("doc_id", T.terms(F.col("text")).alias("terms")), ["doc_id"])
+    return retrieval.in_a_row(retrieval.of_terms(stored, asked), asked, key="doc_id")
+
+
+def ingest_outcomes(s: Spark, d: str) -> DataFrame:
+    """What becomes of each document where one PII pattern is broken and the provider of vectors refuses some texts."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        if any(len(t) % 7 == 0 for t in texts):
+            raise ValueError("refused")
+        return [[float(len(t))] for t in texts]
+
+    patterns, _ = governance.usable_patterns(s, SETTINGS["pii_patterns"] | {"broken": "(["})
+    docs = governance.classify(lens.files(s, d), SETTINGS | {"pii_patterns": patterns})
+    parts = F.when(F.col("text") != "", F.array("text", "path")).otherwise(F.array().cast("array<string>"))
+    chunks = docs.where("not is_quarantined").select(F.col("rid").alias("doc_rid"), F.explode(parts).alias("chunk_text"))
+    made = embedding.embedded(chunks, "chunk_text", embed, tries=1).select("doc_rid", "embed_error")
+    return governance.ingest_outcomes(docs, made)
+
+
 def route_queries(s: Spark, d: str) -> DataFrame:
     known = graph.patterns(GAZETTEER)
     rows = lens.table(s, d, "benchmark").withColumn("query", F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("topology of "), "text")).when(F.col("item_id") % 4 == 1, F.concat(F.lit("DIFF "), "text")).otherwise(F.col("text")))
@@ -358,7 +397,7 @@ def turn_order(s: Spark, d: str) -> DataFrame:
 
 
 ALL = [
-    rid_documents, canonical_names, content_hash_changed, base_filter_docs, pii_scan, classify_docs, quarantine_split, language_ratio, token_estimate, section_split, paragraph_split, chunk_pack, search_text, mention_free, postings_build, lexical_topk, vector_topk, rrf_fusion, hybrid_search,
+    rid_documents, canonical_names, content_hash_changed, base_filter_docs, pii_scan, classify_docs, quarantine_split, language_ratio, token_estimate, section_split, paragraph_split, chunk_pack, search_text, mention_free, postings_build, indexed_after_change, phrase_search, ingest_outcomes, lexical_topk, vector_topk, rrf_fusion, hybrid_search,
     batch_lexical, lexical_scan, route_queries, entity_match, relation_extract, relation_evidence, edge_upsert_max, entity_insert_absent, observed_replace, chunk_supersede, evidence_link, resolve_names, designed_edges, observed_edges, edge_diff, diff_summary, diff_detail, trace_evidence, diff_evidence, graph_evidence, diff_filtered, tag_flags,
     neighbors_1hop, neighbors_2hop, find_path, span_pairs, recent_traces, observed_windows, pair_aggregate, pair_percentiles, suggest_entities, documents_page, status_counts, evidence_packet, prompt_text, stream_span_windows, crm_validation, turn_order,
 ]

@@ -219,6 +219,9 @@ shown AS (SELECT rid AS evidence_rid, {SNIPPET.format(200)} AS snippet, 'root' A
         "mention_free": "SELECT conv_id, turn, sha256(trim(regexp_replace('<@U' || conv_id || '> ' || text || ' <@BOT> <@low>', '<@[A-Z0-9]+>', '', 'g'))) AS text_hash FROM conversations",
         "search_text": f"WITH {TURNS} SELECT rid, section::BIGINT AS section, sha256(coalesce(nullif(CASE WHEN section % 3 = 0 THEN '' WHEN section % 3 = 1 THEN 'about ' || rid END, ''), '[' || section_path || ']') || ' ' || section_text) AS text_hash FROM sections",
         "postings_build": f"WITH {DOCS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM files) GROUP BY term",
+        "indexed_after_change": f"WITH {DOCS}{PII}, later AS (SELECT rid, CASE WHEN doc_id % 10 = 3 THEN text || ' the and' ELSE text END AS text FROM visible WHERE doc_id % 10 <> 7), {lexical('later', 'rid', ONE_QUERY, 20)} SELECT rid, score, rank FROM lexical",
+        "phrase_search": f"WITH {DOCS}, q AS (SELECT item_id AS query_id, {TERMS.format('text')} AS w FROM benchmark), t AS (SELECT doc_id, {TERMS.format('text')} AS w FROM files), each_term AS (SELECT doc_id, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b FROM t) SELECT query_id, doc_id, count(*) AS n FROM q JOIN each_term ON a = w[1] AND (len(w) = 1 OR b = w[2]) GROUP BY ALL",
+        "ingest_outcomes": f"WITH {DOCS}{PII}, o AS (SELECT *, text <> '' AND NOT is_quarantined AS open, (length(text) % 7 = 0)::INT + (length(path) % 7 = 0)::INT AS bad FROM docs) SELECT rid, CASE WHEN is_quarantined THEN 'quarantined' WHEN NOT open THEN 'skipped' WHEN bad = 2 THEN 'failed' ELSE 'indexed' END AS outcome, CASE WHEN open AND bad > 0 THEN 'embed' END AS stage, CASE WHEN open THEN 2 ELSE 0 END::BIGINT AS n_chunks, CASE WHEN open THEN bad ELSE 0 END::BIGINT AS n_failed FROM o",
         "lexical_topk": f"{lex} SELECT rid, score, rank FROM lexical",
         "vector_topk": f"WITH {DOCS}{PII}{VECTOR} SELECT rid, score, rank FROM vector",
         "rrf_fusion": f"{fused(10)} SELECT rid, lexical_rank, vector_rank, score, rank FROM fused",

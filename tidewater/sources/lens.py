@@ -38,12 +38,13 @@ def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classified documents without their texts, and their number of terms, classified once."""
     from tidewater.functions.text import terms
 
-    return scratch.stored(spark, f"{sf_dir}/documents", lambda: documents(spark, sf_dir).withColumn("length", F.size(terms(F.col("text")))).drop("text", "frontmatter"))
+    return scratch.stored(spark, "documents", f"{sf_dir}/documents.parquet", lambda: documents(spark, sf_dir).withColumn("length", F.size(terms(F.col("text")))).drop("text", "frontmatter"))
 
 
 def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of all documents, tokenised once and stored by bucket; ``rid`` and ``doc_id`` name the document."""
-    return scratch.stored(spark, f"{sf_dir}/postings", lambda: retrieval.index(files(spark, sf_dir).select(F.struct("rid", "doc_id").alias("key"), "text"), "key").select("key.rid", "key.doc_id", "term", "tf", "length", "bucket"), ["bucket"])
+    """Postings of all documents, tokenised once and stored in the order of the terms; ``rid`` and ``doc_id`` name the document."""
+    make = lambda: retrieval.postings(files(spark, sf_dir).select(F.struct("rid", "doc_id").alias("key"), "text"), "key").select("key.rid", "key.doc_id", "term", "tf", "length")
+    return scratch.stored(spark, "postings", f"{sf_dir}/documents.parquet", make, ["term"])
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-_MADE: dict[tuple[str, str], str] = {}
+_MADE: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 _LOCAL: dict[str, str] = {}
 
 
@@ -29,14 +31,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[key]
 
 
-def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame], by: list[str] | None = None) -> DataFrame:
-    """The table of that name, made at the first call and read by all others."""
-    key = (spark.sparkContext.applicationId, name)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the JVM deletes it when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what is read more than once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A hash of the files below a path: names, sizes and times of change."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, seen = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True), []
+    while files.hasNext():
+        x = files.next()
+        seen.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], order: list[str] | None = None) -> DataFrame:
+    """The table of that name over the files of ``source``, made at the first call and read by all others until the files change.
+
+    With ``order`` its rows are ordered over its files, so that a reader skips files by their statistics.
+    """
+    key = (spark.sparkContext.applicationId, name, fingerprint(spark, source))
     if key not in _MADE:
-        path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex[:12]}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+        path = new_path(spark, "stored")
         rows = make()
-        (rows.repartition(*by).write.partitionBy(*by) if by else rows.write).parquet(path)
-        _MADE[key] = path
-    return spark.read.parquet(_MADE[key])
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+        rows.write.parquet(path)
+        _MADE[key] = (path, rows.schema)
+    path, schema = _MADE[key]
+    return spark.read.schema(schema).parquet(path)

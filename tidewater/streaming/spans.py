@@ -38,16 +38,19 @@ def run_to_table(stream: DataFrame, checkpoint: str, name: str, mode: str = "com
 
 
 def latest_window(target: store.Store, name: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: of each pair, the row of the latest window replaces what the table has."""
+    """A foreachBatch sink: of each pair, the row of the latest window replaces what the table has; a batch that comes again changes nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         newest = batch.groupBy("from_service", "to_service").agg(F.max("window_start").alias("window_start"))
-        rows = batch.join(newest, ["from_service", "to_service", "window_start"]).withColumn("key", F.concat_ws("->", "from_service", "to_service"))
-        if target.versions(name):
-            old = target.read(name)
+        tx = target.begin()
+        rows = tx.staged(batch.join(newest, ["from_service", "to_service", "window_start"]).withColumn("key", F.concat_ws("->", "from_service", "to_service")))
+
+        def rule(old: DataFrame, new: DataFrame) -> DataFrame:
             later = old.select(F.col("key").alias("k"), F.col("window_start").alias("w"))
-            rows = rows.join(later, F.col("key") == F.col("k"), "left").where("w is null or w <= window_start").drop("k", "w")
-            rows = store.replace_columns(old, rows.select(*old.columns), "key", [c for c in old.columns if c != "key"])
-        target.write(name, rows)
+            fresh = new.join(later, F.col("key") == F.col("k"), "left").where("w is null or w <= window_start").drop("k", "w")
+            return store.replace_columns(old, fresh.select(*old.columns), "key", [c for c in old.columns if c != "key"])
+
+        tx.merge(name, rows, "key", rule)
+        tx.commit()
 
     return write
