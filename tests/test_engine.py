@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_operators import GAZETTEER, trace
 from tidewater.plans import schema
 from tidewater.plans.engine import Engine
-from tidewater.sources import lens, lexicon, markdown, store
+from tidewater.sources import lens, lexicon, markdown, store, vectors
 from tidewater.streaming import spans
 
 
@@ -278,3 +278,41 @@ def test_missing_vectors_are_made_later(spark, engine, tmp_path):
     assert made.embed_missing() == 2 and made.errors().count() == 0 and made.embed_missing() == 0
     assert made.table("chunks").where("embedding is null").count() == 0
     assert made.search("anything", clearance="RESTRICTED", route="vector_only").count() == 2
+
+
+def test_vector_lists(spark, sf_dir, tmp_path):
+    """Recall of the default probes over the sample vectors, exactness of a full probe, and updates."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("rid"), "embedding", "vec_id")
+    odd = spark.createDataFrame([("none", None, -1), ("zero", [0.0] * 64, -2), ("nan", [float("nan")] * 64, -3)], rows.schema)
+    rows = rows.unionByName(odd).cache()
+    tables = store.Store(spark, f"file://{tmp_path}")
+    index = vectors.VectorIndex(tables)
+    assert index.search(rows.select(F.col("vec_id").alias("query_id"), "embedding")).count() == 0
+    tx = tables.begin()
+    tx.replace("lengths", rows.select("rid", F.lit("default").alias("tenant"), F.lit("PUBLIC").alias("classification"), F.lit(1).cast("long").alias("generation")), "rid")
+    lists = index.build(tx, rows.select("rid", "embedding"), 32)
+    tx.commit()
+    asked = rows.where("vec_id % 10 = 0 or vec_id < 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = lambda probes: {(r["query_id"], r["rid"]) for r in index.search(asked, k=10, probes=probes).collect()}
+    exact = found(lists)
+    assert {q for q, _ in exact} == {r["vec_id"] for r in rows.where("vec_id % 10 = 0 and vec_id >= 0").collect()} and not {"none", "zero", "nan"} & {r for _, r in exact}
+    assert len(found(None) & exact) >= 0.9 * len(exact) and tables.head()[1]["centroids"]["probes"] < lists
+    tx = tables.begin()  # one vector is gone, one comes anew at the place of another
+    target = rows.where("vec_id = 0").first()["embedding"]
+    rule = lambda old, new: old.where("rid not in ('0', 'new')").unionByName(new)
+    tx.merge("lengths", tx.staged(spark.createDataFrame([("new", "default", "PUBLIC", 2)], tx.read("lengths").schema)), "rid", rule, touched=spark.createDataFrame([("0",)], "rid string"))
+    index.update(tx, spark.createDataFrame([("new", 2, target)], "rid string, generation long, embedding array<float>"))
+    tx.commit()
+    after = index.search(asked.where("query_id = 0"), k=5, probes=lists).collect()
+    assert min(after, key=lambda r: r["rank"])["rid"] == "new" and "0" not in {r["rid"] for r in after}
+
+
+def test_search_probes_the_vector_lists(spark, engine, tmp_path):
+    embed = lambda texts: [[float("fox" in t), float("calls" in t), 1.0] for t in texts]
+    made = Engine(spark, f"file://{tmp_path}", GAZETTEER, embed=embed)
+    made.ingest(f"file:{engine.folder}")
+    before = sorted((h["rid"], h["vector_rank"]) for h in made.search("fox", clearance="RESTRICTED").collect())
+    assert made.index_vectors(2) == 2
+    assert sorted((h["rid"], h["vector_rank"]) for h in made.search("fox", clearance="RESTRICTED").collect()) == before
+    assert made.ingest(f"file:{engine.folder}", force=True)["indexed"] == 2
+    assert sorted((h["rid"], h["vector_rank"]) for h in made.search("fox", clearance="RESTRICTED").collect()) == before

@@ -11,7 +11,7 @@ from tidewater.functions import access, ids
 from tidewater.operators import chunking, difference, governance, graph, retrieval, traces
 from tidewater.operators.embedding import Embed, embedded
 from tidewater.plans import schema
-from tidewater.sources import lexicon, markdown, settings, store
+from tidewater.sources import lexicon, markdown, settings, store, vectors
 
 
 class Engine:
@@ -25,7 +25,7 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, gazetteer: list[dict[str, Any]] | None = None, config: dict[str, Any] | None = None, embed: Embed | None = None, answer_with: Callable[[str], str] | None = None, tokenizer: lexicon.Tokenizer | None = None, pause: float = 1.0):
         self.spark, self.store, self.settings = spark, store.Store(spark, folder), settings.load(config)
         self.gazetteer, self.embed, self.answer_with, self.pause = gazetteer or [], embed, answer_with, pause
-        self.index = lexicon.LexicalIndex(self.store, tokenizer)
+        self.index, self.vectors = lexicon.LexicalIndex(self.store, tokenizer), vectors.VectorIndex(self.store)
         self.settings["pii_patterns"], self.broken_patterns = governance.usable_patterns(spark, self.settings["pii_patterns"])
 
     def table(self, name: str, tx: store.Transaction | None = None) -> DataFrame:
@@ -62,6 +62,7 @@ class Engine:
         # all active chunks of a document that comes anew are superseded, also if it has none now
         tx.merge("chunks", chunks, "doc_rid", lambda old, new: store.supersede(old, new, "doc_rid", owners=owners), touched=owners)
         self.index.update(tx, chunks.select("rid", "doc_rid", "tenant", "classification", F.col("search_text").alias("text")), owners)
+        self.vectors.update(tx, chunks.select("rid", F.lit(tx.number).cast("long").alias("generation"), "embedding"))
 
         tx.merge("entities", tx.staged(self._entities(tenant)), "rid", lambda old, new: store.insert_absent(old, new, ["tenant", "entity_type", "name"]))
         relations = graph.relations(chunks, graph.patterns(self.gazetteer), self.settings)
@@ -94,10 +95,21 @@ class Engine:
         if tx.has("ingest_errors"):
             done = made.select("doc_rid", "rid")
             tx.merge("ingest_errors", tx.read("ingest_errors").limit(0), "doc_rid", lambda old, _: old.join(done, ["doc_rid", "rid"], "left_anti").select(*old.columns), touched=done.select("doc_rid"))
+        if tx.has("lengths"):
+            self.vectors.update(tx, made.join(tx.read("lengths").select("rid", "generation"), "rid"))
         n = made.count()
         tx.commit()
         return n
 
+    def index_vectors(self, n_lists: int | None = None) -> int:
+        """Put the vectors of all active chunks in inverted lists, which ingest then keeps up and ``search`` probes; returns the number of lists."""
+        tx = self.store.begin()
+        if not tx.has("lengths"):
+            return 0
+        n = self.vectors.build(tx, tx.staged(self.table("chunks", tx).where("status = 'active' and embedding is not null").select("rid", "embedding")), n_lists)
+        tx.commit()
+        return n
+
     def visible_chunks(self, tenant: str = "default", clearance: str = "INTERNAL") -> DataFrame:
         docs = self.table("documents").select(F.col("rid").alias("d"), "title")
         rows = access.base_filter(self.table("chunks"), tenant, clearance)
@@ -122,7 +134,14 @@ class Engine:
             if self.embed is None:
                 raise ValueError("vector_only needs embed")
             lexical = lexical.limit(0)
-        vector = lexical.limit(0) if self.embed is None else retrieval.vector_search(chunks, self.embed([self.settings.get("query_prefix", "") + query])[0], self.settings["top_k"])
+        vector = lexical.limit(0)
+        if self.embed is not None:
+            target = list(map(float, self.embed([self.settings.get("query_prefix", "") + query])[0]))
+            if self.store.has("vectors"):
+                one = self.spark.createDataFrame([(0, target)], "query_id long, embedding array<float>")
+                vector = self.vectors.search(one, tenant, clearance, self.settings["top_k"]).drop("query_id")
+            else:
+                vector = retrieval.vector_search(chunks, target, self.settings["top_k"])
         best = retrieval.fuse(lexical, vector, top_k, self.settings["rrf_k"])
         return retrieval.enrich(F.broadcast(best), chunks)  # top_k rows
 

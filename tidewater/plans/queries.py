@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewater.functions import access, ids, text as T
 from tidewater.operators import chunking, difference, embedding, governance, graph, retrieval, traces
-from tidewater.sources import lens, lexicon, scratch, settings, store
+from tidewater.sources import lens, lexicon, scratch, settings, store, vectors
 
 SETTINGS = settings.load(lens.RULES)
 QUERY = "the and"
@@ -121,6 +121,19 @@ def vector_topk(s: Spark, d: str) -> DataFrame:
     return _vector(s, d)
 
 
+def vector_index_topk(s: Spark, d: str) -> DataFrame:
+    """Inverted lists over all vectors, every list probed: the ten nearest of each vector whose id can be divided by 50, exact."""
+    tables = store.Store(s, scratch.new_path(s, "vectors"))
+    rows = scratch.written(lens.table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("rid"), "embedding", "vec_id"), "vector-rows")
+    tx = tables.begin()
+    tx.replace("lengths", rows.select("rid", F.lit(lens.TENANT).alias("tenant"), F.lit("PUBLIC").alias("classification"), F.lit(1).cast("long").alias("generation")), "rid")
+    index = vectors.VectorIndex(tables)
+    lists = index.build(tx, rows.select("rid", "embedding"))
+    tx.commit()
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.search(asked, lens.TENANT, "PUBLIC", 10, probes=lists)
+
+
 def rrf_fusion(s: Spark, d: str) -> DataFrame:
     return retrieval.fuse(_lexical(s, d), _vector(s, d), 10)
 
@@ -397,7 +410,7 @@ def turn_order(s: Spark, d: str) -> DataFrame:
 
 
 ALL = [
-    rid_documents, canonical_names, content_hash_changed, base_filter_docs, pii_scan, classify_docs, quarantine_split, language_ratio, token_estimate, section_split, paragraph_split, chunk_pack, search_text, mention_free, postings_build, indexed_after_change, phrase_search, ingest_outcomes, lexical_topk, vector_topk, rrf_fusion, hybrid_search,
+    rid_documents, canonical_names, content_hash_changed, base_filter_docs, pii_scan, classify_docs, quarantine_split, language_ratio, token_estimate, section_split, paragraph_split, chunk_pack, search_text, mention_free, postings_build, indexed_after_change, phrase_search, ingest_outcomes, lexical_topk, vector_topk, vector_index_topk, rrf_fusion, hybrid_search,
     batch_lexical, lexical_scan, route_queries, entity_match, relation_extract, relation_evidence, edge_upsert_max, entity_insert_absent, observed_replace, chunk_supersede, evidence_link, resolve_names, designed_edges, observed_edges, edge_diff, diff_summary, diff_detail, trace_evidence, diff_evidence, graph_evidence, diff_filtered, tag_flags,
     neighbors_1hop, neighbors_2hop, find_path, span_pairs, recent_traces, observed_windows, pair_aggregate, pair_percentiles, suggest_entities, documents_page, status_counts, evidence_packet, prompt_text, stream_span_windows, crm_validation, turn_order,
 ]
