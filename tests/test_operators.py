@@ -319,3 +319,27 @@ def test_stored_index_gives_the_same_ranking(spark):
     got = retrieval.indexed_search(retrieval.postings(docs), sized, asked, 5).collect()
     want = retrieval.lexical_search(docs.where("rid < 'd3'"), asked, 5).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+def test_large_dictionaries_match_like_small_ones(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcé ", k=rng.randint(1, 4))).strip() or "a" for _ in range(60)]
+    known = graph.patterns([{"name": f"n{i % 40}", "type": "T", "aliases": [w]} for i, w in enumerate(words)])
+    rows = spark.createDataFrame([("".join(rng.choices("ABCabcé ", k=rng.randint(0, 30))),) for _ in range(200)] + [(None,)], "text string")
+    many = graph.with_entities(rows, "text", known).collect()
+    few = rows.withColumn("entities", F.coalesce(graph.entities_in(F.col("text"), known), F.array().cast(graph.ENTITIES))).collect()
+    assert len(known) > graph.UNROLLED and sorted(map(str, many)) == sorted(map(str, few))
+    with pytest.raises(ValueError):
+        graph.with_entities(rows, "text", [("x" * (1 << 20), "n", "T")] * 300)
+
+
+def test_percentiles_go_down_to_single_values(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", None]), rng.choice([100 + rng.random(), rng.random() * 1000, 5.0, 0.0])) for _ in range(800)]
+    counts = spark.createDataFrame(rows, "k string, v double").groupBy("k", "v").agg(F.count("*").alias("n")).cache()
+    want = {}
+    for k in ("a", None):
+        own = sorted(v for x, v in rows if x == k)
+        want[k] = tuple(own[min(int(len(own) * q), len(own) - 1)] for q in (0.5, 0.95, 0.99))
+    for most in (65536, 1):
+        assert {r["k"]: tuple(r)[1:] for r in traces.of_counts(counts, ["k"], "v", most=most).collect()} == want

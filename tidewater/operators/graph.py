@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewater.functions.ids import canonical_name, edge_rid, evidence_rid
 
 SENTENCE_END = r"[.!?。]\s*|\n"
+ENTITIES = "array<struct<name:string,type:string,position:int,place:int>>"
+UNROLLED = 32  # patterns that are written into the plan
+MOST_BYTES = 256 << 20
 
 
 def patterns(gazetteer: list[dict[str, Any]]) -> list[tuple[str, str, str]]:
@@ -22,15 +28,74 @@ def patterns(gazetteer: list[dict[str, Any]]) -> list[tuple[str, str, str]]:
 def entities_in(text: Column, known: list[tuple[str, str, str]]) -> Column:
     """(name, type, position, place): entities of the dictionary in the text, each once, in the order of their patterns.
 
-    The dictionary is part of the plan.  A longer name does not hide a shorter one inside it.
+    The dictionary is part of the plan; ``with_entities`` takes large ones.  A longer name does not hide a shorter one inside it.
     """
     low = F.lower(text)
     found = [F.when(F.locate(w.lower(), low) > 0, F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), (F.locate(w.lower(), low) - 1).alias("position"), F.lit(i).alias("place"))) for i, (w, name, kind) in enumerate(known)]
-    out = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<name:string,type:string,position:int,place:int>>")
+    out = F.array_compact(F.array(*found)) if found else F.array().cast(ENTITIES)
     names = F.transform(out, lambda e: e["name"])
     return F.filter(out, lambda e, i: F.array_position(names, e["name"]) == i + 1)
 
 
+_AUTOMATA: dict[str, Any] = {}
+
+
+def _automaton(key: str, held: Any) -> Any:
+    """One automaton for a worker process: pattern to its places in the order of the dictionary."""
+    import ahocorasick
+
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        words: dict[str, list[int]] = {}
+        for i, (w, _, _) in enumerate(held.value):
+            words.setdefault(w.lower(), []).append(i)
+        made = ahocorasick.Automaton()
+        for w, places in words.items():
+            if w:
+                made.add_word(w, (len(w), places))
+        made.make_automaton()
+        _AUTOMATA[key] = made
+    return _AUTOMATA[key]
+
+
+def with_entities(rows: DataFrame, text: str, known: list[tuple[str, str, str]], name: str = "entities") -> DataFrame:
+    """``rows`` with ``entities_in`` of a column: as an expression for few patterns, else by an automaton that each worker builds once.
+
+    The automaton takes a text in one pass, however many patterns there are; the patterns, MOST_BYTES at most, are broadcast.  A null text has no entities.
+    """
+    if len(known) <= UNROLLED:
+        return rows.withColumn(name, F.coalesce(entities_in(F.col(text), known), F.array().cast(ENTITIES)))
+    size = sum(len(w.encode()) + len(n.encode()) for w, n, _ in known)
+    if size > MOST_BYTES:
+        raise ValueError(f"the dictionary has {size} bytes, more than {MOST_BYTES}")
+    held, key = rows.sparkSession.sparkContext.broadcast(known), uuid.uuid4().hex
+
+    def found(value: str | None, automaton: Any) -> list[dict[str, Any]]:
+        first: dict[int, int] = {}
+        if value and len(automaton):
+            for end, (n, places) in automaton.iter(value.lower()):
+                for i in places:
+                    first.setdefault(i, end - n + 1)
+        out, names = [], set()
+        for i in sorted(first):
+            _, entity, kind = held.value[i]
+            if entity not in names:
+                names.add(entity)
+                out.append({"name": entity, "type": kind, "position": first[i], "place": i})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string()), ("position", pa.int32()), ("place", pa.int32())]))
+        automaton = _automaton(key, held)
+        for batch in batches:
+            entities = pa.array([found(x.as_py(), automaton) for x in batch.column(text)], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, entities], [*batch.schema.names, name])
+
+    rows = rows.drop(name)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, `{name}` {ENTITIES}")
+
+
 def relations(chunks: DataFrame, known: list[tuple[str, str, str]], settings: dict[str, Any], key: str = "rid", text: str = "chunk_text") -> DataFrame:
     """(key, edge_type, from_name, to_name, trigger, confidence): relations stated in each row.
 
@@ -40,7 +105,7 @@ def relations(chunks: DataFrame, known: list[tuple[str, str, str]], settings: di
     """
     sentences = F.split(F.col(text), SENTENCE_END)
     rows = chunks.select(key, F.posexplode(F.transform(sentences, lambda s, i: F.array_join(F.slice(sentences, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " "))).alias("w", "window"))
-    rows = rows.withColumn("entities", entities_in(F.col("window"), known)).where(F.size("entities") >= 2)
+    rows = with_entities(rows, "window", known).where(F.size("entities") >= 2)
     triggers = [(kind, word, n) for n, (kind, word) in enumerate((kind, word) for kind, words in settings["triggers"].items() for word in words)]
     low = F.lower("window")
     met = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewater.functions.ids import canonical_name, entity_rid, evidence_rid, observed_rid
+from tidewater.sources import scratch
 
 _ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string,intValue:string>>>"
 _SPANS = f"array<struct<spans:array<struct<traceId:string,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:int>,attributes:{_ATTRIBUTES}>>>>"
@@ -77,17 +78,17 @@ def rank_percentile(durations: Column, q: float) -> Column:
 def aggregate_pairs(found: DataFrame, by: tuple[str, ...] = ("from_service", "to_service"), samples: int = 5) -> DataFrame:
     """Edges of service pairs: calls, error rate, exact rank percentiles of positive durations, first samples.
 
-    Durations are counted before the shuffle, and only the range that holds a percentile's index is ordered.
+    ``found`` is read twice: once for its counts by pair and duration, which are stored and give all but the samples, and once for these.
     """
     keys = list(by)
-    base = found.groupBy(*keys).agg(
-        F.count("*").alias("call_count"),
-        F.count_if("is_error").alias("error_count"),
-        F.min_by("resolved_via", "ord").alias("resolved_via"),
-        F.coalesce(F.max_by(F.when(F.col("protocol") != "", F.col("protocol")), F.when(F.col("protocol") != "", F.col("ord"))), F.lit("")).alias("protocol"),
-    )
+    spoken = F.col("protocol") != ""
+    counts = found.groupBy(*keys, "duration_ms").agg(
+        F.count("*").alias("n"), F.count_if("is_error").alias("errors"), F.min(F.struct("ord", "resolved_via")).alias("first"), F.max(F.when(spoken, F.struct("ord", "protocol"))).alias("last")
+    )
+    counts = scratch.written(counts, "pair-durations")
+    base = counts.groupBy(*keys).agg(F.sum("n").alias("call_count"), F.sum("errors").alias("error_count"), F.min("first")["resolved_via"].alias("resolved_via"), F.coalesce(F.max("last")["protocol"], F.lit("")).alias("protocol"))
     out = base.withColumn("error_rate", F.round(F.col("error_count") / F.col("call_count"), 6))
-    wide = percentiles(found.where("duration_ms > 0"), keys)
+    wide = of_counts(counts.where("duration_ms > 0").select(*keys, "duration_ms", "n"), keys, "duration_ms")
     first = first_samples(found.where("trace_id <> ''"), keys, samples)
     for extra in (wide, first):
         renamed = extra.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in extra.columns if c not in keys))
@@ -97,23 +98,37 @@ def aggregate_pairs(found: DataFrame, by: tuple[str, ...] = ("from_service", "to
 
 
 def percentiles(found: DataFrame, keys: list[str], value: str = "duration_ms", at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """latency_p50, latency_p95, ... of each key by rank: index floor(n * q), n - 1 at most.
+    """latency_p50, latency_p95, ... of each key by rank: index floor(n * q), n - 1 at most; null values take no part."""
+    counts = found.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return of_counts(scratch.written(counts, "value-counts"), keys, value, at)
+
 
-    In two levels: counts in ranges of the value, a few thousand for each key, find the range that holds an
-    index, and only the values of that range are ordered, so no window holds all values of a crowded key.
+def of_counts(counts: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99), most: int = 65536) -> DataFrame:
+    """``percentiles`` of stored counts (keys, value, n), each value of a key once.
+
+    Level by level: sums over ranges of the value find the range that holds an index, first 64 ranges to an octave, then a
+    thousandth of what the range spans, until it has ``most`` values or fewer.  Only these are ordered, so no window holds all values of a crowded key.
     """
-    counts = found.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("part", F.when(F.col(value) > 0, F.floor(F.log2(value) * 64)).otherwise(F.lit(-(1 << 20))).cast("long"))
+    ends = [F.col(k).eqNullSafe(F.col(f"h_{i}")) for i, k in enumerate(keys)]
+    named = [F.col(k).alias(f"h_{i}") for i, k in enumerate(keys)]
+    part = F.when(F.col(value) > 0, F.floor(F.log2(value) * 64)).otherwise(F.lit(-(1 << 20))).cast("long")
+    sums = counts.groupBy(*keys, part.alias("part")).agg(F.sum("n").alias("n"))
     every = Window.partitionBy(*keys)
-    parts = counts.groupBy(*keys, "part").agg(F.sum("n").alias("n"))
-    parts = parts.withColumn("total", F.sum("n").over(every)).withColumn("upto", F.sum("n").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = sums.withColumn("total", F.sum("n").over(every)).withColumn("upto", F.sum("n").over(every.orderBy("part")))
     index = lambda q: F.least(F.floor(F.col("total") * F.lit(q)), F.col("total") - 1)
     asked = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), index(q).alias("index")) for i, q in enumerate(at)))).alias("one")
-    held = parts.select(*keys, "part", "n", "upto", asked).where((F.col("upto") > F.col("one.index")) & (F.col("upto") - F.col("n") <= F.col("one.index")))
-    held = held.select(*(F.col(k).alias(f"h_{i}") for i, k in enumerate(keys)), F.col("part").alias("h_part"), "one.q", (F.col("one.index") - F.col("upto") + F.col("n")).alias("rest"))
-    on = [F.col(k).eqNullSafe(F.col(f"h_{i}")) for i, k in enumerate(keys)] + [F.col("part") == F.col("h_part")]
-    inside = counts.join(held, on).withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "q").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    met = inside.where(F.col("upto") > F.col("rest"))
+    held = sums.select(*keys, "part", "n", "upto", asked).where((F.col("upto") > F.col("one.index")) & (F.col("upto") - F.col("n") <= F.col("one.index")))
+    held = held.select(*named, F.col("part").alias("h_part"), "one.q", (F.col("one.index") - F.col("upto") + F.col("n")).alias("rest"))
+    inside = scratch.written(counts.withColumn("part", part).join(held, [*ends, F.col("part") == F.col("h_part")]).select(*keys, "q", "rest", value, "n"), "held-range")
+    while ((inside.groupBy(*keys, "q").count().agg(F.max("count")).first()[0]) or 0) > most:
+        span = Window.partitionBy(*keys, "q")
+        bounds = inside.groupBy(*keys, "q").agg(F.min(value).alias("low"), F.max(value).alias("high")).select(*named, F.col("q").alias("h_q"), "low", "high")
+        cut = inside.join(bounds, [*ends, F.col("q") == F.col("h_q")]).select(*keys, "q", "rest", value, "n", F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * 1000).alias("part"))
+        sums = cut.groupBy(*keys, "q", "rest", "part").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(span.orderBy("part")))
+        held = sums.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest"))).select(*named, F.col("q").alias("h_q"), F.col("part").alias("h_part"), (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
+        inside = scratch.written(cut.join(held, [*ends, F.col("q") == F.col("h_q"), F.col("part") == F.col("h_part")]).select(*keys, "q", F.col("left").alias("rest"), value, "n"), "held-range")
+    upto = F.sum("n").over(Window.partitionBy(*keys, "q").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    met = inside.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
     return met.groupBy(*keys).agg(*(F.min(F.when(F.col("q") == i, F.col(value))).alias(f"latency_p{round(q * 100)}") for i, q in enumerate(at)))
 
 

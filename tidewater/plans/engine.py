@@ -117,8 +117,11 @@ class Engine:
 
     def route(self, query: str, asked: str = "auto") -> str:
         """The route of one query, by the same expression as for a table of queries."""
-        row = self.spark.range(1).select(retrieval.route(F.lit(query), F.size(graph.entities_in(F.lit(query), graph.patterns(self.gazetteer))), F.lit(asked), self.settings).alias("r"))
-        return row.first()["r"]
+        return self._named(query).select(retrieval.route(F.col("query"), F.size("entities"), F.lit(asked), self.settings).alias("r")).first()["r"]
+
+    def _named(self, query: str) -> DataFrame:
+        """One row: the query and the entities that it names."""
+        return graph.with_entities(self.spark.createDataFrame([(query,)], "query string"), "query", graph.patterns(self.gazetteer))
 
     def search(self, query: str, tenant: str = "default", clearance: str = "INTERNAL", top_k: int = 10, route: str = "auto") -> DataFrame:
         """Hits in rank order; the access filter stands below both rankings.  The route ``vector_only`` leaves the lexical ranking out.
@@ -166,7 +169,7 @@ class Engine:
 
     def _around(self, query: str) -> list[dict[str, Any]]:
         """The edges within two hops of the first entity that the query names."""
-        names = self.spark.range(1).select(graph.entities_in(F.lit(query), graph.patterns(self.gazetteer)).alias("e")).first()["e"]
+        names = self._named(query).first()["entities"]
         return [r.asDict() for r in self.graph(names[0]["name"], 2).collect()] if names else []
 
     def answer_events(self, query: str, **how: Any) -> Iterator[tuple[str, Any]]:

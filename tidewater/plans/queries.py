@@ -195,14 +195,24 @@ def route_queries(s: Spark, d: str) -> DataFrame:
     known = graph.patterns(GAZETTEER)
     rows = lens.table(s, d, "benchmark").withColumn("query", F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("topology of "), "text")).when(F.col("item_id") % 4 == 1, F.concat(F.lit("DIFF "), "text")).otherwise(F.col("text")))
     rows = rows.withColumn("asked", F.when(F.col("item_id") % 7 == 6, "vector_only").otherwise("auto"))
-    return rows.select("item_id", retrieval.route(F.col("query"), F.size(graph.entities_in(F.col("query"), known)), F.col("asked"), SETTINGS).alias("route"))
+    rows = graph.with_entities(rows.select("item_id", "query", "asked"), "query", known)
+    return rows.select("item_id", retrieval.route(F.col("query"), F.size("entities"), F.col("asked"), SETTINGS).alias("route"))
 
 
 def entity_match(s: Spark, d: str) -> DataFrame:
-    rows = lens.files(s, d).select("doc_id", F.explode(graph.entities_in(F.col("text"), graph.patterns(GAZETTEER))).alias("e"))
+    rows = graph.with_entities(lens.files(s, d).select("doc_id", "text"), "text", graph.patterns(GAZETTEER)).select("doc_id", F.explode("entities").alias("e"))
     return rows.select("doc_id", "e.name", "e.type", "e.position")
 
 
+def entity_match_large(s: Spark, d: str) -> DataFrame:
+    """Names of all parts, customers and suppliers and of the gazetteer as one dictionary, found in texts that name some of them."""
+    names = [r[0] for t, c in (("part", "p_name"), ("supplier", "s_name")) for r in lens.table(s, d, t).select(c).distinct().orderBy(c).collect()]  # a dictionary is bounded by what a worker holds
+    known = graph.patterns([*GAZETTEER, *({"name": n, "type": "Part"} for n in names)])
+    parts = lens.table(s, d, "part").select("p_partkey", F.col("p_name").alias("one"), F.concat("p_name", F.lit(" and the and "), F.upper("p_name"), F.lit("; order of "), F.reverse("p_name")).alias("text"))
+    found = graph.with_entities(parts, "text", known).select("p_partkey", F.explode("entities").alias("e"))
+    return found.select("p_partkey", "e.name", "e.type", "e.position")
+
+
 def _relations(s: Spark, d: str) -> DataFrame:
     # the sample prose states nothing, so every third item gets a sentence that does
     rows = lens.table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("rid"), F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit(" payment calls order. "), "text")).when(F.col("item_id") % 3 == 1, F.concat("text", F.lit(". payment does not call order. it emits tion. "))).otherwise(F.col("text")).alias("chunk_text"))
@@ -411,6 +421,6 @@ def turn_order(s: Spark, d: str) -> DataFrame:
 
 ALL = [
     rid_documents, canonical_names, content_hash_changed, base_filter_docs, pii_scan, classify_docs, quarantine_split, language_ratio, token_estimate, section_split, paragraph_split, chunk_pack, search_text, mention_free, postings_build, indexed_after_change, phrase_search, ingest_outcomes, lexical_topk, vector_topk, vector_index_topk, rrf_fusion, hybrid_search,
-    batch_lexical, lexical_scan, route_queries, entity_match, relation_extract, relation_evidence, edge_upsert_max, entity_insert_absent, observed_replace, chunk_supersede, evidence_link, resolve_names, designed_edges, observed_edges, edge_diff, diff_summary, diff_detail, trace_evidence, diff_evidence, graph_evidence, diff_filtered, tag_flags,
+    batch_lexical, lexical_scan, route_queries, entity_match, entity_match_large, relation_extract, relation_evidence, edge_upsert_max, entity_insert_absent, observed_replace, chunk_supersede, evidence_link, resolve_names, designed_edges, observed_edges, edge_diff, diff_summary, diff_detail, trace_evidence, diff_evidence, graph_evidence, diff_filtered, tag_flags,
     neighbors_1hop, neighbors_2hop, find_path, span_pairs, recent_traces, observed_windows, pair_aggregate, pair_percentiles, suggest_entities, documents_page, status_counts, evidence_packet, prompt_text, stream_span_windows, crm_validation, turn_order,
 ]

@@ -220,6 +220,7 @@ shown AS (SELECT rid AS evidence_rid, {SNIPPET.format(200)} AS snippet, 'root' A
         "search_text": f"WITH {TURNS} SELECT rid, section::BIGINT AS section, sha256(coalesce(nullif(CASE WHEN section % 3 = 0 THEN '' WHEN section % 3 = 1 THEN 'about ' || rid END, ''), '[' || section_path || ']') || ' ' || section_text) AS text_hash FROM sections",
         "postings_build": f"WITH {DOCS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM files) GROUP BY term",
         "vector_index_topk": "WITH v AS (SELECT vec_id, vec_id::VARCHAR AS rid, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_bool_or(list_transform(embedding, lambda x: x <> 0))), p AS (SELECT a.vec_id AS query_id, b.rid, round(1 - list_cosine_similarity(b.e, a.e), 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0) SELECT query_id, rid, score, row_number() OVER (PARTITION BY query_id ORDER BY score, rid) AS rank FROM p QUALIFY rank <= 10",
+        "entity_match_large": f"WITH known AS (SELECT w, name, type, row_number() OVER (ORDER BY -length(w), n) AS place FROM (SELECT row_number() OVER () AS n, * FROM (VALUES {quoted((w, n, t) for w, n, t in GAZETTEER)}) AS v(w, name, type) UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY k, w), w, w, 'Part' FROM (SELECT DISTINCT 0 AS k, p_name AS w FROM part UNION ALL SELECT DISTINCT 1, s_name FROM supplier))), t AS (SELECT p_partkey, lower(p_name || ' and the and ' || upper(p_name) || '; order of ' || reverse(p_name)) AS low FROM part), f AS (SELECT p_partkey, name, type, strpos(low, lower(w)) - 1 AS position, place FROM t, known WHERE contains(low, lower(w))) SELECT p_partkey, name, type, position::INT AS position FROM f QUALIFY row_number() OVER (PARTITION BY p_partkey, name ORDER BY place) = 1",
         "indexed_after_change": f"WITH {DOCS}{PII}, later AS (SELECT rid, CASE WHEN doc_id % 10 = 3 THEN text || ' the and' ELSE text END AS text FROM visible WHERE doc_id % 10 <> 7), {lexical('later', 'rid', ONE_QUERY, 20)} SELECT rid, score, rank FROM lexical",
         "phrase_search": f"WITH {DOCS}, q AS (SELECT item_id AS query_id, {TERMS.format('text')} AS w FROM benchmark), t AS (SELECT doc_id, {TERMS.format('text')} AS w FROM files), each_term AS (SELECT doc_id, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b FROM t) SELECT query_id, doc_id, count(*) AS n FROM q JOIN each_term ON a = w[1] AND (len(w) = 1 OR b = w[2]) GROUP BY ALL",
         "ingest_outcomes": f"WITH {DOCS}{PII}, o AS (SELECT *, text <> '' AND NOT is_quarantined AS open, (length(text) % 7 = 0)::INT + (length(path) % 7 = 0)::INT AS bad FROM docs) SELECT rid, CASE WHEN is_quarantined THEN 'quarantined' WHEN NOT open THEN 'skipped' WHEN bad = 2 THEN 'failed' ELSE 'indexed' END AS outcome, CASE WHEN open AND bad > 0 THEN 'embed' END AS stage, CASE WHEN open THEN 2 ELSE 0 END::BIGINT AS n_chunks, CASE WHEN open THEN bad ELSE 0 END::BIGINT AS n_failed FROM o",
