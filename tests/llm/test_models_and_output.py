@@ -548,6 +548,52 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+HEADERS = {
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at the address below.',
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at the address below.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",
+    "CC-BY-SA": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+}
+SPDX = {"GPL-2.0": "GPL-2.0-or-later", "MIT": "MIT", "BSD": "BSD-3-Clause", "AGPL": "AGPL-3.0-only", "LGPL": "LGPL-2.1-only", "ISC": "ISC"}
+UNLISTED = [
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "SPDX-License-Identifier: BSL-1.0",
+]
+NEAR = [
+    "The work was distributed under the supervision of the minister, and payments were subject to the terms of the contract that both towns had signed.",
+    "El trabajo fue distribuido bajo la dirección del ministro, y los pagos estaban sujetos a los términos del contrato que las dos ciudades firmaron.",
+    "Die Arbeit wurde unter der Leitung des Ministers verteilt, und die Zahlungen folgten den Bedingungen des Vertrags, den beide Städte unterschrieben hatten.",
+    "The general public was free to use the path, and anyone could obtain a copy of the map at the station without paying for it.",
+]
+
+
+def test_headers_of_every_family(spark):
+    """A header is given to its family or to none, never to another; unlisted notices are unknown and near misses nothing."""
+    rng = random.Random(8)
+    words = "river stone walks under green sky often the of to and said house was by".split()
+    prose = lambda: " ".join(rng.choice(words) for _ in range(25))
+    rows = [(i, prose(), "s") for i in range(200)]
+    want = {}
+    for k, (name, text) in enumerate(HEADERS.items()):
+        rows.append((1000 + k, text, "s"))
+        want[1000 + k] = name
+    for k, (name, text) in enumerate(SPDX.items()):
+        rows.append((1100 + k, f"# SPDX-License-Identifier: {text}", "s"))
+        want[1100 + k] = name
+    rows += [(1200 + k, text, "s") for k, text in enumerate(UNLISTED)] + [(1300 + k, text, "s") for k, text in enumerate(NEAR)]
+    got = license_scan.scan(docs_of(spark, rows)).collect()
+    sure = {r["doc_id"]: r["family"] for r in got if r["confirmed"]}
+    assert sure == want
+    families = {r["doc_id"]: r["family"] for r in got}
+    assert all(families.get(1200 + k, "unknown") == "unknown" for k in range(len(UNLISTED))) and sum(1200 + k in families for k in range(3)) >= 2
+    near = [i for i in families if i < 200 or i >= 1300]
+    assert len(near) <= 1 and all(families[i] == "unknown" for i in near)
+
+
 def test_pieces_of_paragraphs(spark):
     """Every run of LONGEST words of a paragraph is whole in one of its pieces, and blank lines or lines of signs divide."""
     long = license_scan.LONGEST

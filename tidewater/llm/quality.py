@@ -59,7 +59,7 @@ def _features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of labelled rows as distinct ids with their shares."""
-    for batch in slices(batches):
+    for batch in slices(batches, limit=1 << 20):
         parts = list(_features(Words(batch.column("text"))))
         ids, shares = [], []
         for i in range(batch.num_rows):
@@ -143,8 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
     n, total = np.zeros(len(texts)), np.zeros(len(texts))
     for ids, first in _features(Words(texts)):
-        sums = np.concatenate([[0.0], np.cumsum(model.table[ids], dtype=np.float64)])
-        total += sums[first[1:]] - sums[first[:-1]]
+        some = first[1:] > first[:-1]
+        if some.any():  # each text's sum depends on the text alone
+            total[some] += np.add.reduceat(model.table[ids].astype(np.float64), first[:-1][some])
         n += np.diff(first)
     odds = model.bias + total / np.maximum(n, 1)
     return np.round(1 / (1 + np.exp(-np.clip(odds, -500, 500))), 9)
@@ -152,8 +153,8 @@ def _scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(model.value, batch.column("text")))], [*batch.schema.names, "score"])
+        for batch in slices(batches, "__text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_scores(model.value, batch.column("__text")))], [*batch.schema.names[:-1], "score"])
 
     return run
 
@@ -162,20 +163,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of class 1 (0 to 1), of each whole text.
 
     A null text counts as empty; an empty text has no features and gets the prior.  Equal texts get
-    equal scores.  A column named ``score`` that is there already is replaced.
+    equal scores.  A column named ``score`` that is there already is replaced; all other columns pass through.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # fixed size: (1 + len(NGRAMS)) << BITS floats
-    docs = docs.drop("score")
-    renamed = docs if text_col == "text" else docs.drop("text").withColumnRenamed(text_col, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema) + ", score double"
-    out = renamed.mapInArrow(_scorer(shared), schema)
-    return out if text_col == "text" else out.withColumnRenamed("text", text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: (1 + len(NGRAMS)) << BITS floats
+    rows = docs.drop("score").withColumn("__text", F.col(text_col))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", score double"
+    return rows.mapInArrow(_scorer(shared), schema)
 
 
 def _keeper(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             yield batch.filter(pa.array(_scores(model.value, batch.column("text")) >= threshold))
 
     return run
