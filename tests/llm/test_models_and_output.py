@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
+import time
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -344,6 +347,16 @@ def test_url_templates_learn_from_labels(spark):
     assert got[1000]["template"] == "/offer/*.html"
 
 
+@contextmanager
+def recursion(limit):
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def tree_by_hand(pages, labels, least=8, z=1.96, smoothing=4.0, levels=4):
     """Page id: (template, purity), by recursion over lists of pages."""
     variable = re.compile(url_filter.VARIABLE)
@@ -429,6 +442,20 @@ def test_url_tree_by_brute_force(spark):
     assert {r["page_id"]: (r["template"], r["purity"]) for r in got if r["host"]} == want
 
 
+def test_very_long_paths(spark):
+    """Paths of two thousand segments before they fork take no round for each segment, and give the tree by hand."""
+    long = "/".join(f"s{k}" for k in range(2000))
+    pages = [(i, f"http://h.com/{long}/{'good' if i % 2 else 'evil'}/p{i}") for i in range(40)] + [(100 + i, f"http://h.com/{'a/' * (i % 9)}end{i % 3}") for i in range(60)]
+    labels = {i: int("evil" in u or (i % 7 == 0)) for i, u in pages}
+    began = time.time()
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), [], spark.createDataFrame(list(labels.items()), "page_id long, bad int"), least_pages=8).collect()
+    took = time.time() - began
+    with recursion(10_000):
+        want = tree_by_hand(pages, labels)
+    assert {r["page_id"]: (r["template"], r["purity"]) for r in got} == want
+    assert took < 120
+
+
 # secrets
 
 

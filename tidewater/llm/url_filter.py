@@ -86,7 +86,7 @@ def _merged(bins: DataFrame, z: float) -> DataFrame:
     return rows.select("host", "node", F.inline(F.aggregate("all", start, step, lambda acc: acc["out"])))
 
 
-def _split(rows: DataFrame, hosts: DataFrame, level: int, least_pages: int, z: float, smoothing: float) -> DataFrame:
+def _split(rows: DataFrame, hosts: DataFrame, least_pages: int, z: float, smoothing: float) -> DataFrame:
     """(host, node, child, label): the children of the nodes of ``rows`` (host, node, seg, n, labelled, bad), and what their branches are called.
 
     A branch of one child has its name, others the first and last of their children's names and how many these are.
@@ -110,35 +110,44 @@ def templates(shapes: DataFrame, least_pages: int = 8, z: float = 1.96, smoothin
 
     A segment has a branch of its own if ``least_pages`` pages have it at its node.  A node is split as long
     as it has more than one shape and labels of both kinds, and down to ``levels`` segments in any case; nodes
-    of one kind of label are judged alike however deep they are split.  A template that stands for deeper paths
+    of one kind of label are judged alike however deep they are split.  A round of jobs takes each open node to its next
+    fork, so that rounds follow the forks of the paths and not their length.  A template that stands for deeper paths
     ends in ``**``.  ``purity`` is the smoothed share of bad labels of the template that the shape falls into.
     """
     hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
     base = shapes.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("labelled") + 1), F.lit(0.5)).alias("base")).first()["base"]
     hosts = written(hosts.select("host", _share(F.col("h_bad"), F.col("h_labelled"), F.lit(base), smoothing).alias("host_rate")), "url-hosts")
-    open_, done, level = shapes.withColumn("node", F.lit("")), None, 0
+    open_, done = shapes.withColumns({"node": F.lit(""), "depth": F.lit(0)}), None
     while True:
-        stats = open_.groupBy("host", "node").agg(F.count("*").alias("n_shapes"), F.max(F.size("shape")).alias("deepest"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        rest = F.slice("shape", F.col("depth") + 1, F.greatest(F.size("shape"), F.lit(1)))
+        stats = open_.groupBy("host", "node", "depth").agg(F.count("*").alias("n_shapes"), F.max(F.size("shape")).alias("deepest"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.sum("n").alias("pages"), F.min(rest).alias("low"), F.max(rest).alias("high"))
         mixed = (F.col("b") > 0) & (F.col("b") < F.col("l"))
-        go = (F.col("n_shapes") > 1) & (F.col("deepest") > level) & (mixed | F.lit(level < levels))
-        rows = written(open_.join(stats.select("host", "node", "n_shapes", go.alias("go")), ["host", "node"]), "url-nodes")
-        rest = F.slice("shape", level + 1, F.greatest(F.size("shape"), F.lit(1)))
+        # what all paths of a node go on with is what the first and the last of them share: one step, however long
+        differs = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False).cast("int")
+        shared = F.when(differs == 0, F.size("low")).otherwise(differs - 1)
+        shared = F.when(F.col("n_shapes") == 1, 0).when(mixed, shared).otherwise(F.least(shared, F.greatest(levels - F.col("depth"), F.lit(0))))
+        names = F.transform(F.slice("low", 1, shared), lambda s: F.concat(F.lit("/"), F.when((F.col("pages") >= least_pages) | s.startswith("*"), s).otherwise("*")))
+        stats = stats.withColumns({"to_node": F.concat("node", F.array_join(names, "")), "to_depth": F.col("depth") + shared})
+        go = (F.col("n_shapes") > 1) & (F.col("deepest") > F.col("to_depth")) & (mixed | (F.col("to_depth") < levels))
+        stats = stats.select("host", "node", "n_shapes", "to_node", "to_depth", go.alias("go"))
+        # a node of a large host has most of the rows; they are the left side, so that its partition can be split
+        rows = open_.drop("depth").join(stats, ["host", "node"]).drop("node").withColumnsRenamed({"to_node": "node", "to_depth": "depth"})
+        rows = written(rows, "url-nodes")
         deeper = F.when(F.col("n_shapes") == 1, F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise("/**")
-        stopped = rows.where(~F.col("go")).withColumn("template", F.when((F.size("shape") > level) | ((F.col("node") == "") & (F.col("n_shapes") == 1)), F.concat("node", deeper)).otherwise(F.col("node")))
-        seg = F.try_element_at("shape", F.lit(level + 1))
-        rows = rows.where("go").drop("n_shapes", "go").withColumn("seg", seg)
+        stopped = rows.where(~F.col("go")).withColumn("template", F.when((F.size("shape") > F.col("depth")) | ((F.col("node") == "") & (F.col("n_shapes") == 1)), F.concat("node", deeper)).otherwise(F.col("node")))
+        rows = rows.where("go").drop("n_shapes", "go").withColumn("seg", F.try_element_at("shape", F.col("depth") + 1))
         ended = rows.where("seg is null").withColumn("template", F.concat("node", F.lit("/")))
         out = stopped.select("host", "shape", "labelled", "bad", "template").unionByName(ended.select("host", "shape", "labelled", "bad", "template"))
         done = out if done is None else done.unionByName(out)
         rows = rows.where("seg is not null")
         if rows.isEmpty():
             break
-        names = _split(rows, hosts, level, least_pages, z, smoothing)
+        names = _split(rows, hosts, least_pages, z, smoothing)
         own = names.select("host", "node", F.col("child").alias("seg"), "label")
         wild = names.where("child = '*'").select("host", "node", F.col("label").alias("wild"))
         rows = rows.join(own, ["host", "node", "seg"], "left").join(wild, ["host", "node"], "left")
-        open_ = written(rows.withColumn("node", F.concat("node", F.lit("/"), F.coalesce("label", "wild"))).drop("seg", "label", "wild"), "url-level")
-        level += 1
+        rows = rows.withColumns({"node": F.concat("node", F.lit("/"), F.coalesce("label", "wild")), "depth": F.col("depth") + 1})
+        open_ = written(rows.drop("seg", "label", "wild"), "url-level")
     done = written(done, "url-leaves")
     leaf = done.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).join(hosts, "host")
     leaf = leaf.withColumn("purity", _share(F.col("bad"), F.col("labelled"), F.col("host_rate"), smoothing)).drop("host_rate")
