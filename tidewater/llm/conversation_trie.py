@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scans import numbered, running
+from .scans import BLOCK, numbered, running
 from .shared import delete, own_jobs, scratch_path, written
 
 _MASK = (1 << 32) - 1
@@ -172,7 +172,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     saved = _over_subtrees(chains.join(saved, F.col("conv") == F.col("c")), ["saved"]).where("up is not null")
     saved = written(saved.groupBy(F.col("up").alias("on"), F.col("up_at").alias("at")).agg(F.sum("saved").alias("saved")), "trie-saved")
     nodes = nodes.join(saved, (F.col("conv") == F.col("on")) & (F.col("depth") == F.col("at")), "left").withColumn("saved_tokens", F.col("saved_tokens") + F.coalesce("saved", F.lit(0))).drop("on", "at", "saved")
-    nodes = running(nodes if longest < 4096 else written(nodes, "trie-topped"), "conv", "below", ["saved_tokens"], longest)
+    nodes = running(nodes if longest < BLOCK else written(nodes, "trie-topped"), "conv", "below", ["saved_tokens"], longest)
 
     members = twins.unionByName(chains.select("conv", F.col("len").alias("depth"), F.col("conv").alias("member")))
     out = nodes.join(ends(members), (F.col("conv") == F.col("e_conv")) & (F.col("depth") == F.col("e_depth")), "left")

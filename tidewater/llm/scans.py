@@ -16,17 +16,18 @@ def running(df: DataFrame, key: str, at: str, columns: list[str], most: int) ->
     the ``BLOCK`` rows of a block at most; what stands before a block is the running sum over the blocks themselves.
     Works on empty tables.  ``df`` is read twice where ``most`` reaches past a block, so pass a written table.
     """
+    name = f"__of_{at}"  # each level of blocks has a name of its own
     block = F.floor(F.col(at) / BLOCK).cast("long")
-    window = Window.partitionBy(key, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    inside = df.withColumn("__block", block).withColumns({c: F.sum(c).over(window) for c in columns})
+    window = Window.partitionBy(key, name).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    inside = df.withColumn(name, block).withColumns({c: F.sum(c).over(window) for c in columns})
     if most < BLOCK:
-        return inside.drop("__block")
-    own = df.groupBy(key, block.alias("__block")).agg(*(F.sum(c).alias(c) for c in columns))
-    upto = running(own, key, "__block", columns, most // BLOCK)
-    before = own.select(F.col(key).alias("__key"), F.col("__block").alias("__own"), *(F.col(c).alias(f"__own_{c}") for c in columns))
-    upto = upto.join(before, (F.col(key) == F.col("__key")) & (F.col("__block") == F.col("__own")))
+        return inside.drop(name)
+    own = df.groupBy(key, block.alias(name)).agg(*(F.sum(c).alias(c) for c in columns))
+    upto = running(own, key, name, columns, most // BLOCK)
+    before = own.select(F.col(key).alias("__key"), F.col(name).alias("__own"), *(F.col(c).alias(f"__own_{c}") for c in columns))
+    upto = upto.join(before, (F.col(key) == F.col("__key")) & (F.col(name) == F.col("__own")))
     upto = upto.select("__key", "__own", *((F.col(c) - F.col(f"__own_{c}")).alias(f"__own_{c}") for c in columns))
-    joined = inside.join(upto, (F.col(key) == F.col("__key")) & (F.col("__block") == F.col("__own")))
+    joined = inside.join(upto, (F.col(key) == F.col("__key")) & (F.col(name) == F.col("__own")))
     return joined.withColumns({c: F.col(c) + F.col(f"__own_{c}") for c in columns}).select(*df.columns)
 
 
