@@ -1,7 +1,8 @@
 """Secret scanning with a random forest that removes false positives.
 
 A wide search takes everything that could be a secret: tokens of 12 characters or more, dotted ones whole; the value
-behind a key word and ``=`` or ``:``, of any characters and from 4 on; and the password of a URL.
+behind a key word and ``=`` or ``:``, of any characters and from 4 on, or from 6 on without a sign; the password of a URL; and
+the body of a private key in PEM form.
 Each candidate is described by its length, its character classes and entropy, how likely its character
 transitions are in ordinary words, how much of it words of the corpus cover, the path of its document, and the
 words around it.  A random forest trained on labelled findings then separates secrets from identifiers,
@@ -34,12 +35,14 @@ from .shared import sample_by_hash, slices, written
 
 TOKEN = re.compile(rb"[A-Za-z0-9+/_-]{12,}(?:\.[A-Za-z0-9+/_-]{8,})*=*")
 #: Words that stand before secrets, words that stand around samples, and path pieces of samples.
-KEY_WORDS = (b"password", b"passwd", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"access_key", b"auth", b"bearer", b"credential", b"private_key")
+KEY_WORDS = (b"password", b"passwd", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"access_key", b"auth", b"bearer", b"credential", b"private_key", b"privatekey", b"private key", b"accountkey", b"account_key", b"secretkey", b"sharedkey", b"passphrase")
+#: What a key in PEM form stands between.
+PEM, DASHES = b"PRIVATE KEY-----", b"-----"
 SAMPLE_WORDS = (b"example", b"sample", b"dummy", b"placeholder", b"changeme", b"your", b"xxxx", b"test")
 SAMPLE_PATHS = ("test", "example", "sample", "fixture", "doc", "mock")
 #: From a key word to its value; from ``://`` to the password.
-VALUE = re.compile(rb"[A-Za-z_-]{0,24}[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}(?:[Bb]earer[ \t]+)?[\"'`]?([^\s\"'`,;<>()]{4,})|[ \t]+([A-Za-z0-9._~+/=-]{16,})")
-USERINFO = re.compile(rb"://[^/\s:@]{0,64}:([^@/\s]{3,})@")
+VALUE = re.compile(rb"[A-Za-z_-]*+[\"']?+[ \t]*+(?:=>|:=|=|:)[ \t]*+(?:[Bb]earer[ \t]++)?[\"'`]?([^\s\0\"'`,;<>()]{4,})|[ \t]++([A-Za-z0-9._~+/=-]{6,})")
+USERINFO = re.compile(rb"://[^/\s\0:@]*+:([^@/\s\0]{3,})@")
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "entropy", "transitions", "coverage", "hexadecimal", "assigned", "quoted", "key_before", "sample_near", "path_sample", "path_depth", "sentence", "before_at")
 
 
@@ -97,11 +100,15 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(cells[a, b])], ["a", "b", "n"])
 
 
-def learn_ordinary(docs: DataFrame, words: int = 4000, text_col: str = "text") -> Ordinary:
-    """The most frequent ``words`` words and the character transitions of all words, over all texts."""
-    found = docs.select(F.explode(F.split(text_col, r"[^\p{L}]+")).alias("word")).where("length(word) between 2 and 11").groupBy("word").count()
+def learn_ordinary(docs: DataFrame, words: int = 4000, text_col: str = "text", longest: int = 24) -> Ordinary:
+    """The most frequent ``words`` words of 2 to ``longest`` letters, and the character transitions of words of any length, over all texts.
+
+    Null and empty texts have no words; of equally frequent words the first in code point order are taken; an empty table gives an
+    empty dictionary and even transitions.
+    """
+    found = docs.select(F.explode(F.split(text_col, r"[^\p{L}]+")).alias("word")).where("length(word) >= 2").groupBy("word").count()
     found = written(found, "secret-words")
-    top = found.orderBy(F.desc("count"), "word").limit(words).collect()
+    top = found.where(F.length("word") <= longest).orderBy(F.desc("count"), "word").limit(words).collect()
     cells = found.mapInArrow(_transitions, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # 65,536 at most
     return Ordinary([r["word"] for r in top], [tuple(r) for r in cells])
 
@@ -130,6 +137,16 @@ def _spans(data: bytes, low: bytes, keys: np.ndarray) -> np.ndarray:
         if m:
             found.append(m.span(1))
         at = data.find(b"://", at + 1)
+    at = data.find(PEM)
+    while at >= 0:
+        if data.rfind(b"-----BEGIN", max(0, at - 40), at) >= 0:
+            a = at + len(PEM)
+            z = min(x for x in (data.find(DASHES, a), data.find(b"\0", a)) if x >= 0)
+            body = data[a:z]
+            a, z = a + len(body) - len(body.lstrip()), z - len(body) + len(body.rstrip())
+            if z - a >= 16:
+                found.append((a, z))
+        at = data.find(PEM, at + 1)
     best: dict[int, int] = {}
     for a, z in found:
         best[a] = max(best.get(a, 0), z)
@@ -214,13 +231,16 @@ def _scan(known):
 #: Forms of key ids that are secrets wherever they stand.
 KNOWN_IDS = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36}$|xox[abp]-|eyJ[A-Za-z0-9_-]+\.")
 #: Characters of made values.
-HEX, B64, SIGNS, UPPER = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "!@#$^&*_+-.?~", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+HEX, B64, SIGNS, UPPER, LOWER = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "!@#$^&*_+-.?~", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz"
+#: Kinds of made secrets (Slack, Google, SendGrid, storage account, Stripe) that a test leaves out of training and then looks for.
+HELD_KINDS = (20, 21, 22, 23, 24)
 
 
 def _values(rng: random.Random, words: list[str]) -> tuple[list[Callable[[], str]], list[Callable[[], str]]]:
     """Makers of secrets, and of what only looks like them; ``%`` marks the value in its wording."""
     some = lambda letters, a, z: "".join(rng.choice(letters) for _ in range(rng.randint(a, z)))
     word = lambda: rng.choice(words)
+    lines = lambda n: "\n".join(some(B64, 64, 64) for _ in range(n))
     part = lambda n: base64.urlsafe_b64encode(rng.randbytes(n)).decode().rstrip("=")
     key = lambda: rng.choice(["token", "api_key", "secret", "access_key", "auth_token", "client_secret", "API_KEY", "apikey"])
     assign = lambda value: rng.choice([f'{key()} = "%{value}%"', f"{key()}=%{value}%", f"{key()}: %{value}%", f'"{key()}": "%{value}%"', f"export {key().upper()}='%{value}%'"])
@@ -229,11 +249,18 @@ def _values(rng: random.Random, words: list[str]) -> tuple[list[Callable[[], str
         lambda: assign(some(HEX, 24, 64)), lambda: assign(some(B64, 20, 60)), lambda: assign(some(B64[:62], 16, 48)), lambda: f"%AKIA{some(UPPER, 16, 16)}%", lambda: f"%ghp_{some(B64[:62], 36, 36)}%",
         lambda: f"Authorization: Bearer %eyJ{part(20)}.{part(40)}.{part(32)}%", lambda: f"%eyJ{part(20)}.{part(60)}.{part(32)}%", lambda: f"{rng.choice(['password', 'passwd', 'pwd', 'PASSWORD'])}{rng.choice([' = ', '=', ': '])}%{password()}%",
         lambda: f'{rng.choice(["password", "db_password", "pwd"])} = "%{password()}%"', lambda: f"postgres://{word()}:%{password().replace('@', '!').replace('/', '1')}%@{word()}.com/db", lambda: f"https://{word()}:%{some(HEX, 20, 40)}%@{word()}.org",
+        lambda: f"%{some(LOWER, 2, 5)}{rng.choice(['_', '-', '_live_', '_prod_', '_v1_'])}{some(B64[:62], 20, 40)}%", lambda: f"-----BEGIN {rng.choice(['RSA ', 'EC ', '', 'OPENSSH '])}PRIVATE KEY-----\n%{lines(rng.randint(3, 24))}%\n-----END PRIVATE KEY-----",
+        lambda: f"{rng.choice(['password', 'passwd', 'pwd'])} %{password()}%", lambda: f"{rng.choice(['password', 'passphrase'])} %{word()}{some('0123456789', 2, 4)}{some(LOWER, 1, 3)}%", lambda: f"{rng.choice(['SecretKey', 'sharedkey', 'storage_account_key'])}={'%'}{some(B64, 42, 86)}==%;", lambda: f"%{some(UPPER, 2, 4)}{some(B64[:62], 24, 36)}%",
+        lambda: f"%{some(rng.choice([LOWER, UPPER]), 2, 5)}" + "".join(rng.choice(".-_") + some(rng.choice(["0123456789", B64[:62] + "_-", B64[:62]]), 10, 40) for _ in range(rng.randint(1, 2))) + f".{some(B64[:62], 18, 44)}%", lambda: f"%{some(LOWER, 2, 5)}-{some('0123456789', 8, 14)}-{some(B64[:62], 20, 40)}%",
+        # the kinds of HELD_KINDS
+        lambda: f"%xoxb-{some('0123456789', 11, 12)}-{some('0123456789', 11, 13)}-{some(B64[:62], 24, 24)}%", lambda: f"%AIza{some(B64[:62] + '_-', 35, 35)}%", lambda: f"%SG.{part(16)}.{part(32)}%", lambda: f"AccountName={word()};AccountKey=%{some(B64, 86, 86)}==%;EndpointSuffix=core", lambda: f"%sk_live_{some(B64[:62], 24, 24)}%",
     ]
     likes = [
         lambda: f"commit %{some(HEX, 40, 40)}%", lambda: f"sha256: %{some(HEX, 64, 64)}%", lambda: f"id %{some(HEX, 8, 8)}-{some(HEX, 4, 4)}-4{some(HEX, 3, 3)}-{some(HEX, 4, 4)}-{some(HEX, 12, 12)}%", lambda: f"{word()} %{'_'.join(word() for _ in range(4))}% {word()}",
         lambda: f'{key()} = "%your-{word()}-here%"', lambda: "password: %changeme%", lambda: f'password = "%{word()}%"', lambda: f"{key()} = %{rng.choice(['None', 'null', 'os.environ', 'get_token', 'self.token', 'request.headers'])}%", lambda: f"the token: %{word()}% {word()}",
         lambda: f"%{'/'.join(word() for _ in range(5))}%", lambda: f"% {some('0123456789', 12, 20)}%".replace("% ", "%"), lambda: f"%{''.join(word() for _ in range(4))}%", lambda: f"example {key()}=%{some(HEX, 32, 32)}%", lambda: f"data:image/png;base64,%{some(B64, 40, 120)}%",
+        lambda: f"{rng.choice(['password', 'secret', 'token', 'auth'])} %{word()}{word()}% {word()}", lambda: f"the %{word()}-{word()}-{some('0123456789', 2, 4)}% {word()}", lambda: f"%{word()}_{word()}_{word()}{some('0123456789', 0, 3)}%", lambda: f"-----BEGIN PUBLIC KEY-----\n%{some(B64, 64, 64)}%\n-----END PUBLIC KEY-----",
+        lambda: f"ssh-rsa %AAAAB3NzaC1yc2E{some(B64, 60, 120)}% {word()}", lambda: f"etag: %{some(HEX, 32, 32)}%", lambda: f"version %{some('0123456789', 1, 2)}.{some('0123456789', 1, 2)}.{some('0123456789', 8, 12)}%", lambda: f"%{word().capitalize()}{word().capitalize()}{word().capitalize()}{some('0123456789', 1, 3)}%",
     ]
     return secrets, likes
 
@@ -269,7 +296,7 @@ def _plant(known, words: list[str], copies: int):
     return run
 
 
-def planted(docs: DataFrame, known: Ordinary, sample_rows: int = 1500, copies: int = 6, text_col: str = "text", path_col: str = "source") -> DataFrame:
+def planted(docs: DataFrame, known: Ordinary, sample_rows: int = 1500, copies: int = 8, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(held, label, kind, features): labelled findings from ``sample_rows`` distinct texts at most, each planted ``copies`` times.
 
     A quarter of the texts, by a hash, is held out.  ``kind`` tells made values apart (0: the text's own).  An empty table is
@@ -293,21 +320,23 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=[f"f_{name}" for name in FEATURES], outputCol="vector").transform(wide).drop(*(f"f_{name}" for name in FEATURES))
 
 
-def train(labelled: DataFrame, max_rows: int = 8000, trees: int = 40, depth: int = 8, seed: int = 5) -> RandomForestClassificationModel | None:
-    """A forest over ``labelled`` (features, label 0/1): at most ``max_rows`` rows, half of each label, by a hash.
+def train(labelled: DataFrame, max_rows: int = 10000, trees: int = 40, depth: int = 10, seed: int = 5) -> RandomForestClassificationModel | None:
+    """A forest over ``labelled`` (features, label 0/1): at most ``max_rows`` rows, half of each label, by a hash; ties are rows alike.
 
-    None without findings of both labels.
+    Both labels weigh alike, however many rows they have.  None without findings of both labels.
     """
     order = F.xxhash64("features")
     picks = [labelled.where(F.col("label") == y).orderBy(order).limit(max_rows // 2) for y in (0, 1)]
     sample = written(picks[0].unionByName(picks[1]).select("features", F.col("label").cast("double").alias("label")), "secret-sample")
-    if sample.select("label").distinct().count() < 2:
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(counts) < 2:
         return None
-    return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(_vectors(sample.coalesce(1).sortWithinPartitions(order)))
+    sample = sample.withColumn("weight", F.when(F.col("label") == 1, counts[0.0] / counts[1.0]).otherwise(1.0))
+    return RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(_vectors(sample.coalesce(1).sortWithinPartitions(order)))
 
 
 def probabilities(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
-    """``rows`` (features, ...) with ``score``."""
+    """``rows`` (features, ...) with ``score``; rows alike get equal scores."""
     return model.transform(_vectors(rows)).withColumn("score", F.round(F.get(vector_to_array("probability"), 1), 9)).drop("vector", "rawPrediction", "probability", "prediction")
 
 
