@@ -343,3 +343,12 @@ def test_percentiles_go_down_to_single_values(spark):
         want[k] = tuple(own[min(int(len(own) * q), len(own) - 1)] for q in (0.5, 0.95, 0.99))
     for most in (65536, 1):
         assert {r["k"]: tuple(r)[1:] for r in traces.of_counts(counts, ["k"], "v", most=most).collect()} == want
+
+
+def test_suggestions_by_index_and_by_scan(spark):
+    rng = random.Random(12)
+    names = ["".join(rng.choices("abcd-", k=rng.randint(1, 9))) for _ in range(150)]
+    entities = spark.createDataFrame([(f"r{i}", n, [names[(i * 7) % 150], f"alias{i}"]) for i, n in enumerate(names)], "rid string, name string, aliases array<string>").cache()
+    index = graph.trigram_index(entities).cache()
+    for query in ["abc", "ab", "a", "dcb-a", "alias7", "bcda", "ab-cd", "zzz", names[0], names[1]]:
+        assert sorted(map(str, graph.suggest_indexed(entities, index, query, 500).collect())) == sorted(map(str, graph.suggest(entities, query, 500).collect())), query

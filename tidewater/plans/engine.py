@@ -65,6 +65,7 @@ class Engine:
         self.vectors.update(tx, chunks.select("rid", F.lit(tx.number).cast("long").alias("generation"), "embedding"))
 
         tx.merge("entities", tx.staged(self._entities(tenant)), "rid", lambda old, new: store.insert_absent(old, new, ["tenant", "entity_type", "name"]))
+        self._index_names(tx, self._entities(tenant))
         relations = graph.relations(chunks, graph.patterns(self.gazetteer), self.settings)
         edges, evidence = graph.edges_and_evidence(relations, self.table("entities", tx).where(F.col("tenant") == tenant), tenant)
         tx.merge("edges", tx.staged(schema.complete(edges.withColumn("tenant", F.lit(tenant)), "edges")), "rid", lambda old, new: store.merge_greatest(old, new, "rid", "confidence"))
@@ -78,6 +79,10 @@ class Engine:
         tx.commit()
         return {"total": total, "indexed": counts["indexed"], "quarantined": counts["quarantined"], "failed": counts["failed"], "empty": counts["skipped"], "skipped": total - counts["n"]}
 
+    def _index_names(self, tx: store.Transaction, entities: DataFrame) -> None:
+        """The trigrams of new names, for suggestions."""
+        tx.merge("trigrams", tx.staged(graph.trigram_index(entities)), "gram", lambda old, new: old.unionByName(new).distinct())
+
     def errors(self) -> DataFrame:
         """(doc_rid, rid, stage, error, at): what went wrong with the chunks of each document when it was last ingested."""
         state = self.store.head()[1]
@@ -234,6 +239,7 @@ class Engine:
         new = schema.complete(ends.withColumn("rid", ids.entity_rid(F.lit(tenant), F.lit("Service"), F.col("name"))), "entities")
         tx = self.store.begin()
         tx.merge("entities", tx.staged(new), "rid", lambda old, new: store.insert_absent(old, new, ["tenant", "entity_type", "name"]))
+        self._index_names(tx, new)
         replaced = ["call_count", "error_rate", "latency_p50", "latency_p95", "latency_p99", "sample_trace_ids", "trace_query_ref", "window_start", "window_end", "last_seen_at"]
         tx.merge("observed_edges", tx.staged(schema.complete(edges, "observed_edges")), "rid", lambda old, new: store.replace_columns(old, new, "rid", replaced))
         proof = traces.evidence(edges, as_of, tenant)
@@ -265,7 +271,8 @@ class Engine:
     def suggest(self, query: str, limit: int = 10, tenant: str = "default") -> DataFrame:
         if not query or not 1 <= limit <= 50:
             raise ValueError("a query and a limit of 1 to 50 are needed")
-        return graph.suggest(self.table("entities").where((F.col("tenant") == tenant) & (F.col("status") == "active")), query, limit)
+        active = self.table("entities").where((F.col("tenant") == tenant) & (F.col("status") == "active"))
+        return graph.suggest_indexed(active, self.store.read("trigrams"), query, limit) if self.store.has("trigrams") else graph.suggest(active, query, limit)
 
     def documents(self, tenant: str = "default", clearance: str = "INTERNAL", offset: int = 0, limit: int = 20) -> DataFrame:
         if offset < 0 or not 1 <= limit <= 100:
