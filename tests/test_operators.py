@@ -352,3 +352,18 @@ def test_suggestions_by_index_and_by_scan(spark):
     index = graph.trigram_index(entities).cache()
     for query in ["abc", "ab", "a", "dcb-a", "alias7", "bcda", "ab-cd", "zzz", names[0], names[1]]:
         assert sorted(map(str, graph.suggest_indexed(entities, index, query, 500).collect())) == sorted(map(str, graph.suggest(entities, query, 500).collect())), query
+
+
+def test_vectors_meet_queries_in_cells(spark):
+    import numpy as np
+
+    from tidewater.sources import vectors
+
+    rng = np.random.RandomState(3)
+    rows = [(f"r{i:03}", int(i % 5 if i < 160 else 2), [float(x) for x in (rng.normal(size=4) if i % 3 else (1.0, 2.0, 0.0, -1.0))]) for i in range(200)]
+    asked = [(q, [float(x) for x in rng.normal(size=4)], sorted(set(rng.randint(0, 7, 3).tolist())) if q % 2 else list(range(7))) for q in range(15)] + [(15, [1.0, 2.0, 0.0, -1.0], list(range(7)))]
+    stored, queries = spark.createDataFrame(rows, "rid string, list int, embedding array<double>"), spark.createDataFrame(asked, "query_id long, q array<double>, lists array<int>")
+    found = {(r["query_id"], r["rank"]): (r["score"], r["rid"]) for r in vectors._ranked(stored, queries, 10, rows=16, queries=4).collect()}
+    for q, v, lists in asked:
+        near = sorted((round(1 - np.dot(v, x) / np.sqrt(np.dot(v, v) * np.dot(x, x)), 6) + 0.0, rid) for rid, name, x in rows if name in lists)[:10]
+        assert [found[q, i + 1] for i in range(len(near))] == near and (q, len(near) + 1) not in found

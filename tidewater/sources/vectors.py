@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewater.functions import access
-from tidewater.operators.retrieval import cosine_distance
 from tidewater.sources.store import Store, Transaction
 
 MOST_BYTES = 256 << 20  # of all centroids, which every task holds
@@ -87,11 +86,83 @@ def train(vectors: DataFrame, n_lists: int, rounds: int = 8, column: str = "embe
     return centroids
 
 
-def _ranked(stored: DataFrame, asked: DataFrame, k: int, *more: str) -> DataFrame:
-    """The k nearest of ``stored`` (rid, list, embedding) for each query of ``asked`` (query_id, q, list), in the lists it asks."""
-    rows = stored.join(asked, "list").select("query_id", "rid", F.round(cosine_distance(F.col("embedding"), F.col("q")), 6).alias("score"), *more)
+def _cells(sizes: dict[int, int], rows: int) -> dict[int, tuple[int, int]]:
+    """The first cell and the number of cells of each list, given their sizes: small lists share a cell, and one with more than ``rows`` rows gets several."""
+    found, cell, room = {}, -1, 0
+    for name, n in sorted(sizes.items()):
+        parts = -(-n // rows)
+        if parts > 1 or n > room:
+            cell, room = cell + 1, rows
+        found[name] = (cell, parts)
+        cell, room = cell + parts - 1, room - n if parts == 1 else 0
+    return found
+
+
+def _within(k: int):
+    """The k nearest of a cell's vectors for each query of a block, in the lists it asks."""
+
+    def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", asked.schema.field("query_id").type), ("rid", pa.string()), ("distance", pa.float64()), ("list", pa.int32())])
+        if not stored.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        stored = stored.sort_by("rid")
+        vectors, lists = _matrix(stored.column("embedding")), stored.column("list").to_numpy()
+        queries, wanted = _matrix(asked.column("q")), asked.column("lists").to_pylist()
+        order = sorted(range(len(wanted)), key=lambda i: wanted[i])  # queries of like lists go together
+        places, owners, distances = [], [], []
+        for at in range(0, len(order), 128):
+            part = order[at : at + 128]
+            union = sorted(set().union(*(wanted[i] for i in part)))
+            some = np.flatnonzero(np.isin(lists, union))
+            if not len(some):
+                continue
+            raw = 1 - queries[part] @ vectors[some].T
+            for j, i in enumerate(part):
+                own = np.arange(len(some)) if wanted[i] == union else np.flatnonzero(np.isin(lists[some], wanted[i]))
+                mine = np.round(raw[j, own], 6)
+                limit = np.partition(mine, k - 1)[k - 1] if len(mine) > k else np.inf
+                own, mine = own[mine <= limit], mine[mine <= limit]
+                own = own[np.argsort(mine, kind="stable")[:k]]  # rows are in the order of rid, so ties go to the smaller
+                places.append(some[own]), owners.append(np.full(len(own), i)), distances.append(raw[j, own])
+        if not places:
+            return schema.empty_table()
+        at, owner = pa.array(np.concatenate(places)), pa.array(np.concatenate(owners))
+        return pa.Table.from_arrays([asked.column("query_id").take(owner), stored.column("rid").take(at), pa.array(np.concatenate(distances)), stored.column("list").take(at)], schema=schema)
+
+    return run
+
+
+def _ranked(stored: DataFrame, asked: DataFrame, k: int, rows: int = 1 << 14, queries: int = 1 << 12) -> DataFrame:
+    """(query_id, rid, list, score, rank): the k nearest of ``stored`` (rid, list, embedding) for each query of ``asked`` (query_id, q, lists), in the lists it asks.
+
+    Vectors go by list into cells of about ``rows``, queries into blocks of about ``queries``; each cell meets each block that asks it as
+    one product of matrices and gives k rows for a query.
+    """
+    spark = stored.sparkSession
+    cells = _cells({r["list"]: r["count"] for r in stored.groupBy("list").count().collect()}, rows)  # as many as centroids
+    blocks = max(1, -(-asked.count() // queries))
+    held = spark.sparkContext.broadcast(cells)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own: dict[int, list[int]] = {}
+                for name in sorted(batch.column("lists")[at].as_py()):
+                    first, parts = held.value.get(name, (0, 0))
+                    for cell in range(first, first + parts):
+                        own.setdefault(cell, []).append(name)
+                one = pa.array(np.full(len(own), at))
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array(list(own.values()), pa.list_(pa.int32())), *(batch.column(c).take(one) for c in ("query_id", "q", "block"))], ["cell", "lists", "query_id", "q", "block"])
+
+    kind = asked.schema["query_id"].dataType.simpleString()
+    by_block = asked.select("query_id", F.col("q").cast("array<double>").alias("q"), "lists", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    right = by_block.mapInArrow(spread, f"cell int, lists array<int>, query_id {kind}, q array<double>, block int")
+    table = F.broadcast(spark.createDataFrame([(n, *c) for n, c in cells.items()], "list int, first int, parts int"))  # as many as centroids
+    placed = stored.select("rid", "list", "embedding").join(table, "list").withColumn("cell", (F.col("first") + F.pmod(F.xxhash64("rid"), F.col("parts"))).cast("int"))
+    left = placed.select("rid", "list", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    near = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(_within(k), f"query_id {kind}, rid string, distance double, list int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "rid"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.withColumn("score", F.round("distance", 6)).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rid", "list", "score", "rank")
 
 
 class VectorIndex:
@@ -121,9 +192,9 @@ class VectorIndex:
 
     def _probes(self, state: dict, centroids: np.ndarray, rows: DataFrame, recall: float, trials: int) -> int:
         some = usable(rows).orderBy(F.xxhash64("rid"), "rid").limit(trials).select(F.xxhash64("rid").alias("query_id"), "embedding")
-        asked = nearest(some, centroids, len(centroids)).select("query_id", F.col("embedding").alias("q"), F.posexplode("lists").alias("place", "list")).persist()  # trials times lists
-        found = _ranked(self.store.load(state["vectors"]), asked.select("query_id", "q", "list"), 10, "list").select("query_id", "list")
-        places = sorted(r["place"] for r in found.join(asked.select("query_id", "list", "place"), ["query_id", "list"]).collect())  # ten for each trial
+        asked = nearest(some, centroids, len(centroids)).select("query_id", F.col("embedding").alias("q"), "lists").persist()  # trials times lists
+        found = _ranked(self.store.load(state["vectors"]), asked, 10).join(asked.select("query_id", "lists"), "query_id")
+        places = sorted(r[0] for r in found.select(F.array_position("lists", F.col("list")) - 1).collect())  # ten for each trial
         asked.unpersist()
         return places[min(len(places) - 1, int(np.ceil(recall * len(places))))] + 1 if places else 1
 
@@ -155,7 +226,7 @@ class VectorIndex:
         if not len(centroids):
             return empty
         n = min(len(centroids), probes or state["centroids"]["probes"])
-        asked = nearest(usable(queries.select("query_id", "embedding")), centroids, n).select("query_id", F.col("embedding").alias("q"), F.explode("lists").alias("list"))
+        asked = nearest(usable(queries.select("query_id", "embedding")), centroids, n).select("query_id", F.col("embedding").alias("q"), "lists")
         seen = self.store.load(state["lengths"]).where((F.col("tenant") == tenant) & (access.level(F.col("classification")) <= access.clearance(clearance)))
         stored = self.store.load(state["vectors"]).join(seen.select("rid", "generation"), ["rid", "generation"], "left_semi")
-        return _ranked(stored, asked, k)
+        return _ranked(stored, asked, k).drop("list")
