@@ -354,6 +354,19 @@ def test_suggestions_by_index_and_by_scan(spark):
         assert sorted(map(str, graph.suggest_indexed(entities, index, query, 500).collect())) == sorted(map(str, graph.suggest(entities, query, 500).collect())), query
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_letters_are_counted_without_a_string_for_each(spark):
+    texts = ["", "...", "abc", "가나다", "abcdefghij가", "abcdefghi가", "aé가 b", "1 2", "가나 ab", "aB가Z힣 나"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.language(F.col("text")).alias("language"))
+    assert "regexp_count" not in plan(df) and "extract_all" not in plan(df)
+    for r in df.collect():
+        ko, both = sum("가" <= c <= "힣" for c in r["text"]), sum("가" <= c <= "힣" or c.isascii() and c.isalpha() for c in r["text"])
+        assert r["language"] == ("ko" if not both or ko / both > 0.5 else "en" if ko / both < 0.1 else "mixed")
+
+
 def test_vectors_meet_queries_in_cells(spark):
     import numpy as np
 

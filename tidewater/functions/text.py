@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Non-empty pieces between white space."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
@@ -18,8 +25,13 @@ def token_estimate(text: Column, language: Column) -> Column:
 
 def language(text: Column) -> Column:
     """``ko`` if Hangul are over half of the Hangul and Latin letters or there are none of both, ``en`` under a tenth, else ``mixed``."""
-    ko = F.regexp_count(text, F.lit("[가-힯]"))
-    both = F.regexp_count(text, F.lit("[a-zA-Z가-힯]"))
+    # what replacing leaves is measured: a count of matches makes a string of each letter
+    ko = F.length(text) - F.length(F.regexp_replace(text, "[가-힯]+", ""))
+    both = F.length(text) - F.length(F.regexp_replace(text, "[a-zA-Z가-힯]+", ""))
+    return once(F.struct(ko.alias("ko"), both.alias("both")), lambda n: _language(n["ko"], n["both"]))
+
+
+def _language(ko: Column, both: Column) -> Column:
     ratio = ko / F.nullif(both, F.lit(0))
     return F.when(F.coalesce(both, F.lit(0)) == 0, "ko").when(ratio > 0.5, "ko").when(ratio < 0.1, "en").otherwise("mixed")
 
@@ -33,6 +45,28 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def counted(terms: Column) -> Column:
+    """(term, tf) of each distinct term of an array, in order."""
+    return _runs(F.sort_array(terms), lambda x: x, lambda all_, begin, n: F.struct(F.get(all_, begin).alias("term"), n.cast("long").alias("tf")))
+
+
+def placed(terms: Column) -> Column:
+    """(term, tf, positions) of each distinct term of an array, in order: the places, from 0, at which it stands."""
+    pairs = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("place"))))
+    places = lambda all_, begin, n: F.transform(F.slice(all_, begin + 1, n), lambda p: p["place"])
+    return _runs(pairs, lambda x: x["term"], lambda all_, begin, n: F.struct(F.get(all_, begin)["term"].alias("term"), n.cast("long").alias("tf"), places(all_, begin, n).alias("positions")))
+
+
+def _runs(ordered: Column, name: Callable[[Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
+    """``make(ordered, begin, size)`` of each run of elements of one ``name``."""
+
+    def of(x: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(x)), lambda i: (i < F.size(x)) & ((i == 0) | (name(F.get(x, i)) != name(F.get(x, i - 1)))))
+        return once(begins, lambda b: F.transform(b, lambda begin, j: make(x, begin, F.coalesce(F.get(b, j + 1), F.size(x)) - begin)))
+
+    return once(ordered, of)
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of each lower-case word with two blanks before and one behind."""
     grams = F.transform(terms(text), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
