@@ -367,6 +367,17 @@ def test_letters_are_counted_without_a_string_for_each(spark):
         assert r["language"] == ("ko" if not both or ko / both > 0.5 else "en" if ko / both < 0.1 else "mixed")
 
 
+def test_terms_are_counted_in_the_row(spark):
+    texts = spark.createDataFrame([("a", "x y x z"), ("b", ""), ("c", "y"), ("d", "z z z")], "rid string, text string")
+    found = retrieval.postings(texts)
+    assert "Exchange" not in plan(found)
+    want = {("a", "x", 4, 2), ("a", "y", 4, 1), ("a", "z", 4, 1), ("c", "y", 1, 1), ("d", "z", 3, 3)}
+    assert {(r["rid"], r["term"], r["length"], r["tf"]) for r in found.collect()} == want and found.count() == len(want)
+    # rows that share a key and a length go together
+    twice = retrieval.postings(texts.union(texts.where("rid = 'd'")))
+    assert {(r["rid"], r["term"], r["length"], r["tf"]) for r in twice.collect()} == {w for w in want if w[0] != "d"} | {("d", "z", 3, 6)}
+
+
 def test_vectors_meet_queries_in_cells(spark):
     import numpy as np
 

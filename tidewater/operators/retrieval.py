@@ -14,14 +14,23 @@ MANY = 1000
 
 def postings(chunks: DataFrame, key: str = "rid", text: str = "text") -> DataFrame:
     """(key, term, tf, length): how often each term stands in each row, and the row's number of terms."""
-    rows = chunks.select(key, T.terms(F.col(text)).alias("terms"))
-    rows = rows.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return rows.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    rows = chunks.select(key, T.terms(F.col(text)).alias("terms")).select(key, F.size("terms").alias("length"), F.inline(T.counted(F.col("terms"))))
+    if _repeats(chunks, [key]):
+        return rows.groupBy(key, "term", "length").agg(F.sum("tf").alias("tf"))
+    return rows.select(key, "term", "length", "tf")
+
+
+def _repeats(rows: DataFrame, keys: list[str]) -> bool:
+    """Whether rows share a key; where none do, a row's terms are counted in the row and nothing is shuffled."""
+    return not rows.groupBy(*keys).count().where("count > 1").isEmpty()
 
 
 def positional(rows: DataFrame, keys: list[str], terms: str = "terms") -> DataFrame:
     """(keys, term, tf, length, positions) of rows with arrays of terms: the places, from 0, at which each term stands, in order."""
-    each = rows.select(*keys, F.size(terms).cast("long").alias("length"), F.posexplode(terms).alias("place", "term"))
+    length = F.size(terms).cast("long").alias("length")
+    if not _repeats(rows, keys):
+        return rows.select(*keys, length, F.inline(T.placed(F.col(terms)))).select(*keys, "term", "tf", "length", "positions")
+    each = rows.select(*keys, length, F.posexplode(terms).alias("place", "term"))
     found = each.groupBy(*keys, "term", "length").agg(F.sort_array(F.collect_list("place")).alias("positions"))
     return found.select(*keys, "term", F.size("positions").cast("long").alias("tf"), "length", "positions")
 

@@ -99,7 +99,7 @@ def _enriched(s: Spark, d: str, ranked: DataFrame) -> DataFrame:
     # the texts of the few ranked rows alone
     few = F.broadcast(ranked.select("rid"))  # top-k rows
     texts = lens.files(s, d).join(few, "rid", "left_semi").select("rid", "text")
-    return retrieval.enrich(ranked, _docs(s, d).join(texts, "rid"))
+    return retrieval.enrich(ranked, _docs(s, d).join(F.broadcast(texts), "rid"))  # texts: as many as the ranked rows
 
 
 def _lexical(s: Spark, d: str) -> DataFrame:

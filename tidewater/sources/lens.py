@@ -14,6 +14,8 @@ AS_OF = "2024-06-01 00:00:00"
 #: The end of the hour whose traces are listed.
 LAST_TRACES = "2024-01-15 12:00:00"
 TENANT = "default"
+#: What the rid of a document begins with.
+PREFIX = "doc_"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +44,19 @@ def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of all documents, tokenised once and stored in the order of the terms; ``rid`` and ``doc_id`` name the document."""
-    make = lambda: retrieval.postings(files(spark, sf_dir).select(F.struct("rid", "doc_id").alias("key"), "text"), "key").select("key.rid", "key.doc_id", "term", "tf", "length")
-    return scratch.stored(spark, "postings", f"{sf_dir}/documents.parquet", make, ["term"])
+    """Postings of all documents, tokenised once and stored in the order of the terms; ``rid`` and ``doc_id`` name the document.
+
+    A rid is stored as the number that its digits are, which is much shorter.
+    """
+
+    def make() -> DataFrame:
+        digits = F.conv(F.substring("rid", len(PREFIX) + 1, 12), 16, 10).cast("long")
+        keyed = files(spark, sf_dir).select(F.struct(digits.alias("number"), "doc_id").alias("key"), "text")
+        return retrieval.postings(keyed, "key").select("key.number", "key.doc_id", "term", "tf", "length")
+
+    rows = scratch.stored(spark, "postings", f"{sf_dir}/documents.parquet", make, ["term", "number"])
+    rid = F.concat(F.lit(PREFIX), F.lpad(F.lower(F.hex("number")), 12, "0"))
+    return rows.select(rid.alias("rid"), "doc_id", "term", "tf", "length")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,13 +59,14 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], order: list[str] | None = None) -> DataFrame:
     """The table of that name over the files of ``source``, made at the first call and read by all others until the files change.
 
-    With ``order`` its rows are ordered over its files, so that a reader skips files by their statistics.
+    With ``order`` the rows of one value of its first column lie in one file, or few if they are many, and each file is ordered, so that a reader
+    skips pages by their statistics.  A range over all files would compute the rows once more to find its bounds.
     """
     key = (spark.sparkContext.applicationId, name, fingerprint(spark, source))
     if key not in _MADE:
         path = new_path(spark, "stored")
         rows = make()
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+        rows = rows.hint("rebalance", order[0]).sortWithinPartitions(*order) if order else rows
         rows.write.parquet(path)
         _MADE[key] = (path, rows.schema)
     path, schema = _MADE[key]
