@@ -378,6 +378,15 @@ def test_terms_are_counted_in_the_row(spark):
     assert {(r["rid"], r["term"], r["length"], r["tf"]) for r in twice.collect()} == {w for w in want if w[0] != "d"} | {("d", "z", 3, 6)}
 
 
+def test_places_are_gathered_in_the_row(spark):
+    rows = spark.createDataFrame([("a", ["x", "y", "x"]), ("b", []), ("c", ["z"])], "rid string, terms array<string>")
+    found = retrieval.positional(rows, ["rid"])
+    assert "Exchange" not in plan(found)
+    assert {(r["rid"], r["term"], r["tf"], r["length"], *r["positions"]) for r in found.collect()} == {("a", "x", 2, 3, 0, 2), ("a", "y", 1, 3, 1), ("c", "z", 1, 1, 0)}
+    twice = retrieval.positional(rows.union(rows.where("rid = 'c'")), ["rid"])
+    assert {(r["rid"], r["term"], r["tf"]) for r in twice.collect()} == {("a", "x", 2), ("a", "y", 1), ("c", "z", 2)}
+
+
 def test_vectors_meet_queries_in_cells(spark):
     import numpy as np
 

@@ -236,7 +236,8 @@ class Transaction:
         self.state = self.state | {name: entry | {"buckets": grown, "files": kept | files}}
 
     def append(self, name: str, rows: DataFrame, order: list[str], live: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        """Rows as a further segment of the table, ordered by ``order`` over its files, so that readers skip by the files' statistics.
+        """Rows as a further segment of the table, with those of one value of ``order[0]`` in one file, or few if they are many, and each file in that
+        order, so that readers skip by the pages' statistics.
 
         The newest segments go together into one while the older one is no more than twice as large as they are, so that there are
         as many as the table's size has binary digits; ``live`` then keeps the rows that still count.
@@ -256,7 +257,7 @@ class Transaction:
 
     def _segment(self, name: str, rows: DataFrame, order: list[str]) -> list[list]:
         inside = f"data/{name}/{uuid.uuid4().hex}"
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.store.folder}/{inside}")
+        rows.hint("rebalance", order[0]).sortWithinPartitions(*order).write.parquet(f"{self.store.folder}/{inside}")
         return [list(f) for f in self.store.files_below(inside)]
 
     def commit(self) -> int:
