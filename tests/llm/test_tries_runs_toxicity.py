@@ -227,6 +227,24 @@ def test_toxicity_held_out(spark):
     assert one[1] >= one[0]
 
 
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """A sample of 60 rows knows few of the words that mark the label; all rows do."""
+    rows = toxic_rows(1500, 4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    seen = []
+    calibrated = toxicity.calibrated
+    monkeypatch.setattr(toxicity, "calibrated", lambda odds, label, n, speaks: seen.append(n.sum()) or calibrated(odds, label, n, speaks))
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()), max_rows=60)
+    again = toxicity.fit(docs, labels.where(~toxicity.held_out()), max_rows=60)
+    assert np.array_equal(model.embeddings, again.embeddings) or np.allclose(model.embeddings, again.embeddings, atol=1e-4)
+    assert seen[0] == labels.where(~toxicity.held_out()).where("pmod(xxhash64(doc_id), 4) = 3").count()
+    words = Words(pa.array([t for i, t, _ in rows]), lower=True)
+    places = toxicity._ids(words)[:, 0]
+    often = [p for p, n in zip(*np.unique(places, return_counts=True), strict=True) if n > 50]
+    assert model.embeddings[often].any(1).all()
+
+
 def test_pieces_change_nothing(monkeypatch):
     rng = np.random.RandomState(2)
     model = toxicity.Model(rng.rand(1 << toxicity.BITS, 4).astype(np.float32) - 0.5, [rng.rand(w, 4, 3).astype(np.float32) - 0.5 for w in toxicity.WIDTHS], rng.rand(9).astype(np.float32), rng.rand(9), 0.1, 1.0, np.zeros(toxicity.OTHER + 1))

@@ -2,8 +2,9 @@
 
 A word's vector is the sum of hashed embeddings: two of the word, so that two words seldom share both, and one for each of
 its beginnings of 3 to 6 characters, so that inflected and compound words share what their stem has.  Filters of several widths run
-over the whole text, each gives its largest response, and a logistic layer stands on these.  Everything is trained in
-numpy on a bounded sample of labelled documents.  A part of the sample that training doesn't see calibrates, language by language,
+over the whole text, each gives its largest response, and a logistic layer stands on these.  Training begins in numpy on a bounded
+sample of labelled documents and goes on over all of them, in rounds: each task takes its rows once from the round's model, and the
+tasks' changes are averaged.  A quarter of the labelled documents that training doesn't see calibrates, language by language,
 the threshold that documents of the language must pass; scores are odds against that threshold, so it is always 0.5.  The
 language is read off the text's function words, never off a column.
 """
@@ -11,14 +12,15 @@ language is read off the text's function words, never off a column.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from copy import copy
+from copy import copy, deepcopy
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import own_jobs, slices
+from .shared import own_jobs, slices, written
 from .words import Words, mix
 
 BITS = 17  # of a hashed embedding
@@ -128,6 +130,22 @@ def _odds(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return active.astype(np.float64) @ model.top + model.prior
 
 
+def _largest(model: Model, ids: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's largest response to each text, all with words, and the place of the first word that has it, in pieces."""
+    best = np.full((len(first) - 1, len(model.bias)), -np.inf, np.float32)
+    places = np.zeros(best.shape, np.int64)
+    for lo in range(0, len(ids), PIECE):
+        hi = min(lo + PIECE, len(ids))
+        out = np.concatenate(_responses(model, ids[lo : hi + max(WIDTHS)], stop[lo:hi] - lo), 1)
+        for i in range(np.searchsorted(first, lo, side="right") - 1, np.searchsorted(first, hi)):
+            a, b = max(first[i], lo) - lo, min(first[i + 1], hi) - lo
+            at = out[a:b].argmax(0)
+            value = np.take_along_axis(out[a:b], at[None], 0)[0]
+            better = value > best[i]
+            best[i, better], places[i, better] = value[better], lo + a + at[better]
+    return best, places
+
+
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
     words = Words(texts, lower=True)
     odds = model.slope * (_odds(model, _ids(words), words.first) - model.threshold[languages(words)])
@@ -154,6 +172,20 @@ class _Trainer:
         self.model = Model(table, filters, np.zeros(n, np.float32), self.rng.normal(0, 0.3, n).astype(np.float32), 0.0, 1.0, np.zeros(OTHER + 1))
         self.seen = {"table": np.full(1 << BITS, 1e-4, np.float32), "filters": [np.full_like(f, 1e-4) for f in filters], "bias": np.full(n, 1e-4, np.float32), "top": np.full(n, 1e-4, np.float32), "prior": 1e-4}
 
+    @classmethod
+    def resumed(cls, model: Model, seen: dict, seed: int) -> _Trainer:
+        """A trainer that goes on from ``model`` and its sums of squares, which it changes in copies."""
+        self = cls.__new__(cls)
+        self.rng = np.random.RandomState(seed)
+        self.model, self.seen = deepcopy(model), deepcopy(seen)
+        return self
+
+    def taught(self, docs: list[np.ndarray], labels: np.ndarray, rate: float, batch: int, drop: float) -> None:
+        """One pass over ``docs``, as they come."""
+        self.docs, self.labels, self.weights = docs, labels, np.ones(len(docs))
+        for at in range(0, len(docs), batch):
+            self._step(np.arange(at, min(at + batch, len(docs))), rate, drop)
+
     def epoch(self, rate: float, batch: int, drop: float) -> None:
         """One pass; of each batch's words a share ``drop`` is left out, so that no document hangs on one word."""
         order = self.rng.permutation(len(self.docs))
@@ -170,9 +202,8 @@ class _Trainer:
         ids = np.concatenate([self.docs[i] for i in own])
         ids[self.rng.rand(len(ids)) < drop] = BLANK
         stop = np.repeat(first[1:], sizes)
-        out = np.concatenate(_responses(m, ids, stop), 1)
-        places = np.stack([first[i] + out[first[i] : first[i + 1]].argmax(0) for i in range(len(own))])
-        value = np.take_along_axis(out, places, 0) + m.bias
+        value, places = _largest(m, ids, first, stop)
+        value = value + m.bias
         active = np.maximum(value, 0)
         odds = active @ m.top + m.prior
         wrong = ((1 / (1 + np.exp(-np.clip(odds, -50, 50))) - self.labels[own]) * self.weights[own] / len(own)).astype(np.float32)
@@ -209,27 +240,110 @@ class _Trainer:
             setattr(m, name, getattr(m, name) - rate * d / np.sqrt(seen[name]))
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, speaks: np.ndarray, dim: int = 12, number: int = 16, steps: int = 1200, rate: float = 0.1, batch: int = 16, drop: float = 0.4, least: int = 3, seed: int = 1) -> Model:
-    """A model from ``docs`` (places in the table of each one's words), 0/1 ``labels``, their weights and the number of each one's language.
+def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, dim: int = 12, number: int = 16, steps: int = 1200, rate: float = 0.1, batch: int = 16, drop: float = 0.4, least: int = 3, seed: int = 1) -> tuple[Model, dict | None]:
+    """A model from ``docs`` (places in the table of each one's words), 0/1 ``labels`` and their weights, and the sums of squares that scale its steps.
 
-    Every fourth document is held back from training and calibrates the thresholds.  Without documents, or with documents of one label
-    alone, the model knows nothing and scores 0.5 or the label's side of it.
+    Without documents, or with documents of one label alone, the model knows nothing and scores 0.5 or the label's side of it.
     """
-    back = np.arange(len(docs)) % 4 == 3
-    mine = np.flatnonzero(~back)
     if not len(docs) or not sum(map(len, docs)):
-        return Model(np.zeros((1 << BITS, dim), np.float32), [np.zeros((w, dim, number), np.float32) for w in WIDTHS], np.zeros(number * len(WIDTHS), np.float32), np.zeros(number * len(WIDTHS), np.float32), 0.0, 1.0, np.zeros(OTHER + 1))
-    trainer = _Trainer([docs[i] for i in mine], labels[mine], weights[mine], dim, number, least, seed)
-    epochs = min(20, max(1, round(steps * batch / len(mine))))
+        return Model(np.zeros((1 << BITS, dim), np.float32), [np.zeros((w, dim, number), np.float32) for w in WIDTHS], np.zeros(number * len(WIDTHS), np.float32), np.zeros(number * len(WIDTHS), np.float32), 0.0, 1.0, np.zeros(OTHER + 1)), None
+    trainer = _Trainer(docs, labels, weights, dim, number, least, seed)
+    epochs = min(20, max(1, round(steps * batch / len(docs))))
     for k in range(epochs):
         trainer.epoch(rate / (1 + 2 * k / epochs), batch, drop)
-    model = trainer.model
-    held = np.flatnonzero(back) if back.any() else mine
-    odds = np.concatenate([_odds(model, docs[i], np.array([0, len(docs[i])])) for i in held])
-    model.threshold = calibrated(odds, labels[held], weights[held], speaks[held])
+    return trainer.model, trainer.seen
+
+
+def _dense(model: Model, seen: dict) -> np.ndarray:
+    """All parameters but the table, with their sums of squares, end to end."""
+    return np.concatenate([np.ravel(x) for x in (*model.filters, model.bias, model.top, model.prior, *seen["filters"], seen["bias"], seen["top"], seen["prior"])]).astype(np.float64)
+
+
+def _undense(model: Model, seen: dict, flat: np.ndarray) -> None:
+    def take(like: np.ndarray) -> np.ndarray:
+        nonlocal flat
+        out, flat = flat[: like.size].reshape(like.shape).astype(np.float32), flat[like.size :]
+        return out
+
+    model.filters, model.bias, model.top, model.prior = [take(f) for f in model.filters], take(model.bias), take(model.top), float(take(np.zeros(1))[0])
+    seen["filters"], seen["bias"], seen["top"], seen["prior"] = [take(f) for f in seen["filters"]], take(seen["bias"]), take(seen["top"]), float(take(np.zeros(1))[0])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a task's rows each place of the table is."""
+    total = np.zeros(1 << BITS, np.int64)
+    for batch in slices(batches, limit=1 << 20):
+        words = Words(batch.column("text"), lower=True)
+        ids = _ids(words)
+        for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+            total[np.unique(ids[a:b])] += 1
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["place", "n"])
+
+
+def _pass(held, rate: float, batch: int, drop: float):
+    """One pass over a task's rows: what it changes in each row of the table, and (-1) in all else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen, known = held.value
+        trainer, any_ = _Trainer.resumed(model, seen, 1 + TaskContext.get().partitionId()), False
+        for part in slices(batches, limit=1 << 20):
+            words = Words(part.column("text"), lower=True)
+            ids = _ids(words)
+            ids = np.where(known[ids], ids, BLANK)
+            docs = [ids[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            trainer.taught(docs, part.column("label").to_numpy(), rate, batch, drop)
+            any_ = True
+        if any_:
+            change = np.concatenate([trainer.model.embeddings - model.embeddings, (trainer.seen["table"] - seen["table"])[:, None]], 1)
+            used = np.flatnonzero(np.abs(change).sum(1))
+            dense = _dense(trainer.model, trainer.seen) - _dense(model, seen)
+            rows = pa.array([*change[used].astype(np.float64), dense], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), rows], ["place", "change"])
+
+    return run
+
+
+def _taught(rows: DataFrame, model: Model, seen: dict, n_rows: int, rounds: int = 2, task_rows: int = 4000, rate: float = 0.05, batch: int = 16, drop: float = 0.4, least: int = 3) -> Model:
+    """``model`` trained on over all ``rows`` (id, key, label, text), in as many tasks as their number asks, whatever the cluster."""
+    spark = rows.sparkSession
+    counts = rows.mapInArrow(_counts, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()  # 2^BITS rows at most
+    known = np.zeros(1 << BITS, bool)
+    known[counts.column("place").to_numpy()] = True
+    known[BLANK] = False
+    fresh = known & ~model.embeddings.any(1)
+    model.embeddings[fresh] = np.random.RandomState(2).normal(0, 0.1, (int(fresh.sum()), model.embeddings.shape[1]))
+    tasks = max(1, n_rows // task_rows)
+    dealt = rows.repartition(tasks, "id").sortWithinPartitions("key", "id").select("text", "label")
+    for k in range(rounds):
+        held = spark.sparkContext.broadcast((model, seen, known))
+        parts = dealt.mapInArrow(_pass(held, rate / (1 + k), batch, drop), "place int, change array<double>")
+        # averaged over the tasks that have changed a row of the table; 2^BITS rows at most come back
+        each = parts.select("place", F.posexplode("change").alias("i", "x")).groupBy("place", "i").agg(F.avg("x").alias("x"))
+        found = each.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("change")).toArrow()
+        at = found.column("place").to_numpy()
+        for i in np.flatnonzero(at == -1):
+            _undense(model, seen, _dense(model, seen) + np.array(found.column("change")[int(i)].as_py()))
+        table = found.filter(pa.array(at >= 0))
+        change = np.array(table.column("change").combine_chunks().flatten()).reshape(table.num_rows, -1)
+        model.embeddings[at[at >= 0]] += change[:, :-1].astype(np.float32)
+        seen["table"][at[at >= 0]] += change[:, -1].astype(np.float32)
+        held.destroy()
     return model
 
 
+def _measured(held):
+    """Language, label and odds of each row, the odds to two digits, so that they can be counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1 << 20):
+            words = Words(batch.column("text"), lower=True)
+            odds = np.round(np.clip(_odds(held.value, _ids(words), words.first), -100, 100), 2) + 0.0
+            yield pa.RecordBatch.from_arrays([pa.array(languages(words), pa.int64()), batch.column("label"), pa.array(odds)], ["speaks", "label", "odds"])
+
+    return run
+
+
 def _best(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
     """The threshold with the least weight on its wrong side, in the middle of the widest gap that has it."""
     order = np.argsort(odds)
@@ -243,13 +357,13 @@ def _best(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
 
 
 def calibrated(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray, speaks: np.ndarray, least: int = 25) -> np.ndarray:
-    """The threshold of each language; one with fewer than ``least`` documents of either label here shares that of all languages."""
+    """The threshold of each language, from odds with their numbers of documents; one with fewer than ``least`` of either label here shares that of all languages."""
     if not len(odds) or len(np.unique(labels)) < 2:
         return np.zeros(OTHER + 1)
     out = np.full(OTHER + 1, _best(odds, labels, weights))
     for k in range(OTHER + 1):
         own = speaks == k
-        if min((labels[own] == y).sum() for y in (0, 1)) >= least:
+        if min(weights[own & (labels == y)].sum() for y in (0, 1)) >= least:
             out[k] = _best(odds[own], labels[own], weights[own])
     return out
 
@@ -265,31 +379,40 @@ def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 3000, max_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on a bounded sample of ``labels`` (id, 0/1): ``max_rows`` in all, half for each label, in the order of a hash of the id, and of
-    these as many as have ``max_chars`` characters together, one at least.
+    """Train on all ``labels`` (id, 0/1) whose hash of the id leaves no 3 by 4, and calibrate thresholds on all the others.
 
-    Rows weigh as much as their label does among all labels given.  Labels other than 0 and 1 and null ids take no part; an id with
+    Training begins on a sample: ``max_rows`` in all, half for each label, in the order of a hash of the id, and of
+    these as many as have ``max_chars`` characters together, one at least.  If that is not all, it goes on over all rows.
+    Rows weigh alike, those of the sample as much as their label does among all labels given.  Labels other than 0 and 1 and null ids take no part; an id with
     both labels counts as 1, and of texts with one id the least is taken.  A null text counts as empty.  Without any label the
     model knows nothing and scores 0.5.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    picks = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows // 2) for y in (0, 1)]
-    sample = F.broadcast(picks[0].unionByName(picks[1]))  # max_rows rows at most
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "id")
-    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, "id")
+    rows = written(texts.groupBy("id", "label").agg(F.min("text").alias("text")).withColumn("key", F.xxhash64("id")), "toxicity-labelled")
+    mine, others = rows.where("pmod(key, 4) <> 3"), rows.where("pmod(key, 4) = 3")
+    totals = {r["label"]: r["count"] for r in mine.groupBy("label").count().collect()}
+    picks = [mine.where(F.col("label") == y).select("id", "key").orderBy("key", "id").limit(max_rows // 2) for y in (0, 1)]
+    sample = mine.join(F.broadcast(picks[0].unionByName(picks[1]).select("id")), "id")  # max_rows rows at most
     # a word takes two characters with its space, so this bounds what comes to the driver
-    size = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1))  # max_rows rows
-    texts = texts.withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") <= max_chars)
+    size = F.sum("n").over(Window.orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1))  # max_rows rows
+    few = sample.select("id", "key", F.length("text").alias("n")).withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") <= max_chars).select("id")
     with own_jobs(docs.sparkSession):
-        found = texts.select("id", "label", "text").mapInArrow(_known, "id long, label int, places array<int>, speaks long").withColumn("key", F.xxhash64("id")).toArrow().sort_by([("key", "ascending"), ("id", "ascending")])
-    y = found["label"].to_numpy()
-    own = [np.asarray(a.values).reshape(-1, 2 + len(STEMS)) for a in found["places"]]
-    total = max(1, sum(totals.values()))
-    share = np.array([totals[int(k)] / total / (y == k).sum() for k in y]) * len(y)
-    model = train(own, y.astype(np.int64), share, found["speaks"].to_numpy())
-    del own, found
-    pa.default_memory_pool().release_unused()
+        found = mine.join(F.broadcast(few), "id").select("id", "label", "text").mapInArrow(_known, "id long, label int, places array<int>, speaks long").withColumn("key", F.xxhash64("id")).toArrow().sort_by([("key", "ascending"), ("id", "ascending")])
+        y = found["label"].to_numpy()
+        own = [np.asarray(a.values).reshape(-1, 2 + len(STEMS)) for a in found["places"]]
+        total = max(1, sum(totals.values()))
+        share = np.array([totals[int(k)] / total / (y == k).sum() for k in y]) * len(y)
+        model, seen = train(own, y.astype(np.int64), share)
+        whole = len(own) == total
+        del own, found
+        pa.default_memory_pool().release_unused()
+        if seen is not None and not whole:
+            model = _taught(mine, model, seen, total)
+        back = others if others.limit(1).count() else mine
+        counted = back.mapInArrow(_measured(docs.sparkSession.sparkContext.broadcast(model)), "speaks long, label int, odds double").groupBy("speaks", "label", "odds").count().toArrow().sort_by([("odds", "ascending"), ("speaks", "ascending"), ("label", "ascending")])  # a bounded number of values
+    if seen is not None:
+        model.threshold = calibrated(*(counted[c].to_numpy() for c in ("odds", "label", "count", "speaks")))
     return model
 
 
