@@ -123,7 +123,7 @@ def of_counts(counts: DataFrame, keys: list[str], value: str, at: tuple[float, .
     while ((inside.groupBy(*keys, "q").count().agg(F.max("count")).first()[0]) or 0) > most:
         span = Window.partitionBy(*keys, "q")
         bounds = inside.groupBy(*keys, "q").agg(F.min(value).alias("low"), F.max(value).alias("high")).select(*named, F.col("q").alias("h_q"), "low", "high")
-        cut = inside.join(bounds, [*ends, F.col("q") == F.col("h_q")]).select(*keys, "q", "rest", value, "n", F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * 1000).alias("part"))
+        cut = inside.join(bounds, [*ends, F.col("q") == F.col("h_q")]).select(*keys, "q", "rest", value, "n", F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("low"), F.col("high") - F.col("low")) * 1000), F.lit(0)).alias("part"))
         sums = cut.groupBy(*keys, "q", "rest", "part").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(span.orderBy("part")))
         held = sums.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest"))).select(*named, F.col("q").alias("h_q"), F.col("part").alias("h_part"), (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
         inside = scratch.written(cut.join(held, [*ends, F.col("q") == F.col("h_q"), F.col("part") == F.col("h_part")]).select(*keys, "q", F.col("left").alias("rest"), value, "n"), "held-range")
